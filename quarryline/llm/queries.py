@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, sql
+from . import decontaminate, quality, simhash, sql
 from .common import table
 
 
@@ -14,9 +14,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {"op8_decontaminate": op8_decontaminate, "op10_simhash": op10_simhash}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op8_decontaminate": op8_decontaminate, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": sql.DECONTAMINATE}
