@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, SPACE, durable, let
 
-#: Percentiles at which thresholds are taken, of the documents to keep and of those to drop.
-KEEP_AT, DROP_AT = (0.0, 0.01, 0.5, 0.99, 1.0), (0.01, 0.1, 0.5)
+#: Percentiles of the documents to keep and of those to drop; thresholds lie half-way
+#: between neighbours among them, so that a rule leaves a margin to both sides.
+KEEP_AT, DROP_AT = (0.0, 0.01, 0.5, 0.99, 1.0), (0.01, 0.1, 0.25, 0.5)
 
 
 def per(a: str, b: str, scale: float) -> Column:
@@ -82,7 +83,8 @@ class Test:
 def thresholds(labelled: DataFrame, label: str) -> dict[str, list[float]]:
     ask = [F.percentile_approx(F.when(F.col(label) == side, F.col(f)), list(at), 10_000).alias(f"{f}_{side}") for f in FEATURES for side, at in ((1, KEEP_AT), (0, DROP_AT))]
     found = labelled.agg(*ask).first()
-    return {f: sorted({float(x) for side in (0, 1) for x in found[f"{f}_{side}"] or ()}) for f in FEATURES}
+    values = {f: sorted({float(x) for side in (0, 1) for x in found[f"{f}_{side}"] or ()}) for f in FEATURES}
+    return {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in values.items()}
 
 
 def learn(labelled: DataFrame, label: str = "label", min_precision: float = 0.9, min_covered: int = 5, max_rules: int = 12, max_tests: int = 4) -> list[tuple[Test, ...]]:
