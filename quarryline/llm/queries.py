@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, sql
+from . import decontaminate, perspectives, quality, shards, simhash, sql
 from .common import table
 
 
@@ -14,13 +14,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op8_decontaminate": op8_decontaminate, "op10_simhash": op10_simhash}
-ORACLE_SQL: dict[str, str] = {"op8_decontaminate": sql.DECONTAMINATE}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_quality_rules, op4_perspectives, op8_decontaminate, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op4_perspectives": sql.PERSPECTIVES, "op8_decontaminate": sql.DECONTAMINATE}
