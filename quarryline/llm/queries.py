@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, perspectives, quality, shards, simhash, sql
+from . import decontaminate, perspectives, pieces, quality, shards, simhash, sql
 from .common import table
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.default_model())
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -30,5 +34,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_quality_rules, op4_perspectives, op8_decontaminate, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_quality_rules, op4_perspectives, op8_decontaminate, op9_pieces, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op4_perspectives": sql.PERSPECTIVES, "op8_decontaminate": sql.DECONTAMINATE}
