@@ -11,6 +11,7 @@ blocks of at most `block_bytes`, each broadcast in its turn against all document
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,6 @@ from .common import ascii_lower, durable, let
 
 #: What separates words once A to Z are lower case: ASCII that is neither digit nor letter.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in a text as it is.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -29,8 +28,26 @@ def words_of(text: Column) -> Column:
 
 
 def window_hashes(words: Column, n: int) -> Column:
-    """xxhash64 of each window of n words, by position from 0; empty if there are fewer words."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
+    """A hash of each window of n words, by position from 0; empty if there are fewer words.
+
+    Hashes of windows of 1, 2, 4, ... words are each made of two of the size before,
+    and n is their sum, so that a window takes a few steps and not n.
+    """
+
+    def joined(a: Column, b: Column, step: int) -> Column:
+        return F.transform(a, lambda x, i: F.xxhash64(x, F.get(b, i + step)))
+
+    def build(made: dict[int, Column]) -> Column:
+        top = max(made)
+        if 2 * top <= n:
+            return let(joined(made[top], made[top], top), lambda x: build({**made, 2 * top: x}))
+        out, done = made[top], top
+        for k in sorted(made, reverse=True)[1:]:
+            if n - done >= k:
+                out, done = joined(out, made[k], done), done + k
+        return F.slice(out, 1, F.size(words) - (n - 1))
+
+    return F.when(F.size(words) >= n, let(F.transform(words, lambda x: F.xxhash64(x)), lambda x: build({1: x}))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _windows_of(n: int):
@@ -42,25 +59,30 @@ def benchmark_windows(benchmark: DataFrame, window: int = 10, id_col: str = "ite
     items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(window))
     grams = items.select("item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.slice("words", i, n))).alias("gram"))
-    return grams.groupBy("n", "gram").agg(F.collect_set("item_id").alias("item_ids")).select("n", F.xxhash64("gram").alias("h"), "gram", "item_ids")
+    h = F.coalesce(*[F.when(F.col("n") == k, F.get(window_hashes(F.col("gram"), k), F.lit(0))) for k in range(1, window + 1)])
+    return grams.groupBy("n", "gram").agg(F.collect_set("item_id").alias("item_ids")).select("n", h.alias("h"), "gram", "item_ids")
 
 
-def hits(docs: DataFrame, windows: DataFrame, keys: list[str], text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
-    """(*keys, pos, n, item_ids): the windows found, pos counting words from 0."""
+def probed(docs: DataFrame, windows: DataFrame, keys: list[str], text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+    """(*keys, n_words, pos, n, item_ids): the windows found, pos counting words from
+    0, and for each row of docs one row more, which has a null pos."""
     size = windows.groupBy("n").agg(F.sum(F.length(F.concat_ws(" ", "gram")) + 64 + 16 * F.col("n") + 16 * F.size("item_ids")).alias("bytes")).collect()  # a row for each length
     words = docs.select(*keys, words_of(F.col(text_col)).alias("words"))
-    found = None
-    for n, total in sorted((r.n, r.bytes) for r in size):
-        blocks = ceil(total / block_bytes)
-        hashed = words.select(*keys, "words", let(F.col("words"), _windows_of(n)).alias("hs"))
-        probes = hashed.select(*keys, "words", F.posexplode("hs").alias("pos", "h"))
-        for k in range(blocks):
-            block = windows.filter((F.col("n") == n) & (F.pmod("h", F.lit(blocks)) == k)).select("h", "gram", "item_ids")
-            hit = probes.join(F.broadcast(block), "h").filter(F.slice("words", F.col("pos") + 1, n) == F.col("gram")).select(*keys, "pos", F.lit(n).alias("n"), "item_ids")
-            found = hit if found is None else found.union(hit)
-    if found is None:
-        found = docs.select(*keys, F.lit(0).alias("pos"), F.lit(0).alias("n"), F.array(F.lit(None).cast(windows.schema["item_ids"].dataType.elementType)).alias("item_ids")).filter(F.lit(False))
-    return found
+    n_words = F.size("words").cast("long").alias("n_words")
+    passes = [(r.n, k, ceil(r.bytes / block_bytes)) for r in sorted(size, reverse=True) for k in range(ceil(r.bytes / block_bytes))]
+    if not passes:
+        kind = windows.schema["item_ids"].dataType.simpleString()
+        return words.select(*keys, n_words, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("n"), F.lit(None).cast(kind).alias("item_ids"))
+    found = []
+    for n, k, blocks in passes:
+        block = windows.filter((F.col("n") == n) & (F.pmod("h", F.lit(blocks)) == k)).select("h", "gram", "item_ids")
+        last = F.array(F.lit(None).cast("bigint")) if not found else F.array().cast("array<bigint>")
+        hashed = words.select(*keys, "words", F.concat(let(F.col("words"), _windows_of(n)), last).alias("hs"))
+        probe = hashed.select(*keys, "words", F.posexplode("hs").alias("pos", "h")).join(F.broadcast(block), "h", "left")
+        # A probe that finds nothing stays out; the null hash at the end stands for the row.
+        kept = probe.filter(F.col("h").isNull() | (F.slice("words", F.col("pos") + 1, n) == F.col("gram")))
+        found.append(kept.select(*keys, n_words, F.when(F.col("h").isNotNull(), F.col("pos")).alias("pos"), F.lit(n).alias("n"), "item_ids"))
+    return reduce(DataFrame.union, found)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
@@ -74,20 +96,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_h"))
     windows = durable(benchmark_windows(benchmark, window))
-    hit = hits(rows, windows, ["id", "text_h"], block_bytes=block_bytes).groupBy("id", "text_h").agg(
-        F.collect_set(F.struct("pos", "n")).alias("at"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items")
-    )
-    covered = F.sort_array(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["pos"], x["pos"] + x["n"] - 1)))))
-    marked = hit.select("id", "text_h", "items", covered.alias("c")).select(
-        "id", "text_h", "items", F.size("c").cast("long").alias("n_hit"),
-        F.filter("c", lambda x, i: (i == 0) | (F.get("c", i - 1) != x - 1)).alias("first"),
-        F.filter("c", lambda x, i: (i == F.size("c") - 1) | (F.get("c", i + 1) != x + 1)).alias("last"),
+    found = probed(rows, windows, ["id", "text_h"], block_bytes=block_bytes).groupBy("id", "text_h").agg(
+        F.max("n_words").alias("n_words"), F.count(F.when(F.col("pos").isNull(), 1)).alias("copies"),
+        F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "n"))).alias("at"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items"),
     )
-    spans = marked.select("id", "text_h", "items", "n_hit", F.zip_with("first", "last", lambda a, b: F.struct(a.alias("first"), (b + 1).alias("past"))).alias("spans"))
-    out = rows.select("id", "text_h", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words")).join(spans.withColumnsRenamed({"id": "hit_id", "text_h": "hit_h"}), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_h") == F.col("hit_h")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    names = F.array_join(F.sort_array(F.coalesce(F.transform("items", lambda x: x.cast("string")), F.array().cast("array<string>"))), ",")
-    return out.select(
-        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("spans"),
+    covered = F.sort_array(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["pos"], x["pos"] + x["n"] - 1)))))
+    marked = found.select(F.explode(F.array_repeat(F.struct("id", "n_words", covered.alias("c"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items")), F.col("copies").cast("int"))).alias("r")).select("r.*")
+    first = F.filter("c", lambda x, i: (i == 0) | (F.get("c", i - 1) != x - 1))
+    last = F.filter("c", lambda x, i: (i == F.size("c") - 1) | (F.get("c", i + 1) != x + 1))
+    return marked.select(
+        F.col("id").alias(id_col), "n_words", F.size("c").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("c") > 0).alias("contaminated"),
+        F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), (b + 1).alias("past"))).alias("spans"),
     )
