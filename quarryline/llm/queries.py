@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, personal, perspectives, pieces, quality, shards, simhash, sql
+from . import decontaminate, language, licenses, personal, perspectives, pieces, quality, shards, simhash, sql
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out("doc_id", 4, 2))
     examples = language.sample(docs, ~F.col("held_out"))
@@ -44,5 +48,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_quality_rules, op4_perspectives, op6_language, op7_personal_data, op8_decontaminate, op9_pieces, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_quality_rules, op4_perspectives, op5_licenses, op6_language, op7_personal_data, op8_decontaminate, op9_pieces, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op4_perspectives": sql.PERSPECTIVES, "op8_decontaminate": sql.DECONTAMINATE}
