@@ -43,6 +43,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def held_out(id_col: str, of: int, part: int) -> Column:
+    """Whether the CRC-32 of the id as text leaves `part` when divided by `of`; a null id does not."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of)) == part, F.lit(False))
+
+
 def join_hot(rows: DataFrame, dim: DataFrame, key: str, weight: str, hot_rows: int = 2_000, hot_keys: int = 1_000) -> DataFrame:
     """rows inner join dim on key, dim having one row for each key and the number
     of rows with that key in `weight`.

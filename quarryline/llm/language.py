@@ -187,10 +187,6 @@ def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     return [(r.text, r.lang) for r in texts.orderBy("lang", "k").select("text", "lang").collect() if r.text and any(map(str.isalpha, r.text))]
 
 
-def held_out(id_col: str, of: int, part: int) -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of)) == part, F.lit(False))
-
-
 def identify(docs: DataFrame, examples: list[tuple[str, str]], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of docs, lang_pred and score, a row for each row of docs.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, personal, perspectives, pieces, quality, shards, simhash, sql
-from .common import table
+from . import decontaminate, interpolated, language, licenses, personal, perspectives, pieces, quality, shards, simhash, sql
+from .common import held_out, table
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated.score(table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
+
+
 def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
@@ -35,7 +39,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out("doc_id", 4, 2))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
     examples = language.sample(docs, ~F.col("held_out"))
     return language.identify(docs, examples, keep=("doc_id", "held_out"))
 
@@ -48,5 +52,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_quality_rules, op4_perspectives, op5_licenses, op6_language, op7_personal_data, op8_decontaminate, op9_pieces, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_quality_rules, op3_interpolated, op4_perspectives, op5_licenses, op6_language, op7_personal_data, op8_decontaminate, op9_pieces, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op4_perspectives": sql.PERSPECTIVES, "op8_decontaminate": sql.DECONTAMINATE}
