@@ -17,18 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share.
 
-    The folder is the session's own (spark.checkpoint.dir). Where none is set, a
-    local session gets a temporary one; a cluster session is an error, as a local
-    folder of one machine is not seen by the others.
+    It is the session's own (spark.checkpoint.dir). Where none is set, a local session
+    gets a temporary one; on a cluster that is an error, as the local folder of one
+    machine is not seen by the others.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder; its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

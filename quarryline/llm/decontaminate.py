@@ -23,6 +23,10 @@ from .common import ascii_lower, durable, let
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Runs of word characters and of others in a text as it is.
+RUNS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
@@ -109,3 +113,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("c") > 0).alias("contaminated"),
         F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), (b + 1).alias("past"))).alias("spans"),
     )
+
+
+def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs in which no benchmark window occurs, as they are. Null texts have none and stay."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_h"))
+    found = probed(rows, durable(benchmark_windows(benchmark, window)), ["id", "text_h"]).filter(F.col("pos").isNotNull())
+    hit = found.select(F.col("id").alias("hit id"), F.col("text_h").alias("hit text_h")).distinct()
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("hit id")) & (F.xxhash64(text_col) == F.col("hit text_h")), "left_anti")
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """text less the words of spans, (first, past) by word, and what stands between words of one span."""
+    runs = F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))
+    lead = F.when(text.rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
+    inside = lambda i, s: (i >= 2 * s["first"] + lead) & (i <= 2 * (s["past"] - 1) + lead)
+    return F.array_join(F.filter(runs, lambda x, i: ~F.exists(spans, lambda s: inside(i, s))), "")

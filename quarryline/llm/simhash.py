@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, join_hot
@@ -54,15 +54,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long. A null text has no words and the fingerprint zero."""
+    """(id, text_h, fp): a hash of the text and its fingerprint as a signed long. A null text has no words and the fingerprint zero."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "text_h", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_h"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, text_h long, fp long")
 
 
 def byte_at(fp: Column, i: int) -> Column:
@@ -134,6 +134,17 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """(id, text_h, fp, root, component_id) for every row of docs; root is the least fingerprint of the row's component."""
+    fps = durable(fingerprints(docs, id_col, text_col, shingle))
+    nodes = durable(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
+    roots = components(links(nodes.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
+    linked = durable(nodes.join(roots, "fp", "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root")))
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = durable(linked.join(least, "root").select("fp", "rows", "root", "component_id"))
+    return join_hot(fps, known, "fp", "rows")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(id_col, fp, component_id) for every row of docs, fp as a signed long.
 
@@ -143,10 +154,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the fingerprint zero and are linked like any other. Repeated rows each come back.
     Other columns of docs are ignored.
     """
-    fps = durable(fingerprints(docs, id_col, text_col, shingle))
-    nodes = durable(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
-    roots = components(links(nodes.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
-    classes = durable(nodes.join(roots, "fp", "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root")))
-    linked = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = durable(classes.join(linked, "root").select("fp", "rows", "component_id"))
-    return join_hot(fps, known, "fp", "rows").select(F.col("id").alias(id_col), "fp", "component_id")
+    return classes(docs, id_col, text_col, shingle, max_bits).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """docs with one row of each component: that of the least id, ids before null, and
+    of rows under one id the least by a hash of the text; of equal rows one stays."""
+    first = classes(docs, id_col, text_col, shingle, max_bits).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_h")).alias("k"))
+    keep = first.select(F.col("k.id").alias("keep id"), F.col("k.text_h").alias("keep text_h"))
+    hashed = docs.withColumn("own text_h", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("keep id")) & (F.col("own text_h") == F.col("keep text_h"))
+    kept = hashed.join(keep, same, "left_semi")
+    once = F.row_number().over(Window.partitionBy(id_col, "own text_h").orderBy("own text_h"))
+    return kept.withColumn("copy no", once).filter(F.col("copy no") == 1).select(*docs.columns)
