@@ -1,4 +1,566 @@
-"""Registered queries and the SQL that says what each must return."""
+"""Registered queries and the SQL that says what each must return.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Numbers with fractions are rounded to six places in both, after all ranking.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scores, text, vectors
+from ..functions.answer_tables import CONSENSUS_PUNCTUATION, CONTRACTIONS, NUMBER_WORDS, PUNCTUATION, VERDICT_WORDS
+from ..operators import graph, metrics, results, search, segments, telemetry
+from . import relations as rel
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def _literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _map_sql(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"{_literal(k)}: {_literal(v)}" for k, v in table.items()) + "}"
+
+
+# Text
+
+
+@query(f"SELECT doc_id, {rel.NORMALIZED.format('text')} AS title FROM documents")
+def normalize_title(spark, sf_dir):
+    return rel.table(spark, sf_dir, "documents").select("doc_id", text.normalize_title("text").alias("title"))
+
+
+@query(rf"""WITH u AS (SELECT page_id, regexp_replace(url, '/[a-z][a-z]/', '/wiki/Caf%C3%A9_+_') AS url FROM pages)
+SELECT page_id, {rel.NORMALIZED.format("replace(url_decode(replace(regexp_extract(url, '/wiki/([^#?]*)', 1), '+', '%2B')), '_', ' ')")} AS title FROM u""")
+def url_to_title(spark, sf_dir):
+    wiki = F.regexp_replace("url", "^(.*?)/[a-z][a-z]/", "$1/wiki/Caf%C3%A9_+_")
+    return rel.table(spark, sf_dir, "pages").select("page_id", text.url_to_title(wiki).alias("title"))
+
+
+_LISTED = "(contains(t, 'list of') OR contains(t, 'outline of') OR contains(t, 'index of'))"
+
+
+@query(f"WITH {rel.TITLED}, n AS (SELECT doc_idx, {rel.NORMALIZED.format('title')} AS t FROM titled) SELECT doc_idx, t AS title FROM n WHERE NOT {_LISTED}")
+def list_page_filter(spark, sf_dir):
+    return rel.titled(spark, sf_dir).filter(~text.is_list_page("title")).select("doc_idx", text.normalize_title("title").alias("title"))
+
+
+@query(f"""WITH {rel.TITLED}, s AS (SELECT doc_idx, title, unnest(range(0, len(lines))) AS section_idx, unnest(lines) AS section_text FROM titled),
+n AS (SELECT *, CASE WHEN section_idx % 9 = 4 THEN ' See also ' WHEN section_idx % 9 = 7 THEN 'Notes' ELSE 'Part ' || section_idx END AS section_title FROM s)
+SELECT doc_idx, title AS source_title, CAST(section_idx AS INTEGER) AS section_idx, section_title, section_text FROM n
+WHERE trim(lower(section_title)) NOT IN ('references', 'external links', 'see also', 'notes', 'bibliography', 'further reading') AND regexp_matches(section_text, '\\S')""")
+def section_split(spark, sf_dir):
+    return segments.sections(rel.titled(spark, sf_dir))
+
+
+@query()
+def balanced_chunks(spark, sf_dir):
+    return segments.paragraphs(segments.sections(rel.titled(spark, sf_dir)), 400).select("doc_idx", "section_idx", "paragraph_idx", "section_title", "section_text")
+
+
+_SENT = r"list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query(rf"""WITH s AS (SELECT doc_id AS doc_idx, {_SENT.replace("text,", "trim(text, ' ' || chr(9) || chr(10) || chr(13)),", 1)} AS p FROM documents)
+SELECT doc_idx, CAST(unnest(range(0, len(p))) AS INTEGER) AS sentence_idx, unnest(p) AS sentence FROM s""")
+def sentence_split(spark, sf_dir):
+    return rel.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_idx"), F.posexplode(segments.sentences_of(F.col("text"))).alias("sentence_idx", "sentence"))
+
+
+_MARKS = "[.!\"()*#:;~]"
+
+
+@query(rf"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '{_MARKS}', ' ', 'g'), '\s{{2,}}', ' ', 'g'), '\n+$', ''), ' ') AS c FROM documents)
+SELECT doc_id, array_to_string(string_split(c, ' ')[1:50], ' ') AS caption FROM c""")
+def pre_caption(spark, sf_dir):
+    return rel.table(spark, sf_dir, "documents").select("doc_id", text.pre_caption("text").alias("caption"))
+
+
+@query(rf"SELECT doc_id, array_to_string(string_split(rtrim(regexp_replace(lower(text), '{_MARKS}', '', 'g'), ' '), ' ')[1:50], ' ') AS question FROM documents")
+def pre_question(spark, sf_dir):
+    return rel.table(spark, sf_dir, "documents").select("doc_id", text.pre_question("text").alias("question"))
+
+
+@query("""SELECT doc_id, '# Wiki Article: ' || lang || chr(10) || '## Section Title: ' || source || chr(10) || text AS section FROM documents""")
+def section_header(spark, sf_dir):
+    return rel.table(spark, sf_dir, "documents").select("doc_id", text.section_header("lang", "source", "text").alias("section"))
+
+
+# The answer normaliser's word boundary is Unicode's: articles next to an accented letter are part of a word.
+_ANSWER = rf"""array_to_string(list_transform(list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(
+  ' ' || regexp_replace(translate(translate(trim(lower(@@), ' ' || chr(10) || chr(9)), chr(10) || chr(9), '  '), {_literal(PUNCTUATION)}, ''), '\s+', '  ', 'g') || ' ',
+  ' the  answer  is ', '  ', 'g'), ' (a|an|the) ', '  ', 'g'), '\s+'), lambda x: x <> ''),
+  lambda w: coalesce({_map_sql(NUMBER_WORDS | VERDICT_WORDS)}[w], w)), lambda w: coalesce({_map_sql(CONTRACTIONS)}[w], w)), ' ')"""
+
+
+def _answer_sql(c: str) -> str:
+    return _ANSWER.replace("@@", c)
+
+
+@query(f"SELECT conv_id, turn, {_answer_sql('text')} AS answer FROM conversations")
+def answer_normalize(spark, sf_dir):
+    return rel.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalize_answer("text").alias("answer"))
+
+
+def _consensus_punct_sql(c: str) -> str:
+    out = c
+    for p in CONSENSUS_PUNCTUATION:
+        q = _literal(p)
+        out = rf"replace({out}, {q}, CASE WHEN contains({c}, {q} || ' ') OR contains({c}, ' ' || {q}) OR regexp_matches({c}, '\d,\d') THEN '' ELSE ' ' END)"
+    return out
+
+
+# The texts of the tables have fewer than 33 full stops to remove or the rest stays, as in the operator.
+_STOPS = r"""list_reduce(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i > 33 THEN '.' || p[i] ELSE p[i] END), lambda a, b: a || b)"""
+_WORDS = f"""array_to_string(list_transform(list_filter(list_transform(list_filter(string_split_regex(lower(x), '\\s+'), lambda w: w <> ''), lambda w: coalesce({_map_sql(NUMBER_WORDS)}[w], w)), lambda w: w NOT IN ('a', 'an', 'the')), lambda w: coalesce({_map_sql(CONTRACTIONS)}[w], w)), ' ')"""
+
+
+@query(rf"""WITH s AS (SELECT conv_id, turn, trim(translate(text, chr(10) || chr(9), '  '), ' ') AS t FROM conversations),
+m AS (SELECT conv_id, turn, {_consensus_punct_sql('t')} AS m FROM s),
+k AS (SELECT conv_id, turn, string_split(regexp_replace(replace(m, '.', chr(1)), chr(1) || '(\d)', '.\1', 'g'), chr(1)) AS p FROM m),
+x AS (SELECT conv_id, turn, {_STOPS} AS x FROM k)
+SELECT conv_id, turn, {_WORDS} AS answer FROM x""")
+def consensus_normalize(spark, sf_dir):
+    return rel.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.consensus_answer("text").alias("answer"))
+
+
+# Vector search and ranking
+
+
+@query(f"WITH {rel.HITS} SELECT sample_id, vec_pos, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 20")
+def knn_topk(spark, sf_dir):
+    return rel.hits(spark, sf_dir).filter("rank <= 20").select("sample_id", "vec_pos", r6("score").alias("score"), "rank")
+
+
+@query(f"WITH {rel.DOC_HITS} SELECT sample_id, doc_idx, round(score, 6) AS score, CAST(doc_rank AS INTEGER) AS doc_rank FROM doc_hits")
+def knn_first_per_document(spark, sf_dir):
+    return rel.doc_hits(spark, sf_dir).select("sample_id", "doc_idx", r6("score").alias("score"), "doc_rank")
+
+
+@query(f"""WITH {rel.HITS}, d AS (SELECT sample_id, doc_idx, max(score) AS score, min(rank) AS f FROM hits GROUP BY ALL)
+SELECT sample_id, doc_idx, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY f) AS INTEGER) AS doc_rank FROM d""")
+def knn_dedup_maxscore(spark, sf_dir):
+    return search.best_per_document(rel.hits(spark, sf_dir)).withColumn("score", r6("score"))
+
+
+_KS = "(SELECT unnest([1, 3, 5, 10, 20]) AS k)"
+
+
+@query(f"""WITH {rel.DOC_HITS}, best AS (SELECT q.sample_id, min(doc_rank) AS r FROM q LEFT JOIN doc_hits d ON q.sample_id = d.sample_id AND d.label = d.truth GROUP BY ALL)
+SELECT CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (r <= k) AS BIGINT) AS hits, count(*) AS total, count(*) FILTER (r <= k) / count(*) AS recall FROM best, {_KS} GROUP BY k""")
+def image_search_recall(spark, sf_dir):
+    s = rel.samples(spark, sf_dir)
+    ranked = rel.doc_hits(spark, sf_dir).join(s.select("sample_id", "truth"), "sample_id")
+    return metrics.recall_at(metrics.first_match(ranked, s, F.col("label") == F.col("truth"), "doc_rank"), "rank", 20)
+
+
+@query(f"""WITH {rel.HITS}, first AS (SELECT doc_idx, min(vec_pos) AS first_pos, count(*) AS n FROM v GROUP BY doc_idx)
+SELECT h.sample_id, h.vec_pos, CASE WHEN h.vec_pos - first_pos < 5 THEN 'img' || h.doc_idx || '/' || (h.vec_pos - first_pos) END AS image_url, CASE WHEN h.vec_pos - first_pos < 3 THEN 'view ' || (h.vec_pos - first_pos) ELSE '' END AS description
+FROM hits h JOIN first USING (doc_idx)""")
+def hit_images(spark, sf_dir):
+    first = rel.vectors(spark, sf_dir).groupBy("doc_idx").agg(F.min("vec_pos").alias("first_pos"))
+    urls = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("img"), F.col("doc_idx").cast("string"), F.lit("/"), i.cast("string")))
+    docs = first.withColumns({"image_urls": urls, "descriptions": F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.lit("view "), i.cast("string")))})
+    return search.image_of(rel.hits(spark, sf_dir), docs).select("sample_id", "vec_pos", "image_url", "description")
+
+
+@query(f"""WITH {rel.DOC_HITS}, e AS (SELECT sample_id, doc_idx, exp(score / 0.5 - max(score / 0.5) OVER (PARTITION BY sample_id)) AS e FROM doc_hits)
+SELECT sample_id, doc_idx, round(e / sum(e) OVER (PARTITION BY sample_id), 6) AS img_norm FROM e""")
+def doc_softmax(spark, sf_dir):
+    return rel.doc_hits(spark, sf_dir).select("sample_id", "doc_idx", r6(scores.softmax("score", "sample_id", 0.5)).alias("img_norm"))
+
+
+@query(f"""WITH {rel.CANDIDATES}, t AS (SELECT sample_id, 'title ' || (doc_idx % 13) AS title, max_by(similarity, idx) AS img_norm FROM cand WHERE idx % 2 = 0 GROUP BY ALL),
+f AS (SELECT c.sample_id, c.idx, 1 / (1 + exp(-rerank / 2)) AS rerank_norm, coalesce(img_norm, 0) AS img_norm FROM cand c LEFT JOIN t ON t.sample_id = c.sample_id AND t.title = 'title ' || (c.doc_idx % 13)),
+g AS (SELECT *, 0.3::DOUBLE * img_norm + 0.7::DOUBLE * rerank_norm AS combined FROM f)
+SELECT sample_id, idx, round(rerank_norm, 6) AS rerank_norm, round(img_norm, 6) AS img_norm, round(combined, 6) AS combined, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY combined DESC, idx) AS INTEGER) AS section_rank FROM g""")
+def sigmoid_fusion(spark, sf_dir):
+    c = rel.candidates(spark, sf_dir).withColumn("title", F.concat(F.lit("title "), (F.col("doc_idx") % 13).cast("string")))
+    docs = c.filter("idx % 2 = 0").select("sample_id", "title", F.col("idx").alias("doc_rank"), F.col("similarity").alias("img_norm"))
+    s = search.score_by_title(c, docs, "img_norm").withColumn("rerank_norm", scores.sigmoid("rerank", 2.0))
+    s = s.withColumns({"combined": scores.weighted("img_norm", "rerank_norm", 0.3, 0.7), "doc_rank": F.lit(0), "section_idx": F.col("idx")})
+    return search.rank_sections(s, F.col("combined")).select("sample_id", "idx", r6("rerank_norm").alias("rerank_norm"), r6("img_norm").alias("img_norm"), r6("combined").alias("combined"), "section_rank")
+
+
+@query(f"""WITH {rel.CANDIDATES}, e AS (SELECT sample_id, exp(similarity - max(similarity) OVER (PARTITION BY sample_id)) AS e FROM cand),
+p AS (SELECT sample_id, e / sum(e) OVER (PARTITION BY sample_id) AS p FROM e), h AS (SELECT sample_id, -sum(p * ln(p + 1e-12::DOUBLE)) AS h, count(*) AS n FROM p GROUP BY sample_id),
+c AS (SELECT sample_id, h, n, 1 - h / ln(n::DOUBLE) AS c FROM h)
+SELECT sample_id, round(h, 6) AS entropy, round(c, 6) AS confidence, CAST(CASE WHEN c >= 0.002 THEN 1 ELSE greatest(1, ceil((1 - c) * n)) END AS BIGINT) AS keep_n FROM c""")
+def topm_confidence(spark, sf_dir):
+    ranked = rel.candidates(spark, sf_dir).withColumn("section_rank", F.col("idx") + 1)
+    return search.confidence(ranked, "similarity", rel.M, 0.002).withColumns({"entropy": r6("entropy"), "confidence": r6("confidence")})
+
+
+@query(f"""WITH {rel.CANDIDATES} SELECT sample_id, idx, round((rerank - min(rerank) OVER w) / (max(rerank) OVER w - min(rerank) OVER w), 6) AS norm FROM cand WINDOW w AS (PARTITION BY sample_id)""")
+def minmax_norm(spark, sf_dir):
+    return rel.candidates(spark, sf_dir).select("sample_id", "idx", r6(scores.minmax("rerank", "sample_id")).alias("norm"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
+SELECT vec_id, round(sqrt(list_dot_product(x, x)), 6) AS norm, list_transform(x, lambda y: round(y / sqrt(list_dot_product(x, x)), 6)) AS unit FROM e""")
+def l2_normalize(spark, sf_dir):
+    e = rel.table(spark, sf_dir, "embeddings").select("vec_id", vectors.doubles("embedding").alias("x"))
+    return e.select("vec_id", r6(vectors.norm("x")).alias("norm"), F.transform(vectors.l2_normalize("x"), lambda y: F.round(y, 6)).alias("unit"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), p AS (SELECT a.vec_id, a.x, b.x AS d FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_transform(x, lambda v: round(v, 6)) ELSE list_transform(range(1, len(x) + 1), lambda i: round(0.7::DOUBLE * x[i] + 0.3::DOUBLE * d[i], 6)) END AS fused,
+round(list_dot_product(x, d) / sqrt(list_dot_product(x, x)) / sqrt(list_dot_product(d, d)), 6) AS cosine FROM p""")
+def description_fusion(spark, sf_dir):
+    e = rel.table(spark, sf_dir, "embeddings").select("vec_id", vectors.doubles("embedding").alias("x"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("d")), "vec_id")
+    said = F.when(F.col("vec_id") % 3 == 0, F.lit("  ")).otherwise(F.lit("a view"))
+    return p.select("vec_id", F.transform(vectors.fuse("x", "d", said, 0.7), lambda y: F.round(y, 6)).alias("fused"), r6(vectors.cosine("x", "d")).alias("cosine"))
+
+
+# Late interaction: token matrices are runs of eight vectors; a token is masked where its number divides by 5.
+_TOKENS = """
+tok AS (SELECT vec_id // 8 AS sec, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) FILTER (vec_id % 5 <> 0) AS kept, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS every, min(label) AS label FROM embeddings GROUP BY ALL HAVING count(*) = 8),
+prod AS (SELECT q.sec AS qry, s.sec AS sec, list_transform(q.every[1:4], lambda a: list_transform(s.kept, lambda b: list_dot_product(a, b))) AS m, list_transform(q.every[1:4], lambda a: list_dot_product(a, s.every[1])) AS c, q.label AS ql, s.label AS sl
+  FROM tok q JOIN tok s ON q.sec <> s.sec AND q.sec % 100 = 0),
+late AS (SELECT qry, sec, ql, sl, list_max(c) AS cls_max, list_avg(list_transform(m, lambda r: list_max(r))) AS maxsim,
+  list_avg(list_transform(m, lambda r: list_max(r) + ln(list_sum(list_transform(r, lambda x: exp(x - list_max(r))))) - ln(len(r)::DOUBLE))) AS lse FROM prod)"""
+
+
+def _late(spark, sf_dir):
+    """Each section that starts at a multiple of 100 as a query of four tokens, against all other sections."""
+    e = rel.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).cast("long").alias("sec"), "vec_id", vectors.doubles("embedding").alias("x"), "label")
+    rows = e.groupBy("sec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("t"), F.min("label").alias("label")).filter(F.size("t") == 8)
+    s = rows.select("sec", F.transform("t", lambda r: r["x"]).alias("tokens"), F.transform("t", lambda r: r["vec_id"] % 5 != 0).alias("mask"), "label")
+    q = s.filter("sec % 100 = 0").select(F.col("sec").alias("qry"), F.slice("tokens", 1, 4).alias("q"), F.col("label").alias("ql"))
+    # The queries are a stated set, a hundredth of the sections, and meet all of them.
+    pairs = s.join(q, F.col("qry") != F.col("sec"))
+    return pairs.select("qry", "sec", "ql", F.col("label").alias("sl"), vectors.cls_max("q", F.get("tokens", F.lit(0))).alias("cls_max"), vectors.maxsim("q", "tokens", "mask").alias("maxsim"), vectors.logsumexp("q", "tokens", "mask").alias("lse"))
+
+
+@query(f"WITH {_TOKENS} SELECT qry, sec, round(cls_max, 6) AS cls_max, round(maxsim, 6) AS maxsim, round(lse, 6) AS lse FROM late")
+def late_interaction(spark, sf_dir):
+    return _late(spark, sf_dir).select("qry", "sec", *[r6(c).alias(c) for c in ("cls_max", "maxsim", "lse")])
+
+
+@query(f"""WITH {_TOKENS}, h AS (SELECT qry, sec, ql, sl, 0.5::DOUBLE * cls_max + 0.5::DOUBLE * maxsim AS score FROM late),
+r AS (SELECT *, row_number() OVER (PARTITION BY qry ORDER BY score DESC, sec) AS rank FROM h), b AS (SELECT qry, min(rank) FILTER (ql = sl) AS r FROM r GROUP BY qry)
+SELECT CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (r <= k) AS BIGINT) AS hits, count(*) AS total, count(*) FILTER (r <= k) / count(*) AS recall FROM b, {_KS} GROUP BY k""")
+def hybrid_rerank_recall(spark, sf_dir):
+    late = _late(spark, sf_dir).withColumn("score", 0.5 * F.col("cls_max") + 0.5 * F.col("maxsim")).withColumnRenamed("qry", "sample_id")
+    ranked = late.withColumn("rank", search.rank_by("sample_id", F.desc("score"), F.asc("sec")))
+    best = ranked.groupBy("sample_id").agg(F.min(F.when(F.col("ql") == F.col("sl"), F.col("rank"))).alias("rank"))
+    return metrics.recall_at(best, "rank", 20)
+
+
+@query("""WITH t AS (SELECT vec_id // 8 AS sec, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, 65)) AS d FROM embeddings),
+m AS (SELECT sec, d, coalesce(sum(x) FILTER (vec_id % 5 <> 0), 0) / greatest(count(*) FILTER (vec_id % 5 <> 0), 1e-9) AS x FROM t GROUP BY ALL), n AS (SELECT sec, sqrt(sum(x * x)) AS n FROM m GROUP BY sec)
+SELECT sec, list(round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) ORDER BY d) AS pooled FROM m JOIN n USING (sec) GROUP BY sec""")
+def mean_pool(spark, sf_dir):
+    e = rel.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).cast("long").alias("sec"), "vec_id", vectors.doubles("embedding").alias("x"))
+    s = e.groupBy("sec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("t"))  # eight of each
+    pooled = vectors.mean_pool(F.transform("t", lambda r: r["x"]), F.transform("t", lambda r: r["vec_id"] % 5 != 0))
+    return s.select("sec", F.transform(pooled, lambda y: F.round(y, 6)).alias("pooled"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), u AS (SELECT label, unnest(list_transform(x, lambda y: y / sqrt(list_dot_product(x, x)))) AS y, unnest(range(1, len(x) + 1)) AS d FROM e),
+m AS (SELECT label, d, avg(y) AS y FROM u GROUP BY ALL), c AS (SELECT label, list(y ORDER BY d) AS c FROM m GROUP BY label), s AS (SELECT vec_id, e.label AS truth, c.label AS guess, list_dot_product(x, c) / sqrt(list_dot_product(c, c)) AS s FROM e, c),
+b AS (SELECT vec_id, truth, guess, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, guess) AS r FROM s)
+SELECT vec_id, truth, guess FROM b WHERE r = 1""")
+def zero_shot_centroid(spark, sf_dir):
+    e = rel.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("truth"), vectors.doubles("embedding").alias("x"))
+    each = e.select("truth", F.posexplode(vectors.l2_normalize("x")).alias("d", "y")).groupBy("truth", "d").agg(F.avg("y").alias("y"))
+    classes = each.groupBy("truth").agg(F.sort_array(F.collect_list(F.struct("d", "y"))).alias("c")).select(F.col("truth").alias("guess"), vectors.l2_normalize(F.transform("c", lambda r: r["y"])).alias("c"))
+    # One row holds the classes, few by nature, and meets every vector.
+    model = classes.agg(F.sort_array(F.collect_list(F.struct("guess", "c"))).alias("classes"))
+    scored = e.join(F.broadcast(model)).select("vec_id", "truth", "classes", F.transform("classes", lambda k: vectors.dot("x", k["c"])).alias("s"))
+    return scored.select("vec_id", "truth", F.get("classes", metrics.argmax(F.col("s")))["guess"].alias("guess"))
+
+
+@query(f"""WITH {rel.HITS}, t AS (SELECT sample_id, vec_pos AS item, score, truth = label AS ok FROM hits),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, item) AS fr FROM t)
+SELECT sample_id, item, round(CASE WHEN fr <= 10 THEN score + (item % 11) / 20.0::DOUBLE ELSE -100 END, 6) AS final FROM r""")
+def shortlist_rerank(spark, sf_dir):
+    t = rel.hits(spark, sf_dir).select("sample_id", F.col("vec_pos").alias("item"), "score").withColumn("itm", (F.col("item") % 11) / 20.0)
+    return search.rerank_shortlist(t, 10, "score", "itm").select("sample_id", "item", r6("final").alias("final"))
+
+
+@query(f"""WITH {rel.HITS}, i AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, vec_pos DESC) - 1 AS rank, truth = label AS ok FROM hits),
+ir AS (SELECT sample_id, min(rank) AS rank FROM i WHERE ok GROUP BY ALL), t AS (SELECT vec_pos, row_number() OVER (PARTITION BY vec_pos ORDER BY score DESC, sample_id DESC) - 1 AS rank, truth = label AS ok FROM hits), tr AS (SELECT vec_pos, min(rank) AS rank FROM t WHERE ok GROUP BY ALL),
+a AS (SELECT 100.0::DOUBLE * avg((rank < 1)::INT) AS txt_r1, 100.0::DOUBLE * avg((rank < 5)::INT) AS txt_r5, 100.0::DOUBLE * avg((rank < 10)::INT) AS txt_r10 FROM ir),
+b AS (SELECT 100.0::DOUBLE * avg((rank < 1)::INT) AS img_r1, 100.0::DOUBLE * avg((rank < 5)::INT) AS img_r5, 100.0::DOUBLE * avg((rank < 10)::INT) AS img_r10 FROM tr)
+SELECT round(txt_r1, 6) AS txt_r1, round(txt_r5, 6) AS txt_r5, round(txt_r10, 6) AS txt_r10, round(img_r1, 6) AS img_r1, round(img_r5, 6) AS img_r5, round(img_r10, 6) AS img_r10, round((txt_r1 + txt_r5 + txt_r10) / 3, 6) AS txt_r_mean, round((img_r1 + img_r5 + img_r10) / 3, 6) AS img_r_mean,
+round(((txt_r1 + txt_r5 + txt_r10) / 3 + (img_r1 + img_r5 + img_r10) / 3) / 2, 6) AS r_mean, round((txt_r1 + txt_r5 + txt_r10) / 3, 6) AS agg_metrics FROM a, b""")
+def sim_matrix_retrieval(spark, sf_dir):
+    h = rel.hits(spark, sf_dir).join(rel.samples(spark, sf_dir).select("sample_id", "truth"), "sample_id")
+    truth = h.filter("label = truth").select("sample_id", "vec_pos")
+    images, texts = metrics.retrieval_ranks(h, truth, "sample_id", "vec_pos"), metrics.retrieval_ranks(h, truth, "vec_pos", "sample_id")
+    out = metrics.retrieval_report(images, texts)
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+# Graphs of sections
+
+
+@query(f"WITH {rel.EDGES} SELECT sample_id, i, j, round(weight, 6) AS weight FROM edge")
+def relation_edges(spark, sf_dir):
+    return graph.relation_edges(graph.average_relations(rel.relations(spark, sf_dir)), **rel.GATES).withColumn("weight", r6("weight"))
+
+
+@query(f"""WITH {rel.RELATIONS} SELECT sample_id, count(*) FILTER (p_con >= p_neu AND p_con >= p_ent) AS contradiction, count(*) FILTER (p_neu > p_con AND p_neu >= p_ent) AS neutral, count(*) FILTER (p_ent > p_con AND p_ent > p_neu) AS entailment FROM rel GROUP BY sample_id""")
+def label_counts(spark, sf_dir):
+    return graph.label_counts(graph.average_relations(rel.relations(spark, sf_dir)))
+
+
+def _graph(spark, sf_dir):
+    nodes = rel.candidates(spark, sf_dir)
+    return nodes, graph.relation_edges(graph.average_relations(rel.relations(spark, sf_dir)), **rel.GATES)
+
+
+_COMPONENTS = rel.EDGES + """,
+path0 AS (SELECT sample_id, idx AS a, idx AS b FROM cand UNION SELECT sample_id, i, j FROM edge UNION SELECT sample_id, j, i FROM edge),
+path1 AS (SELECT DISTINCT x.sample_id, x.a, y.b FROM path0 x JOIN path0 y ON x.sample_id = y.sample_id AND x.b = y.a), path2 AS (SELECT DISTINCT x.sample_id, x.a, y.b FROM path1 x JOIN path1 y ON x.sample_id = y.sample_id AND x.b = y.a),
+path3 AS (SELECT DISTINCT x.sample_id, x.a, y.b FROM path2 x JOIN path2 y ON x.sample_id = y.sample_id AND x.b = y.a)"""
+
+
+@query(f"WITH {_COMPONENTS} SELECT sample_id, a AS idx, min(b) AS component FROM path3 GROUP BY sample_id, a")
+def components(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.components(nodes, edges, rel.M)
+
+
+_CLIQUES = rel.EDGES + f""",
+near AS (SELECT c.sample_id, c.idx, coalesce(bit_or(1 << e.o), 0) AS near FROM cand c LEFT JOIN (SELECT sample_id, i AS n, j AS o FROM edge UNION ALL SELECT sample_id, j, i FROM edge) e ON e.sample_id = c.sample_id AND e.n = c.idx GROUP BY ALL),
+mask AS (SELECT sample_id, unnest(range(1, 1 << {rel.M})) AS mask FROM q),
+clique AS (SELECT m.sample_id, mask, list(idx ORDER BY idx) AS members FROM mask m JOIN near n ON n.sample_id = m.sample_id AND (mask & (1 << idx)) <> 0 GROUP BY m.sample_id, mask
+  HAVING bit_or(mask & ~(near | (1 << idx))) = 0 AND (bit_and(near) & ~mask) = 0)"""
+
+
+@query(f"WITH {_CLIQUES} SELECT sample_id, members FROM clique")
+def maximal_cliques(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.maximal_cliques(nodes, edges, rel.M)
+
+
+@query(f"""WITH {_CLIQUES}, norm AS (SELECT sample_id, idx, (similarity - min(similarity) OVER w) / (max(similarity) OVER w - min(similarity) OVER w) AS norm FROM cand WINDOW w AS (PARTITION BY sample_id)),
+sub AS (SELECT c.sample_id, c.mask AS whole, s.mask AS sub FROM clique c JOIN mask s ON s.sample_id = c.sample_id AND (s.mask & ~c.mask) = 0 AND bit_count(s.mask) = least(3, bit_count(c.mask))),
+sc AS (SELECT s.sample_id, whole, sub, list(idx ORDER BY idx) AS members, avg(norm) AS mean_score FROM sub s JOIN norm n ON n.sample_id = s.sample_id AND (sub & (1 << idx)) <> 0 GROUP BY ALL),
+es AS (SELECT sc.*, coalesce((SELECT sum(weight) FROM edge e WHERE e.sample_id = sc.sample_id AND (sub & (1 << i)) <> 0 AND (sub & (1 << j)) <> 0), 0) AS edge_sum FROM sc),
+b AS (SELECT *, row_number() OVER (PARTITION BY sample_id, whole ORDER BY round(edge_sum, 9) DESC, round(mean_score, 9) DESC, members) AS r FROM es)
+SELECT sample_id, members, round(edge_sum, 6) AS edge_sum, round(mean_score, 6) AS mean_score, round(0.7::DOUBLE * mean_score + 0.3::DOUBLE * CASE WHEN len(members) > 1 THEN edge_sum / (len(members) * (len(members) - 1) / 2) ELSE 0 END, 6) AS final_score FROM b WHERE r = 1""")
+def clique_clusters(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.clique_clusters(nodes, edges, rel.M).select("sample_id", "members", r6("edge_sum").alias("edge_sum"), r6("mean_score").alias("mean_score"), r6("final_score").alias("final_score"))
+
+
+def _consistent(spark, sf_dir):
+    nodes = rel.candidates(spark, sf_dir).withColumn("strength", scores.strength("rerank", "similarity"))
+    edges = graph.relation_edges(graph.average_relations(rel.relations(spark, sf_dir)), clamp=False, e_min=0.0, margin=-1.0, tau=0.2)
+    return graph.consistency_clusters(nodes, edges)
+
+
+@query()
+def consistency_clusters(spark, sf_dir):
+    out = _consistent(spark, sf_dir)
+    return out.select("sample_id", "cluster_rank", "type", "members", *[r6(c).alias(c) for c in ("consistency_raw", "consistency_norm", "section_norm_avg", "hybrid_score")])
+
+
+@query()
+def cluster_recall(spark, sf_dir):
+    s, labels = rel.samples(spark, sf_dir), rel.vectors(spark, sf_dir).select("vec_pos", "label")
+    each = _consistent(spark, sf_dir).select("sample_id", "cluster_rank", F.explode("members").alias("idx")).join(rel.candidates(spark, sf_dir).select("sample_id", "idx", "vec_pos"), ["sample_id", "idx"])
+    ranked = each.join(labels, "vec_pos").join(s.select("sample_id", "truth"), "sample_id")
+    return metrics.recall_at(metrics.first_match(ranked, s, F.col("label") == F.col("truth"), "cluster_rank"), "rank", 5)
+
+
+# Ground truth and answers
+
+
+_PIPE_TITLES = rel.NORMALIZED.format("x")
+
+
+@query(rf"""WITH p AS (SELECT doc_id, lang || '|' || source || '||' || lang AS titles, 'http://x/wiki/' || source || '?a|http://x/wiki/Page_' || (doc_id % 50) || '#b' AS urls, (doc_id % 4) || '| x |' || (doc_id % 9) || ' |3.0' AS ids FROM documents),
+t AS (SELECT doc_id, ids, list_filter(list_concat(list_transform(string_split(titles, '|'), lambda x: {_PIPE_TITLES}), list_transform(string_split(urls, '|'), lambda x: {rel.NORMALIZED.format("replace(regexp_extract(x, '/wiki/([^#?]*)', 1), '_', ' ')")})), lambda x: x <> '') AS titles FROM p),
+d AS (SELECT doc_id, list_filter(titles, lambda x, i: list_position(titles, x) = i) AS titles, list_transform(list_filter(string_split(ids, '|'), lambda x: regexp_matches(trim(x), '^[0-9]+$')), lambda x: CAST(trim(x) AS INTEGER)) AS sections FROM t)
+SELECT doc_id, CAST(n AS INTEGER) AS pos, titles[n + 1] AS title, sections[n + 1] AS section_id FROM d, (SELECT unnest(range(0, 10)) AS n) WHERE n < least(len(titles), len(sections))""")
+def ground_truth_pairs(spark, sf_dir):
+    d = rel.table(spark, sf_dir, "documents")
+    titles = F.concat("lang", F.lit("|"), "source", F.lit("||"), "lang")
+    urls = F.concat(F.lit("http://x/wiki/"), "source", F.lit("?a|http://x/wiki/Page_"), (F.col("doc_id") % 50).cast("string"), F.lit("#b"))
+    ids = F.concat((F.col("doc_id") % 4).cast("string"), F.lit("| x |"), (F.col("doc_id") % 9).cast("string"), F.lit(" |3.0"))
+    pairs = metrics.truth_pairs(metrics.truth_titles(titles, urls), metrics.truth_sections(ids))
+    return d.select("doc_id", F.posexplode(pairs).alias("pos", "p")).select("doc_id", "pos", "p.title", "p.section_id")
+
+
+_FIRST = "regexp_extract(answer, '^\\S+')"
+
+
+@query(f"""WITH {rel.ANSWERS}, e AS (SELECT conv_id, turn, {_answer_sql("regexp_extract(question, '^[^ ]+')")} AS r, {_answer_sql("regexp_extract(answer, '^[^ ]+')")} AS c FROM answers) SELECT conv_id, turn, r = c AS em FROM e WHERE r <> ''""")
+def em_single(spark, sf_dir):
+    first = lambda c: F.regexp_extract(c, "^[^ ]+", 0)
+    a = rel.answers(spark, sf_dir).filter(text.normalize_answer(first("question")) != "")
+    return a.select("conv_id", "turn", metrics.exact_match(first("question"), first("answer")).alias("em"))
+
+
+def _list_sql(parts: str) -> str:
+    return f"list_distinct(list_filter(list_transform({parts}, lambda x: {_answer_sql('x')}), lambda x: x <> ''))"
+
+
+@query(f"""WITH {rel.ANSWERS}, w AS (SELECT conv_id, turn, array_to_string(string_split(question, ' ')[1:4], '&&') AS ref, array_to_string(string_split(question, ' ')[2:5], ' and ') AS cand FROM answers),
+e AS (SELECT conv_id, turn, {_list_sql("string_split(ref, '&&')")} AS r, {_list_sql("string_split(replace(replace(cand, ' and ', ','), ' & ', ','), ',')")} AS c FROM w)
+SELECT conv_id, turn, len(list_intersect(r, c)) / len(list_distinct(list_concat(r, c))) >= 0.5 AS em FROM e WHERE len(r) > 0""")
+def em_multi(spark, sf_dir):
+    words = F.split("question", " ")
+    a = rel.answers(spark, sf_dir).select("conv_id", "turn", F.array_join(F.slice(words, 1, 4), "&&").alias("ref"), F.array_join(F.slice(words, 2, 4), " and ").alias("cand"))
+    some = F.exists(F.split("ref", "&&"), lambda x: text.normalize_answer(x) != "")
+    return a.filter(some).select("conv_id", "turn", metrics.list_match("ref", "cand").alias("em"))
+
+
+# Several annotators: the first words of a conversation's turns, cut to one letter so that some agree.
+def _annotated(spark, sf_dir):
+    t = rel.table(spark, sf_dir, "conversations")
+    refs = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("answer_id"), F.lower(F.substring("text", 1, 1)).alias("answer")))).alias("answers"))
+    return refs.select("conv_id", "answers", F.col("answers")[0]["answer"].alias("given"), F.when(F.col("conv_id") % 3 == 0, "templated").otherwise("automatic").alias("question_type"), F.when(F.col("conv_id") % 2 == 0, "other").otherwise("yes/no").alias("answer_type"))
+
+
+_ANNOTATED = f"""
+ann AS (SELECT conv_id, turn, lower(substring(text, 1, 1)) AS answer FROM conversations),
+given AS (SELECT conv_id, arg_min(answer, turn) AS raw, arg_min(array_to_string(list_filter([answer], lambda w: w NOT IN ('a')), ' '), turn) AS given, count(*) AS n FROM ann GROUP BY conv_id),
+acc AS (SELECT g.conv_id, avg(least(1.0::DOUBLE, (SELECT count(*) FROM ann o WHERE o.conv_id = a.conv_id AND o.turn <> a.turn AND o.answer = g.given) / 3)) AS accuracy FROM given g JOIN ann a USING (conv_id) GROUP BY g.conv_id),
+typed AS (SELECT conv_id, accuracy, CASE WHEN conv_id % 3 = 0 THEN 'templated' ELSE 'automatic' END AS question_type, CASE WHEN conv_id % 2 = 0 THEN 'other' ELSE 'yes/no' END AS answer_type FROM acc)"""
+
+
+@query(f"WITH {_ANNOTATED} SELECT conv_id, round(accuracy, 6) AS accuracy FROM acc")
+def vqa_consensus(spark, sf_dir):
+    return _annotated(spark, sf_dir).select("conv_id", r6(metrics.consensus_accuracy("given", "answers")).alias("accuracy"))
+
+
+@query(f"""WITH {_ANNOTATED} SELECT 'overall' AS level, 'all' AS name, round(100 * avg(accuracy), 2) AS accuracy, count(*) AS n FROM typed UNION ALL
+SELECT 'question_type', question_type, round(100 * avg(accuracy), 2), count(*) FROM typed GROUP BY ALL UNION ALL SELECT 'answer_type', answer_type, round(100 * avg(accuracy), 2), count(*) FROM typed GROUP BY ALL""")
+def vqa_report(spark, sf_dir):
+    return metrics.consensus_report(_annotated(spark, sf_dir).withColumn("accuracy", metrics.consensus_accuracy("given", "answers")))
+
+
+@query("""WITH a AS (SELECT conv_id, lower(substring(text, 1, 1)) AS x, turn FROM conversations), g AS (SELECT conv_id, arg_min(x, turn) AS given FROM a GROUP BY conv_id)
+SELECT conv_id, round(least(1.0::DOUBLE, count(*) FILTER (x = given) / 3), 6) AS accuracy FROM a JOIN g USING (conv_id) GROUP BY conv_id""")
+def aok_accuracy(spark, sf_dir):
+    return _annotated(spark, sf_dir).select("conv_id", r6(metrics.direct_accuracy("given", F.transform("answers", lambda a: a["answer"]))).alias("accuracy"))
+
+
+@query(f"""WITH {rel.ANSWERS}, s AS (SELECT left(question, 2) AS q, left(answer, 2) AS a FROM answers)
+SELECT count(*) AS n, round(avg((trim(regexp_replace(lower(q), '[.]', '', 'g')) = trim(regexp_replace(lower(a), '[.]', '', 'g')))::INT), 6) AS accuracy FROM s
+WHERE regexp_matches(q, '^[A-Z][a-z]$') AND regexp_matches(a, '^[A-Z][a-z]$') AND lower(q) NOT IN ('an') AND lower(a) NOT IN ('an')""")
+def gqa_accuracy(spark, sf_dir):
+    s = rel.answers(spark, sf_dir).select(F.substring("question", 1, 2).alias("q"), F.substring("answer", 1, 2).alias("a"))
+    plain = s.filter(F.col("q").rlike("^[A-Z][a-z]$") & F.col("a").rlike("^[A-Z][a-z]$") & ~F.lower("q").isin("an") & ~F.lower("a").isin("an"))
+    return plain.agg(F.count("*").alias("n"), r6(F.avg(metrics.single_accuracy("a", "q"))).alias("accuracy"))
+
+
+@query("""SELECT CAST(count(*) FILTER ((n_chars > 500)::INT = quality) AS BIGINT) AS correct, count(*) AS total, count(*) FILTER ((n_chars > 500)::INT = quality) / count(*) AS accuracy FROM labels JOIN documents USING (doc_id)""")
+def class_accuracy(spark, sf_dir):
+    both = rel.table(spark, sf_dir, "labels").join(rel.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return metrics.class_accuracy(both, (F.col("n_chars") > 500).cast("int"), F.col("quality"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS sample_id, o_orderpriority AS answer, o_orderkey AS pos FROM orders), c AS (SELECT sample_id, answer, count(*) AS n_seen, min(pos) AS f FROM a GROUP BY ALL),
+r AS (SELECT sample_id, answer, n_seen, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY n_seen DESC, f) AS INTEGER) AS place FROM c) SELECT * FROM r WHERE place <= 3""")
+def frequent_answers(spark, sf_dir):
+    a = rel.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderpriority").alias("answer"), F.col("o_orderkey").alias("pos"))
+    return search.frequent_first(a, 3)
+
+
+@query()
+def caption_dedup(spark, sf_dir):
+    d = rel.table(spark, sf_dir, "documents")
+    return d.select("doc_id", search.without_contained(F.filter(F.split("text", r"[.\n]+ *"), lambda s: s != "")).alias("kept"))
+
+
+# Results, telemetry
+
+
+@query("""WITH s AS (SELECT 0 AS k, conv_id, turn, text FROM conversations WHERE turn % 2 = 1 UNION ALL SELECT 1, conv_id, turn, text FROM conversations WHERE turn % 2 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k, turn) AS n FROM s) SELECT conv_id, turn, text FROM r WHERE n = 1""")
+def merge_dedup_results(spark, sf_dir):
+    t = rel.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return results.merge_shards([t.filter("turn % 2 = 1"), t.filter("turn % 2 = 0")], "conv_id", "turn")
+
+
+@query("SELECT count(*) FILTER (l.doc_id IS NULL) AS only_a, count(*) FILTER (d.doc_id IS NULL) AS only_b FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+def same_ids(spark, sf_dir):
+    return results.same_ids(rel.table(spark, sf_dir, "documents"), rel.table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT d.doc_id AS sample_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def missing_samples(spark, sf_dir):
+    ids = lambda t: rel.table(spark, sf_dir, t).select(F.col("doc_id").alias("sample_id"))
+    return results.missing_samples(ids("documents"), ids("labels"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
+SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dialogue FROM r WHERE n <= 6 GROUP BY conv_id""")
+def dialogue_window(spark, sf_dir):
+    d = results.dialogue(rel.table(spark, sf_dir, "conversations"), 3)
+    return d.select("conv_id", "n_turns", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n").alias("dialogue"))
+
+
+@query("SELECT word AS term, list(DISTINCT p_partkey ORDER BY p_partkey) AS items FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part) GROUP BY word")
+def answer_index(spark, sf_dir):
+    return results.inverted_index(rel.table(spark, sf_dir, "part"), "p_partkey", F.split("p_type", " "))
+
+
+@query(f"""WITH {rel.TELEMETRY}, o AS (SELECT * FROM tele WHERE NOT is_warmup)
+SELECT stage, count(*) AS count, round(avg(latency_s), 6) AS latency_mean, round(stddev_pop(latency_s), 6) AS latency_std, round(quantile_cont(latency_s, 0.5), 6) AS latency_p50, round(quantile_cont(latency_s, 0.9), 6) AS latency_p90, round(quantile_cont(latency_s, 0.95), 6) AS latency_p95,
+round(quantile_cont(latency_s, 0.99), 6) AS latency_p99, round(avg(peak_vram_gb), 6) AS vram_mean, round(max(peak_vram_gb), 6) AS vram_max, round(avg(energy_j), 6) AS energy_mean, round(sum(energy_j), 4) AS energy_total FROM o GROUP BY stage""")
+def stage_summary(spark, sf_dir):
+    out = telemetry.stage_summary(rel.telemetry(spark, sf_dir))
+    return out.select("stage", "count", *[F.round(c, 4 if c == "energy_total" else 6).alias(c) for c in out.columns[2:]])
+
+
+@query(f"""WITH {rel.TELEMETRY}, s AS (SELECT user_id AS series_id, t, latency_s AS w, lag(t) OVER p AS t0, lag(latency_s) OVER p AS w0 FROM tele WINDOW p AS (PARTITION BY user_id ORDER BY t))
+SELECT series_id, round(sum(coalesce((w0 + w) / 2 * greatest(t - t0, 0), greatest(t - 1704067200, 0) * w)), 2) AS energy_j FROM s GROUP BY series_id""")
+def energy_trapezoid(spark, sf_dir):
+    s = rel.telemetry(spark, sf_dir).select(F.col("user_id").alias("series_id"), "t", F.col("latency_s").alias("watts"))
+    return telemetry.energy(s, since=F.lit(1704067200.0)).withColumn("energy_j", F.round("energy_j", 2))
+
+
+@query(f"""WITH {rel.TELEMETRY}, n AS (SELECT sample_id, stage, count(*) FILTER (stage <> 'error') OVER (ORDER BY sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tele) SELECT sample_id, stage, coalesce(before, 0) < 5 AS is_warmup FROM n""")
+def warmup_flag(spark, sf_dir):
+    s = rel.telemetry(spark, sf_dir).select("sample_id", "stage")
+    return telemetry.warm_up(s, "sample_id", F.col("stage") != "error", 5)
+
+
+@query(f"""WITH {rel.TELEMETRY}, w AS (SELECT user_id, sample_id, list(latency_s) OVER l AS xs, avg(latency_s) OVER l AS avg, max(latency_s) OVER l AS max, avg(latency_s) OVER g AS global_avg FROM tele
+WINDOW l AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), g AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT sample_id, list_sort(xs)[(len(xs) - 1) // 2 + 1] AS median, round(avg, 6) AS avg, max, round(global_avg, 6) AS global_avg FROM w""")
+def smoothed_value(spark, sf_dir):
+    s = telemetry.smoothed(rel.telemetry(spark, sf_dir), "user_id", ["t"], "latency_s")
+    return s.select("sample_id", "median", r6("avg").alias("avg"), "max", r6("global_avg").alias("global_avg"))
+
+
+@query("""WITH m AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS metric FROM orders GROUP BY ALL), b AS (SELECT day, metric, max(metric) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m)
+SELECT CAST(day AS VARCHAR) AS day, round(metric, 2) AS metric, before IS NULL OR metric > before AS is_best FROM b""")
+def best_checkpoint(spark, sf_dir):
+    m = rel.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("metric"))
+    return metrics.best_so_far(m, "day", "metric").select(F.col("day").cast("string").alias("day"), F.round("metric", 2).alias("metric"), "is_best")
+
+
+@query(f"""WITH {rel.TELEMETRY} SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM events GROUP BY ALL""")
+def stage_windows(spark, sf_dir):
+    from ..streaming.telemetry import stage_windows as windows
+
+    e = rel.table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("stage"), F.col("value").alias("latency_s"))
+    return windows(e).withColumn("mean", r6("mean"))
