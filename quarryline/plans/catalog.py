@@ -1,6 +1,7 @@
 """Registered queries and the SQL that says what each must return.
 
-Numbers with fractions are rounded to six places in both, after all ranking.
+Numbers with fractions are rounded in both, after all ranking, to places where no
+true value lies half-way.
 """
 
 from __future__ import annotations
@@ -545,10 +546,10 @@ def warmup_flag(spark, sf_dir):
 
 @query(f"""WITH {rel.TELEMETRY}, w AS (SELECT user_id, sample_id, list(latency_s) OVER l AS xs, avg(latency_s) OVER l AS avg, max(latency_s) OVER l AS max, avg(latency_s) OVER g AS global_avg FROM tele
 WINDOW l AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), g AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT sample_id, list_sort(xs)[(len(xs) - 1) // 2 + 1] AS median, round(avg, 6) AS avg, max, round(global_avg, 6) AS global_avg FROM w""")
+SELECT sample_id, list_sort(xs)[(len(xs) - 1) // 2 + 1] AS median, round(avg, 9) AS avg, max, round(global_avg, 9) AS global_avg FROM w""")
 def smoothed_value(spark, sf_dir):
     s = telemetry.smoothed(rel.telemetry(spark, sf_dir), "user_id", ["t"], "latency_s")
-    return s.select("sample_id", "median", r6("avg").alias("avg"), "max", r6("global_avg").alias("global_avg"))
+    return s.select("sample_id", "median", F.round("avg", 9).alias("avg"), "max", F.round("global_avg", 9).alias("global_avg"))
 
 
 @query("""WITH m AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS metric FROM orders GROUP BY ALL), b AS (SELECT day, metric, max(metric) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m)

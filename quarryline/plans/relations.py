@@ -123,7 +123,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("sample_id"), F.col("event_type").alias("stage"), F.col("value").alias("latency_s"), (F.col("value") / 10).alias("peak_vram_gb"), (F.col("value") * 2).alias("energy_j"),
-        (F.col("event_id") % 10 == 0).alias("is_warmup"), (F.unix_micros("ts") / 1e6).alias("t"), F.col("user_id"),
+        (F.col("event_id") % 10 == 0).alias("is_warmup"), (F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / 1e6).alias("t"), F.col("user_id"),
     )
 
 
