@@ -90,6 +90,12 @@ def maximal_cliques(nodes: DataFrame, edges: DataFrame, max_nodes: int) -> DataF
     return found.select("sample_id", members.alias("members"))
 
 
+def _cogrouped(sections: DataFrame, edges: DataFrame):
+    """Both by sample; the edges' columns are named anew, as they often come from the sections."""
+    e = edges.select(F.col("sample_id").alias("edge_sample_id"), *[F.col(c).alias(c) for c in edges.columns if c != "sample_id"])
+    return sections.groupBy("sample_id").cogroup(e.groupBy("edge_sample_id"))
+
+
 def _branching_cliques(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         near = {int(v): set() for v in n["idx"]}
@@ -108,7 +114,7 @@ def _branching_cliques(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 able, tried = able - {v}, tried | {v}
         return pd.DataFrame({"sample_id": key[0], "members": found})
 
-    return nodes.groupBy("sample_id").cogroup(edges.groupBy("sample_id")).applyInPandas(run, "sample_id long, members array<int>")
+    return _cogrouped(nodes, edges).applyInPandas(run, "sample_id long, members array<int>")
 
 
 def clique_clusters(sections: DataFrame, edges: DataFrame, max_nodes: int, max_cluster_size: int = 3, score: str = "similarity", lambda_score: float = 0.7) -> DataFrame:
@@ -231,4 +237,4 @@ def consistency_clusters(sections: DataFrame, edges: DataFrame, target_size: int
         return pd.DataFrame([(r[0], k, *r[1:]) for k, r in enumerate(rows, 1)], columns=["sample_id", "cluster_rank", "type", "members", "consistency_raw", "consistency_norm", "section_norm_avg", "hybrid_score"])
 
     schema = "sample_id long, cluster_rank int, type string, members array<int>, consistency_raw double, consistency_norm double, section_norm_avg double, hybrid_score double"
-    return sections.groupBy("sample_id").cogroup(edges.groupBy("sample_id")).applyInPandas(run, schema)
+    return _cogrouped(sections, edges).applyInPandas(run, schema)
