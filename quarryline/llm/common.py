@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def slices(batches, of: int, size: int = 1 << 20):
+    """Record batches cut to runs of rows with about `size` bytes in string column `of`
+    (a row at least), so that a worker holds few texts at a time."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(of)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < len(b):
+            before = ends[a - 1] if a else 0
+            past = max(a + 1, int(np.searchsorted(ends, before + size)))
+            yield b.slice(a, past - a)
+            a = past
+        pa.default_memory_pool().release_unused()
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once: the optimizer would else copy its
     expression into every lambda that names it."""

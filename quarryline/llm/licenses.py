@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: (license, words of its notice or of a paragraph of its text); fixed values.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -189,7 +191,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, text_col: str = "text"
     item = pa.struct([("license", pa.string()), ("template", pa.int32()), ("matched_words", pa.int32()), ("template_words", pa.int32()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 0):
             found = [sent.value.scan(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(item))], names=[*keep, "n_licenses", "licenses"])
 

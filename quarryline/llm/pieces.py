@@ -15,16 +15,19 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM = 1
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks of more bytes are encoded one by one: array operations gain nothing there.
 LONG_CHUNK = 256
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -129,6 +132,8 @@ class Codec:
             spelled.append(b"")
             if what in (NORMAL, USER):
                 spelled[-1] = text.replace(MARKER, " ").encode()
+                if len(spelled[-1]) > 63:
+                    raise ValueError(f"piece {i} is longer than 63 bytes")
                 if b"\n" in spelled[-1] or b" " in spelled[-1].lstrip(b" "):
                     raise ValueError(f"piece {i} goes over a chunk's end")
                 keys.setdefault(spelled[-1], i)
@@ -186,9 +191,9 @@ class Codec:
         ends = starts + sizes
         lead = (data & 0xC0) != 0x80
         width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4))).astype(np.int8)
-        rel = (np.arange(total, dtype=np.int64) - np.repeat(starts, sizes)).astype(np.int32)
-        stop = np.repeat(ends, sizes)
-        pos = np.nonzero(lead)[0]
+        rel = np.arange(total, dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+        stop = np.repeat(ends, sizes).astype(np.int32)
+        pos = np.nonzero(lead)[0].astype(np.int32)
         state = np.zeros(len(pos), np.int32)
         single = np.zeros(total, bool)
         edges, depth = [], 0
@@ -205,15 +210,15 @@ class Codec:
                 single[pos[hit][width[pos[hit]] == depth]] = True
             more = pos + depth < stop[pos]
             pos, state = pos[more], state[more]
-        lost = np.nonzero(lead & ~single)[0]
+        lost = np.nonzero(lead & ~single)[0].astype(np.int32)
         for w in (1, 2, 3, 4):
             if len(at := lost[width[lost] == w]):
                 edges.append((w, at, np.full(len(at), -1, np.int32)))
         depths = np.concatenate([np.full(len(p), d, np.int8) for d, p, _ in edges])
         froms, what = np.concatenate([p for _, p, _ in edges]), np.concatenate([i for _, _, i in edges])
         # Node k + chunk is the place before byte k: a chunk has a place more than bytes.
-        shift = np.repeat(np.arange(n, dtype=np.int64), sizes)
-        key = rel[froms].astype(np.int64) * 128 + depths
+        shift = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        key = rel[froms].astype(np.int16) * np.int16(64) + depths  # below 256 * 64, as chunks and pieces are short
         by = np.argsort(key, kind="stable")
         key, froms, what, depths = key[by], froms[by], what[by], depths[by]
         node = froms + shift[froms]
@@ -319,18 +324,6 @@ def codec(path: str) -> Codec:
         return Codec(f.read())
 
 
-def _slices(batches, of: int):
-    """Batches cut to runs of rows of about BATCH_BYTES of column `of`, a string column."""
-    for b in batches:
-        texts = b.column(of).to_pylist()
-        a = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= BATCH_BYTES or i == len(texts) - 1:
-                yield b.slice(a, i + 1 - a), texts[a : i + 1]
-                a, size = i + 1, 0
-
-
 def encode(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of docs and ids, n_tokens, n_byte_tokens, round_trip (decoding gives the text back).
 
@@ -343,7 +336,8 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[str,
 
     def scan(batches):
         c = sent.value
-        for b, texts in _slices(batches, 0):
+        for b in slices(batches, 0, BATCH_BYTES):
+            texts = b.column(0).to_pylist()
             ids, counts = c.encode(texts)
             ends = np.cumsum(counts)
             bytes_before = np.append(0, np.cumsum(c.is_byte[ids]))
@@ -367,9 +361,9 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str
         c = sent.value
         for b in batches:
             lists = b.column(0)
-            counts = np.array([len(x) if x is not None else 0 for x in lists], np.int64)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             texts = c.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([t if x.is_valid else None for t, x in zip(texts, lists, strict=True)], pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)], pa.string())], names=[*keep, "text"])
 
     kinds = [f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keep]
     return encoded.select(F.col(ids_col).alias("ids "), *keep).mapInArrow(scan, ", ".join([*kinds, "text string"]))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, join_hot
+from .common import durable, join_hot, slices
 
 #: Byte positions that make one posting: two pairs of the four.
 PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7))
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "text_h", "fp"])
 
