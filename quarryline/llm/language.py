@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Families of languages, by ISO 639-1 code. A language in none is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
@@ -33,7 +35,7 @@ UNDETERMINED = "und"
 BITS, ORDERS = 14, (1, 2, 3)
 #: Share vectors are short; this brings their margins to the order of one.
 SCALE = 30.0
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 
 
 def family_of(lang: str) -> str:
@@ -68,11 +70,16 @@ class Grams:
         self.bits, self.orders, self.table = bits, orders, _letters()
 
     def of(self, texts: list[str]):
-        """For each order, hashes by position, -1 where an n-gram would cross texts; and where each text starts."""
-        joined = "\n".join(texts) + "\n"
-        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        length = np.array([len(t) + 1 for t in texts], np.int64)
-        starts = np.cumsum(length) - length
+        """For each order, hashes by position; where each text starts, and how many n-grams it has.
+
+        A text counts with one space at its end; more spaces before the next text keep
+        its n-grams from reaching into it, and are left out.
+        """
+        gap = max(self.orders)
+        pad = "\n" * gap
+        code = np.frombuffer(pad.join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(length + gap) - length - gap
         x = np.where(code < 65_536, self.table[np.minimum(code, 65_535)], code)
         out, h = [], np.zeros(len(x), np.uint32)
         for n in range(1, max(self.orders) + 1):
@@ -80,24 +87,25 @@ class Grams:
             if n in self.orders:
                 mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(n)
                 out.append((mixed >> np.uint32(32 - self.bits)).astype(np.int32))
-        return out, starts, length
+        return out, starts, length + 1
 
     def shares(self, texts: list[str]) -> np.ndarray:
         """Vectors of one row for each text."""
         out = np.zeros((len(texts), 1 << self.bits), np.float32)
         for i, t in enumerate(texts):
             for h in self.of([t])[0]:
-                out[i] += np.bincount(h, minlength=1 << self.bits)
+                out[i] += np.bincount(h[: len(t) + 1], minlength=1 << self.bits)
             out[i] *= SCALE / out[i].sum()
         return out
 
     def margins(self, texts: list[str], weights: np.ndarray) -> np.ndarray:
         """weights (machines x hashes) applied to the shares of each text, without making the vectors."""
         hashes, starts, length = self.of(texts)
+        bounds = np.column_stack([starts, starts + length]).ravel()
         out = np.zeros((len(weights), len(texts)))
         for h in hashes:
             for k, w in enumerate(weights):
-                out[k] += np.add.reduceat(w[h], starts)
+                out[k] += np.add.reduceat(w[h], bounds)[::2]
         return out * (SCALE / (len(hashes) * length))
 
 
@@ -135,7 +143,7 @@ class Identifier:
             for of, a, b in pairs:
                 rows = np.nonzero((of == a) | (of == b))[0]
                 self.machines.append(Machine(a, b, *fit(x, rows, np.where(of[rows] == a, 1.0, -1.0))))
-        self.weights = np.array([m.w for m in self.machines], np.float32).reshape(len(self.machines), -1)
+        self.weights = np.array([m.w for m in self.machines], np.float32).reshape(len(self.machines), 1 << self.grams.bits)
 
     def _vote(self, names: list[str], margin: dict) -> tuple[str, float]:
         """Most votes, then largest sum of margins, then name; and how sure the closest duel was, 0.5 to 1."""
@@ -197,7 +205,7 @@ def identify(docs: DataFrame, examples: list[tuple[str, str]], text_col: str = "
     sent = docs.sparkSession.sparkContext.broadcast(Identifier(examples))
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches, 0):
             found = sent.value.predict(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
