@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 MAX_TOKENS, MAX_CHARS = 12, 96
@@ -348,7 +350,7 @@ def regions(text: str, reach: int = MAX_CHARS + 24):
     for m in _SIGN.finditer(text):
         if m.start() < end - reach:  # the region holds this sign with its reach already
             continue
-        if m.start() - reach > end:
+        if end < 0 or m.start() - reach > end:
             if end >= 0:
                 yield start, end
             start = max(0, m.start() - reach)
@@ -409,7 +411,7 @@ def detect(docs: DataFrame, field: Field, text_col: str = "text", keep: tuple[st
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches, 0):
             texts = b.column(0).to_pylist()
             found = [find(t, sent.value) for t in texts]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in BASE_KINDS]
