@@ -22,21 +22,23 @@ from .common import NOT_SPACE, SPACE, durable, let
 KEEP_AT, DROP_AT = (0.0, 0.01, 0.5, 0.99, 1.0), (0.01, 0.1, 0.25, 0.5)
 
 
-def per(a: str, b: str, scale: float) -> Column:
-    return F.when(F.col(b) > 0, scale * F.col(a) / F.col(b)).otherwise(0.0)
-
-
-#: What the rules test. With these five and eight thresholds each, the counts that
-#: reach the driver have at most 9 ** 5 cells for each label and side.
+#: What the rules test: one statistic per another, times a scale. With these five and
+#: eight thresholds each, the counts that reach the driver have at most 9 ** 5 cells
+#: for each label and side.
 FEATURES = {
-    "symbols_per_100_words": per("n_symbols", "n_words", 100.0),
-    "repeated_words_pct": per("n_repeat_words", "n_words", 100.0),
-    "repeated_lines_pct": per("n_dup_lines", "n_lines", 100.0),
-    "chars_per_word": per("word_chars", "n_words", 1.0),
-    "capitals_pct": per("n_capitals", "word_chars", 100.0),
+    "symbols_per_100_words": ("n_symbols", "n_words", 100.0),
+    "repeated_words_pct": ("n_repeat_words", "n_words", 100.0),
+    "repeated_lines_pct": ("n_dup_lines", "n_lines", 100.0),
+    "chars_per_word": ("word_chars", "n_words", 1.0),
+    "capitals_pct": ("n_capitals", "word_chars", 100.0),
 }
 
 
+def feature(name: str) -> Column:
+    a, b, scale = FEATURES[name]
+    return F.when(F.col(b) > 0, scale * F.col(a) / F.col(b)).otherwise(0.0).alias(name)
+
+
 def repeated_words(words: Column, n: int) -> Column:
     """Words inside windows of n words that occur twice or more, the first occurrence included."""
 
@@ -168,7 +170,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels of unknown documents teach nothing; a document labelled twice counts twice.
     Without labels the list is empty, and the base decides alone. Other columns are ignored.
     """
-    stats = durable(statistics(docs, id_col, text_col)).select("*", *[c.alias(f) for f, c in FEATURES.items()])
+    stats = durable(statistics(docs, id_col, text_col)).select("*", *map(feature, FEATURES))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(F.col("label").isin(0, 1))
     rules = learn(stats.join(known, "id"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
