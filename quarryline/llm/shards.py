@@ -6,10 +6,11 @@ largest sums to smallest, until one is left. The groups that must stay whole (eq
 texts) start as partial partitions of one non-zero sum.
 
 Groups are first summed over the cluster, so a text that many documents share is one
-group. They are dealt by hash to cells; every cell is differenced in a task of its
-own and gives one partial partition. Those of all cells, `shards` numbers each, are
-differenced again on the driver: adding partial partitions is what the method does,
-so a cell is a subtree of it. The driver holds at most max_cells x shards numbers.
+group. The largest, a bounded number, are differenced on the driver. The others are
+dealt by hash to cells, each differenced in a task of its own; to even out what the
+largest groups leave uneven, a cell also takes its share of their sums as one partial
+partition more, which keeps the numbers of the shards. A cell's sums then end nearly
+equal, and so do the totals. Where there are few groups the driver does it all.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def difference(parts: list, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return places, take(root)
 
 
-def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = 16, groups_per_cell: int = 20_000, max_cells: int = 10_000, rows_per_run: int = 50_000) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = 16, large_groups: int = 5_000, groups_per_cell: int = 20_000, rows_per_run: int = 50_000) -> DataFrame:
     """A row for each row of docs: id_col, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Rows of equal text share a shard; null texts are one such group, of no bytes and a
@@ -96,22 +97,26 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
         F.crc32(F.encode(text_col, "utf-8")).alias("crc"), F.xxhash64(text_col).alias("text_h"),
     ))
     groups = durable(rows.groupBy("text_h").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
-    n_groups = groups.count()
-    cells = max(1, min(max_cells, ceil(n_groups / groups_per_cell)))
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "text_h"], ascending=False, ignore_index=True)
-        places, _ = difference(pdf["bytes"].tolist(), shards)
-        return pdf.assign(bin=places[:, -1])
-
-    dealt = groups.withColumn("cell", F.pmod(F.xxhash64(F.col("text_h"), F.lit("cell")), F.lit(cells)).cast("int"))
-    binned = durable(dealt.groupBy("cell").applyInPandas(cell, "text_h long, bytes long, rows long, cell int, bin int"))
-    part = {(r.cell, r.bin): r.bytes for r in binned.groupBy("cell", "bin").agg(F.sum("bytes").alias("bytes")).collect()}  # cells x shards at most
-    used = sorted({c for c, _ in part})
-    places, _ = difference([np.array([part.get((c, b), 0) for b in range(shards)], np.int64) for c in used], shards)
-    home = docs.sparkSession.createDataFrame([(c, b, int(places[k][b])) for k, c in enumerate(used) for b in range(shards)], "cell int, bin int, shard int")
-    shard_of = durable(binned.join(F.broadcast(home), ["cell", "bin"]).select("text_h", "rows", "shard"))
-    placed = join_hot(rows, shard_of, "text_h", "rows")
+    large = groups.orderBy(F.desc("bytes"), "text_h").limit(large_groups).collect()
+    places, left = difference([r.bytes for r in large], shards)
+    known = [(r.text_h, r.rows, int(p)) for r, p in zip(large, places[:, -1], strict=True)]
+    shard_of = docs.sparkSession.createDataFrame(known, "text_h long, rows long, shard int")
+    if len(large) == large_groups:
+        cells = max(1, ceil((groups.count() - large_groups) / groups_per_cell))
+
+        def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["bytes", "text_h"], ascending=False, ignore_index=True)
+            c = int(pdf["cell"].iloc[0])
+            share = left * (c + 1) // cells - left * c // cells  # of all cells together: left
+            places, _ = difference([*pdf["bytes"].tolist(), share], shards)
+            shard_at = np.empty(shards, np.int32)
+            shard_at[places[-1]] = np.arange(shards)
+            return pd.DataFrame({"text_h": pdf["text_h"], "rows": pdf["rows"], "shard": shard_at[places[:-1, -1]]})
+
+        rest = groups.join(F.broadcast(shard_of.select("text_h")), "text_h", "left_anti")
+        dealt = rest.withColumn("cell", F.pmod(F.xxhash64(F.col("text_h"), F.lit("cell")), F.lit(cells)).cast("int"))
+        shard_of = shard_of.union(dealt.groupBy("cell").applyInPandas(cell, "text_h long, rows long, shard int"))
+    placed = join_hot(rows, durable(shard_of), "text_h", "rows")
 
     runs = max(1, ceil(rows.count() / (shards * rows_per_run)))
     placed = durable(placed.withColumn("run", F.pmod(F.xxhash64("id", "text_h"), F.lit(runs)).cast("int")))
