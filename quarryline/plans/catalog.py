@@ -248,8 +248,7 @@ def _late(spark, sf_dir):
     rows = e.groupBy("sec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("t"), F.min("label").alias("label")).filter(F.size("t") == 8)
     s = rows.select("sec", F.transform("t", lambda r: r["x"]).alias("tokens"), F.transform("t", lambda r: r["vec_id"] % 5 != 0).alias("mask"), "label")
     q = s.filter("sec % 100 = 0").select(F.col("sec").alias("qry"), F.slice("tokens", 1, 4).alias("q"), F.col("label").alias("ql"))
-    # The queries are a stated set, a hundredth of the sections, and meet all of them.
-    pairs = s.join(q, F.col("qry") != F.col("sec"))
+    pairs = search.against_all(q, s, "qry", F.col("qry") != F.col("sec"))
     return pairs.select("qry", "sec", "ql", F.col("label").alias("sl"), vectors.cls_max("q", F.get("tokens", F.lit(0))).alias("cls_max"), vectors.maxsim("q", "tokens", "mask").alias("maxsim"), vectors.logsumexp("q", "tokens", "mask").alias("lse"))
 
 
@@ -329,7 +328,7 @@ def label_counts(spark, sf_dir):
 
 def _graph(spark, sf_dir):
     nodes = rel.candidates(spark, sf_dir)
-    return nodes, graph.relation_edges(graph.average_relations(rel.relations(spark, sf_dir)), **rel.GATES)
+    return nodes, graph.relation_edges(graph.average_relations(rel.relations(spark, sf_dir, nodes)), **rel.GATES)
 
 
 _COMPONENTS = rel.EDGES + """,
@@ -370,7 +369,7 @@ def clique_clusters(spark, sf_dir):
 
 def _consistent(spark, sf_dir):
     nodes = rel.candidates(spark, sf_dir).withColumn("strength", scores.strength("rerank", "similarity"))
-    edges = graph.relation_edges(graph.average_relations(rel.relations(spark, sf_dir)), clamp=False, e_min=0.0, margin=-1.0, tau=0.2)
+    edges = graph.relation_edges(graph.average_relations(rel.relations(spark, sf_dir, nodes)), clamp=False, e_min=0.0, margin=-1.0, tau=0.2)
     return graph.consistency_clusters(nodes, edges)
 
 

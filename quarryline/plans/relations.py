@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles
 from ..operators import search
+from ..operators.graph import section_pairs
 
 EXPAND, K, M = 60, 20, 8
 
@@ -68,11 +69,9 @@ cand AS (SELECT h.sample_id, CAST(h.rank - 1 AS INTEGER) AS idx, h.vec_pos, h.do
   FROM ranked h JOIN v ON h.vec_pos = v.vec_pos WHERE h.rank <= {M})"""
 
 
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of a sample's sections with synthetic relation probabilities of both directions."""
-    from ..operators.graph import section_pairs
-
-    pairs = section_pairs(candidates(spark, sf_dir).select("sample_id", "idx", "vec_pos", "vector"))
+def relations(spark: SparkSession, sf_dir: str, cands: DataFrame | None = None) -> DataFrame:
+    """All pairs of a sample's sections (cands) with synthetic relation probabilities of both directions."""
+    pairs = section_pairs((cands if cands is not None else candidates(spark, sf_dir)).select("sample_id", "idx", "vec_pos", "vector"))
     s = pairs.select("sample_id", "i", "j", (dot("vector_i", "vector_j") / 2 + 0.5).alias("s"), F.pmod(F.col("vec_pos_i") + F.col("vec_pos_j"), F.lit(5)).alias("r"))
     ent, con = F.col("s") * (1 - F.col("r") * 0.1), (1 - F.col("s")) * F.col("r") * 0.2
     return s.select("sample_id", "i", "j", ent.alias("ent_ij"), con.alias("con_ij"), (1 - ent - con).alias("neu_ij"), (ent * 0.9).alias("ent_ji"), con.alias("con_ji"), (1 - ent * 0.9 - con).alias("neu_ji"))
