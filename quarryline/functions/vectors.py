@@ -90,3 +90,8 @@ def logsumexp(query_tokens, section_tokens, mask) -> Column:
         return F.when(F.size(kept) > 0, total(each) / F.size(col(query_tokens)))
 
     return _floor(let(_kept(section_tokens, mask), over))
+
+
+def token_max(query_tokens, vector) -> Column:
+    """The largest product of a vector with any of several query tokens: an image's score for a text."""
+    return F.array_max(F.transform(col(query_tokens), lambda q: dot(q, col(vector))))

@@ -140,3 +140,42 @@ def best_so_far(runs: DataFrame, order: str, metric: str) -> DataFrame:
     w = Window.orderBy(order)  # a row for each evaluation of a model, few by nature
     before = F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return runs.withColumn("best", F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("is_best", before.isNull() | (F.col(metric) > before))
+
+
+def bleu4(rows: DataFrame, candidate: str = "candidate", references: str = "references") -> DataFrame:
+    """Corpus BLEU of four orders: (bleu_1, bleu_2, bleu_3, bleu_4), 0 where an order has no match.
+
+    Words are split at white space. Each n-gram counts at most as often as in the
+    reference that has it most; the brevity penalty takes the reference closest in
+    length, the shorter of two as close. references is an array of texts. N-grams are
+    counted within a row, so a corpus needs no exchange but that of the sums.
+    """
+    words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    each = rows.select(words(F.col(candidate)).alias("c"), F.transform(references, words).alias("rs"))
+
+    def grams(ws: Column, n: int) -> Column:
+        return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def matched(n: int) -> Column:
+        def over(own: Column) -> Column:
+            def clipped(all_refs: Column) -> Column:
+                count = lambda g, x: F.size(F.filter(x, lambda y: y == g))
+                return F.aggregate(F.array_distinct(own), F.lit(0).cast("long"), lambda s, g: s + F.least(count(g, own), F.coalesce(F.array_max(F.transform(all_refs, lambda r: count(g, r))), F.lit(0))))
+
+            return let(F.transform("rs", lambda r: grams(r, n)), clipped)
+
+        return let(grams(F.col("c"), n), over)
+
+    size = F.size("c")
+    near = F.transform("rs", lambda r: F.struct(F.abs(F.size(r) - size).alias("off"), F.size(r).alias("n")))
+    sums = each.agg(
+        *[F.sum(matched(n)).alias(f"m{n}") for n in range(1, 5)], *[F.sum(F.greatest(size - (n - 1), F.lit(0))).alias(f"t{n}") for n in range(1, 5)],
+        F.sum(size).alias("n_words"), F.sum(F.array_min(near)["n"]).alias("n_reference"),
+    )
+    brevity = F.when(F.col("n_words") >= F.col("n_reference"), 1.0).otherwise(F.exp(1 - F.try_divide("n_reference", "n_words")))
+    logs = [F.log(F.nullif(F.try_divide(f"m{n}", f"t{n}"), F.lit(0.0))) for n in range(1, 5)]
+    return sums.select(*[F.coalesce(brevity * F.exp(sum(logs[1:n], logs[0]) / n), F.lit(0.0)).alias(f"bleu_{n}") for n in range(1, 5)])
+
+
+def mean_loss(rows: DataFrame, loss: str = "loss") -> DataFrame:
+    return rows.agg(F.avg(loss).alias("loss"), F.count(loss).alias("n"))

@@ -57,19 +57,3 @@ def dialogue(turns: DataFrame, last: int = 3) -> DataFrame:
     """
     newest = turns.withColumn("n", rank_by("conv_id", F.desc("turn"))).filter(F.col("n") <= 2 * last)
     return newest.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.count("*").alias("n_turns"))
-
-
-def concat_features(modalities: list[Column]) -> Column:
-    """Frame by frame concatenation of several feature series, cut to the shortest."""
-    n = F.least(*[F.size(m) for m in modalities]) if len(modalities) > 1 else F.size(modalities[0])
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(*[F.get(m, i) for m in modalities]))
-
-
-def fid_inputs(question: Column, captions: Column, group: int) -> Column:
-    """The question before each group of captions, joined by spaces."""
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(captions) / group).cast("int") - 1, F.lit(0)))
-    return F.transform(starts, lambda g: F.concat_ws(" ", question, F.array_join(F.slice(captions, g * group + 1, group), " ")))
-
-
-def evidence_prompt(sections: Column, n: int = 3) -> Column:
-    return F.array_join(F.slice(sections, 1, n), "\n")

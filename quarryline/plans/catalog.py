@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, text, vectors
+from ..functions import prompts, scores, text, vectors
 from ..functions.answer_tables import CONSENSUS_PUNCTUATION, CONTRACTIONS, NUMBER_WORDS, PUNCTUATION, VERDICT_WORDS
 from ..operators import graph, metrics, results, search, segments, telemetry
 from . import relations as rel
@@ -564,3 +564,117 @@ def stage_windows(spark, sf_dir):
 
     e = rel.table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("stage"), F.col("value").alias("latency_s"))
     return windows(e).withColumn("mean", r6("mean"))
+
+
+# Lookups, shortlists and inputs of generators
+
+
+@query(f"""WITH {rel.CANDIDATES}, s AS (SELECT sample_id, doc_idx, idx, 'title ' || (doc_idx % 5) AS t, vector FROM cand), h AS (SELECT sample_id, 'title ' || (idx % 4) AS t, vector FROM cand WHERE idx < 3),
+b AS (SELECT s.sample_id, s.idx, max(list_dot_product(s.vector, h.vector) / sqrt(list_dot_product(s.vector, s.vector)) / sqrt(list_dot_product(h.vector, h.vector))) AS c FROM s JOIN h ON s.sample_id = h.sample_id AND s.t = h.t GROUP BY ALL)
+SELECT s.sample_id, s.idx, round(greatest(-1.0::DOUBLE, coalesce(c, -1)), 6) AS similarity FROM s LEFT JOIN b USING (sample_id, idx)""")
+def contriever_similarity(spark, sf_dir):
+    c = rel.candidates(spark, sf_dir)
+    sections = c.select("sample_id", "doc_idx", F.col("idx").alias("section_idx"), F.concat(F.lit("title "), (F.col("doc_idx") % 5).cast("string")).alias("source_title"), "vector")
+    hits = c.filter("idx < 3").select("sample_id", F.concat(F.lit("title "), (F.col("idx") % 4).cast("string")).alias("title"), "vector")
+    return search.cosine_by_title(sections, hits).select("sample_id", F.col("section_idx").alias("idx"), r6("similarity").alias("similarity"))
+
+
+@query("""WITH u AS (SELECT url, min(page_id) AS doc_idx FROM pages GROUP BY url), v AS (SELECT page_id AS vec_pos, CASE WHEN page_id % 4 = 0 THEN 'none' ELSE url END AS url FROM pages)
+SELECT vec_pos, coalesce(doc_idx, -1) AS doc_idx FROM v LEFT JOIN u USING (url)""")
+def vector_documents(spark, sf_dir):
+    from ..sources.readers import url_index
+    from ..sources.readers import vector_documents as attach
+
+    p = rel.table(spark, sf_dir, "pages")
+    urls = url_index(p.select("url", F.col("page_id").alias("doc_idx")))
+    return attach(p.select(F.col("page_id").alias("vec_pos"), F.when(F.col("page_id") % 4 == 0, "none").otherwise(F.col("url")).alias("url")), urls).select("vec_pos", "doc_idx")
+
+
+@query("""WITH c AS (SELECT CAST(p_size AS BIGINT) AS sample_id, p_partkey AS answer_no, p_name || p_partkey AS answer, p_retailprice AS p, (p_partkey * 7) % 101 AS loss FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, answer_no) AS n FROM c), b AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY loss, answer_no) AS m FROM r WHERE n <= 9)
+SELECT sample_id, answer FROM b WHERE m = 1""")
+def answer_shortlist(spark, sf_dir):
+    c = rel.table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("sample_id"), F.col("p_partkey").alias("answer_no"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("answer"), F.col("p_retailprice").alias("first_prob"), (F.col("p_partkey") * 7 % 101).alias("loss"))
+    return search.answer_shortlist(c, 9)
+
+
+@query("SELECT l_orderkey AS sample_id, l_linenumber AS class_no, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber) AS INTEGER) AS class_rank FROM lineitem")
+def class_ranking(spark, sf_dir):
+    losses = rel.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_linenumber").alias("class_no"), F.col("l_extendedprice").alias("loss"))
+    return search.rank_classes(losses).select("sample_id", "class_no", "class_rank")
+
+
+@query("""SELECT vec_id, round(CASE WHEN vec_id % 3 = 0 THEN embedding[1] WHEN vec_id % 3 = 1 THEN embedding[2] ELSE embedding[3] END::DOUBLE, 6) AS logit FROM embeddings""")
+def logit_selection(spark, sf_dir):
+    e = rel.table(spark, sf_dir, "embeddings").select("vec_id", F.slice(vectors.doubles("embedding"), F.lit(1), (F.pmod("vec_id", F.lit(3)) + 1).cast("int")).alias("logits"))
+    return e.select("vec_id", r6(scores.positive_logit("logits")).alias("logit"))
+
+
+@query(f"WITH {_TOKENS}, b AS (SELECT qry, sec, list_max(c) AS m FROM prod) SELECT qry, sec, round(m, 6) AS score, CAST(row_number() OVER (PARTITION BY qry ORDER BY m DESC, sec) AS INTEGER) AS rank FROM b")
+def image_text_scores(spark, sf_dir):
+    e = rel.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).cast("long").alias("sec"), "vec_id", vectors.doubles("embedding").alias("x"))
+    s = e.groupBy("sec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("t")).filter(F.size("t") == 8).select("sec", F.transform("t", lambda r: r["x"]).alias("t"))
+    q = s.filter("sec % 100 = 0").select(F.col("sec").alias("qry"), F.slice("t", 1, 4).alias("q"))
+    scored = search.against_all(q, s.select("sec", F.get("t", F.lit(0)).alias("v")), "qry", F.col("qry") != F.col("sec")).select("qry", "sec", vectors.token_max("q", "v").alias("score"))
+    return scored.withColumn("rank", search.rank_by("qry", F.desc("score"), F.asc("sec"))).withColumn("score", r6("score"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(html, '\s+', ' ', 'g')) AS html FROM pages""")
+def whitespace_clean(spark, sf_dir):
+    return rel.table(spark, sf_dir, "pages").select("page_id", prompts.whitespace_clean("html").alias("html"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS prompt FROM documents")
+def evidence_prompt(spark, sf_dir):
+    return rel.table(spark, sf_dir, "documents").select("doc_id", prompts.evidence_prompt(F.split("text", "\n")).alias("prompt"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, lang AS q, string_split(text, chr(10)) AS l FROM documents), g AS (SELECT doc_id, q, l, unnest([2, 4, 5]) AS past, unnest([0, 2, 4]) AS start FROM c)
+SELECT doc_id, CAST(past // 2 AS BIGINT) AS part, q || ' \n ' || trim(lower(array_to_string(list_transform(l[start + 1:past], lambda x: trim(x) || '. '), ''))) AS input FROM g WHERE len(l) >= past""")
+def fid_inputs(spark, sf_dir):
+    d = rel.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(prompts.fid_inputs("lang", F.split("text", "\n"), 5, 2)).alias("k", "input"))
+    return d.select("doc_id", F.least(F.col("k") + 1, F.lit(2)).cast("long").alias("part"), "input")
+
+
+@query("SELECT conv_id, 'Question:' || arg_max(text, turn) || chr(10) || 'Answer:yes' || chr(10) || 'Question:Is this a toilet?' || chr(10) || 'Answer:no' || chr(10) AS prompt FROM conversations GROUP BY conv_id")
+def task_prompt(spark, sf_dir):
+    t = rel.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array(F.max_by("text", "turn")).alias("questions"))
+    return t.select("conv_id", prompts.task_prompt("questions").alias("prompt"))
+
+
+@query("""WITH e AS (SELECT unnest(range(0, 20)) AS epoch)
+SELECT CAST(epoch AS BIGINT) AS epoch, round((1e-4::DOUBLE - 1e-6::DOUBLE) * 0.5 * (1 + cos(pi() * epoch / 20)) + 1e-6::DOUBLE, 12) AS cosine, round(greatest(1e-6::DOUBLE, 1e-4::DOUBLE * pow(0.9::DOUBLE, epoch)), 12) AS step,
+round(least(1e-4::DOUBLE, 1e-6::DOUBLE + (1e-4::DOUBLE - 1e-6::DOUBLE) * epoch / 5), 12) AS warmup FROM e""")
+def learning_rates(spark, sf_dir):
+    steps = spark.range(20).select(F.col("id").alias("epoch"))
+    for kind, extra in (("cosine", {}), ("step", {"decay": 0.9}), ("warmup", {"warm_steps": 5, "warm_start": 1e-6})):
+        steps = telemetry.learning_rates(steps, "epoch", kind, 1e-4, 1e-6, 20, **extra).withColumn(kind, F.round("lr", 12)).drop("lr")
+    return steps
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr') AND source IN ('src1', 'src2')")
+def filter_annotations(spark, sf_dir):
+    return results.filter_any(rel.table(spark, sf_dir, "documents"), lang=["de", "fr"], source=["src1", "src2"], doc_id=[]).select("doc_id", "lang")
+
+
+@query("SELECT round(avg(value), 9) AS loss, count(value) AS n FROM events")
+def mean_loss(spark, sf_dir):
+    out = metrics.mean_loss(rel.table(spark, sf_dir, "events"), "value")
+    return out.select(F.round("loss", 9).alias("loss"), "n")
+
+
+@query()
+def caption_bleu(spark, sf_dir):
+    a = rel.answers(spark, sf_dir).select(F.lower("answer").alias("candidate"), F.array(F.lower("question"), F.lower(F.reverse(F.split("answer", "\n"))[0])).alias("references"))
+    out = metrics.bleu4(a)
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
+SELECT vec_id, list_transform(range(1, least(4, 2 + vec_id % 5) + 1), lambda i: [round(x[i], 6), round(x[i + 10], 6), label::DOUBLE]) AS frames FROM e""")
+def feature_concat(spark, sf_dir):
+    e = rel.table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.doubles("embedding").alias("x"))
+    first = F.transform(F.slice("x", 1, 4), lambda v: F.array(F.round(v, 6)))
+    second = F.transform(F.slice(F.col("x"), F.lit(11), (F.lit(2) + F.col("vec_id") % 5).cast("int")), lambda v: F.array(F.round(v, 6)))
+    third = F.transform(F.slice("x", 1, 9), lambda v: F.array(F.col("label").cast("double")))
+    return e.select("vec_id", prompts.concat_features([first, second, third]).alias("frames"))

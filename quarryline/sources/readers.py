@@ -135,3 +135,9 @@ def mixed(sources: list[DataFrame], ratios: list[float] | None = None, seed: int
         part = s if ratios is None else s.sample(fraction=min(1.0, ratios[k]), seed=seed + k)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def image_bytes(spark: SparkSession, wanted: DataFrame, folder: str, blank: bytes = b"") -> DataFrame:
+    """wanted (sample_id, path) with content; a path that cannot be read has the blank image."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    return wanted.join(found, "path", "left").withColumn("content", F.coalesce("content", F.lit(blank)))

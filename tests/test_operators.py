@@ -180,3 +180,57 @@ def test_partition_count_does_not_matter(spark):
     d = spark.createDataFrame(rows, "sample_id long, item long, score double").withColumns({"doc_rank": F.lit(0), "section_idx": F.col("item")})
     a, b = ([tuple(r) for r in search.rank_sections(d.repartition(n), F.col("score")).orderBy("section_rank").collect()] for n in (1, 8))
     assert a == b
+
+
+def test_bleu(spark):
+    from collections import Counter
+
+    pairs = [("the cat sat on the mat today", ["the cat sat on a mat", "a cat is on the mat today now"]), ("the the the the", ["the cat"]), ("one two three four five", ["one two three four five"])]
+    grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    size = near = 0
+    m, t = [0] * 5, [0] * 5
+    for c, rs in pairs:
+        c, rs = c.split(), [r.split() for r in rs]
+        size, near = size + len(c), near + min((abs(len(r) - len(c)), len(r)) for r in rs)[1]
+        for n in range(1, 5):
+            own = grams(c, n)
+            m[n] += sum(min(k, max(grams(r, n)[g] for r in rs)) for g, k in own.items())
+            t[n] += max(0, len(c) - n + 1)
+    short = 1.0 if size >= near else math.exp(1 - near / size)
+    got = metrics.bleu4(spark.createDataFrame(pairs, "candidate string, references array<string>")).first()
+    for n in range(1, 5):
+        assert got[n - 1] == pytest.approx(short * math.exp(sum(math.log(m[k] / t[k]) for k in range(1, n + 1)) / n))
+    assert tuple(metrics.bleu4(spark.createDataFrame([("a", ["b"])], "candidate string, references array<string>")).first()) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_prompts(spark):
+    from quarryline.functions import prompts
+
+    d = spark.createDataFrame([(["cat.", "dog."], ["c0 ", "c1 ", "c2 "], {"dog": [1, 2], "cat": [1]})], "a array<string>, c array<string>, i map<string,array<int>>")
+    # dog: 1; cat: nothing new; dog: 2; cat: nothing new.
+    assert d.select(prompts.context_prompt("a", "c", "i", 4)).first()[0] == "c1 c2 "
+    assert d.select(prompts.context_prompt("a", "c", F.create_map(F.lit("x"), F.array(F.lit(0))), 2)).first()[0] == "c0 "
+    s = spark.createDataFrame([([7], [[1, 2], [3]], [4])], "c array<int>, h array<array<int>>, a array<int>").select(prompts.dialogue_sequence("c", "h", "a", 0, (10, 20), 30).alias("x")).first().x
+    assert s.input_ids == [7, 0, 1, 2, 0, 3, 0, 4, 0]
+    assert s.token_type_ids == [30, 30, 10, 10, 10, 20, 20, 10, 10]
+    assert s.labels == [-1] * 7 + [4, 0]
+    f = spark.createDataFrame([("Q ", [" A", "b", "C", "d"])], "q string, c array<string>")
+    assert f.select(prompts.fid_inputs("q", "c", 4, 3)).first()[0] == ["q \\n a. b. c.", "q \\n d."]
+    assert f.select(prompts.fid_inputs("q", "c", 5, 3)).first()[0] == ["q \\n a. b. c."]
+
+
+def test_word_pieces(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from quarryline.functions import prompts
+
+    rows = spark.createDataFrame([("a photo of a cat",), (None,), ("word " * 200,)], "t string").select(prompts.word_pieces(public.path("word_bpe_49k.json"))("t")).collect()
+    a, b, c = (r[0] for r in rows)
+    assert len(a) == len(b) == len(c) == 77 and a[0] == 49406 and 49407 in a and b[:2] == [49406, 49407] and c[-1] == 49407
+
+
+def test_shortlists(spark):
+    c = spark.createDataFrame([(1, 0, "a", 0.9, 5.0), (1, 1, "b", 0.8, 1.0), (1, 2, "c", 0.1, 0.0)], "sample_id long, answer_no int, answer string, first_prob double, loss double")
+    assert search.answer_shortlist(c, 2).first().answer == "b"
+    s = spark.createDataFrame([(1, 1, 0, "t", [1.0, 0.0]), (1, 2, 0, "u", [1.0, 0.0])], "sample_id long, doc_idx long, section_idx int, source_title string, vector array<double>")
+    h = spark.createDataFrame([(1, "t", [1.0, 1.0]), (1, "t", [2.0, 0.0])], "sample_id long, title string, vector array<double>")
+    assert {(r.doc_idx, r.similarity) for r in search.cosine_by_title(s, h).collect()} == {(1, 1.0), (2, -1.0)}
