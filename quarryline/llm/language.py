@@ -183,14 +183,17 @@ def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     """Texts and languages to learn from, within the bounds named; sample_chars of a text at most.
 
     The rows are chosen by a hash of their ids, which reads no texts; those without a
-    letter teach nothing.
+    letter teach nothing. A language's rows are first cut to the share of hashes that
+    holds four times as many as are asked for, so that no task ranks a whole language.
     """
-    known = docs.filter(may_learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    langs = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    names = [r.lang for r in langs.collect()]
-    k = max(1, min(per_language, max_examples // max(1, len(names))))
+    known = docs.filter(may_learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1 << 31)).alias("h"), F.col(text_col).alias("text"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not counts:
+        return []
+    k = max(1, min(per_language, max_examples // len(counts)))
+    cuts = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, min(1 << 31, 1 + ((4 * k << 31) // r.n))) for r in counts], "lang string, cut long"))
     first = lambda rows, *by: rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).filter(F.col("k") <= k)
-    picked = first(known.filter(F.col("lang").isin(names)).select("lang", "h"), "h").select("lang", "h").distinct()
+    picked = first(known.select("lang", "h").join(cuts, "lang").filter(F.col("h") < F.col("cut")), "h").select("lang", "h").distinct()
     texts = first(known.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", F.substring("text", 1, sample_chars).alias("text")), "h", "text")
     return [(r.text, r.lang) for r in texts.orderBy("lang", "k").select("text", "lang").collect() if r.text and any(map(str.isalpha, r.text))]
 
