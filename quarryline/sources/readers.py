@@ -13,6 +13,7 @@ DOCUMENT = T.StructType([
     T.StructField("wikipedia_title", T.StringType()), T.StructField("section_titles", T.ArrayType(T.StringType())), T.StructField("section_texts", T.ArrayType(T.StringType())),
     T.StructField("image_urls", T.ArrayType(T.StringType())), T.StructField("image_reference_descriptions", T.ArrayType(T.StringType())),
 ])
+KB_COLUMNS = ("doc_idx", "url", "title", "section_titles", "section_texts", "image_urls", "image_reference_descriptions")
 QUESTION_COLUMNS = ("question", "answer", "dataset_name", "dataset_image_ids", "wikipedia_title", "wikipedia_url", "evidence_section_id", "question_type")
 ANNOTATION = T.StructType([T.StructField("annotations", T.ArrayType(T.StructType([
     T.StructField("question_id", T.LongType()), T.StructField("image_id", T.LongType()), T.StructField("question_type", T.StringType()), T.StructField("answer_type", T.StringType()),
@@ -24,23 +25,46 @@ def _present(c: str) -> Column:
     return F.nullif(F.trim(F.col(c)), F.lit(""))
 
 
-def knowledge_base(spark: SparkSession, path: str) -> DataFrame:
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a gapless number from 0 in file order: the place in a partition and the
+    rows of the partitions before it, of which there is one count each."""
+    placed = rows.withColumn("at", F.monotonically_increasing_id())
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["count"]
+    known = F.broadcast(rows.sparkSession.createDataFrame(starts, "part long, start long"))
+    return placed.withColumn("part", part).join(known, "part").select((F.col("start") + within).alias(name), *rows.columns)
+
+
+def knowledge_base(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """doc_idx, url, title and lists of a JSON file: a list of documents, or an object of documents by URL.
 
+    With lines, each line is a document of a list: such files are read in parts, by
+    many tasks, where a list or object is one value and must fit one.
+
     A list's document has the first URL of url, wikipedia_url, source_url that is not
     empty, and the title wikipedia_title or "unknown" where it has none. An object's
     key is the URL, and a blank title comes from it. Anything else is an error.
     """
+    if lines:
+        return _listed(numbered(spark.read.schema(DOCUMENT).json(path), "doc_idx"))
     raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
     kind = F.substring(F.regexp_replace("json", r"(?U)^\s+", ""), 1, 1)
     bad = raw.filter(~F.coalesce(kind.isin("[", "{"), F.lit(False))).limit(1).count()
     if bad:
         raise ValueError("a knowledge base is a JSON list or object")
     listed = raw.filter(kind == "[").select(F.posexplode(F.from_json("json", T.ArrayType(DOCUMENT))).alias("doc_idx", "d")).select("doc_idx", "d.*")
-    listed = listed.withColumn("url", F.coalesce(_present("url"), _present("wikipedia_url"), _present("source_url"))).withColumn("title", F.coalesce(_present("title"), _present("wikipedia_title"), F.lit("unknown")))
     keyed = raw.filter(kind == "{").select(F.posexplode(F.map_entries(F.from_json("json", T.MapType(T.StringType(), DOCUMENT)))).alias("doc_idx", "e")).select("doc_idx", F.col("e.key").alias("key"), "e.value.*")
     keyed = keyed.withColumn("title", F.coalesce(_present("title"), F.nullif(url_to_title("key"), F.lit("")), _present("wikipedia_title"), F.lit("unknown"))).withColumn("url", F.col("key")).drop("key")
-    return listed.unionByName(keyed).select(F.col("doc_idx").cast("long"), "url", "title", "section_titles", "section_texts", "image_urls", "image_reference_descriptions")
+    return _listed(listed).unionByName(keyed.select(*KB_COLUMNS).withColumn("doc_idx", F.col("doc_idx").cast("long")))
+
+
+def _listed(docs: DataFrame) -> DataFrame:
+    url = F.coalesce(_present("url"), _present("wikipedia_url"), _present("source_url"))
+    title = F.coalesce(_present("title"), _present("wikipedia_title"), F.lit("unknown"))
+    return docs.withColumns({"url": url, "title": title, "doc_idx": F.col("doc_idx").cast("long")}).select(*KB_COLUMNS)
 
 
 def url_index(kb: DataFrame) -> DataFrame:
@@ -62,17 +86,10 @@ def require_documents(vectors: DataFrame, n_documents: int) -> DataFrame:
 def questions(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
     """Rows start to end of a CSV of questions, row_idx counting from the file's first; all columns are strings.
 
-    Rows are numbered in file order: by their place in a partition, and the rows of the
-    partitions before it, of which there is one count each. Rows without an image id are left out; blank cells are empty strings.
+    Rows without an image id are left out; blank cells are empty strings.
     """
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    placed = rows.withColumn("at", F.monotonically_increasing_id())
-    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    before, starts = 0, []
-    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition
-        starts.append((r["part"], before))
-        before += r["count"]
-    named = placed.withColumn("part", part).join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part").select((F.col("start") + within).alias("row_idx"), *rows.columns)
+    named = numbered(rows, "row_idx")
     cut = named.filter((F.col("row_idx") >= start) & (F.col("row_idx") < end if end is not None else F.lit(True)))
     blank = cut.select("row_idx", *[F.coalesce(c, F.lit("")).alias(c) for c in rows.columns])
     return blank.withColumn("image_ids", parse_ids("dataset_image_ids")).filter(F.size("image_ids") > 0)

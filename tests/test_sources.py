@@ -94,3 +94,17 @@ def test_records(spark, tmp_path):
     assert readers.mixed([a, a]).count() == 6
     ann = put(tmp_path / "ann.json", json.dumps({"annotations": [{"question_id": 1, "image_id": 2, "question_type": "q", "answer_type": "t", "answers": [{"answer_id": 1, "answer": "x"}]}]}))
     assert readers.annotations(spark, ann).first().answers[0].answer == "x"
+
+
+def test_knowledge_base_by_lines(spark, tmp_path):
+    for k in range(3):
+        put(tmp_path / f"{k}.jsonl", "\n".join(json.dumps({"url": f"u{k}{i}", "title": "t"}) for i in range(4)))
+    got = readers.knowledge_base(spark, str(tmp_path), lines=True).orderBy("doc_idx").collect()
+    assert [r.doc_idx for r in got] == list(range(12)) and len({r.url for r in got}) == 12
+
+
+def test_unreadable_images_are_blank(spark, tmp_path):
+    (tmp_path / "1.jpg").write_bytes(b"img")
+    w = spark.createDataFrame([(1, str(tmp_path / "1.jpg")), (2, "/none.jpg")], "sample_id long, path string")
+    got = {r.sample_id: bytes(r.content) for r in readers.image_bytes(spark, w, str(tmp_path), b"blank").collect()}
+    assert got == {1: b"img", 2: b"blank"}
