@@ -5,7 +5,8 @@ depend on the bucket of c(u), the context's frequency by powers of two. They are
 learned by expectation-maximisation on held-out counts: each training token is taken
 out of the counts in its turn, and what is left must predict it.
 
-Texts are cut to batches of some megabytes, and a batch asks for each of its distinct
+Texts are packed once to batches of some megabytes, in the shared folder, so that what
+is a batch does not change when executors come and go. A batch asks for each of its distinct
 words and bigrams once: sorted 64-bit hashes, as differences, with the number of times
 that the batch's training texts have them. One exchange deals these lists by hash to
 parts; a part adds the counts up, which makes the corpus's table, and answers every
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, slices
 
 BATCH_BYTES = 12 << 20
 WORD, PAIR, TEXTS, SUMS = 0, 1, -1, -2
@@ -114,24 +115,28 @@ class Batch:
         return np.add.reduceat(values, self.starts) if len(values) else np.zeros(0)
 
 
-def _batches(batches):
-    """Whole runs of rows of about BATCH_BYTES of column 1, with a number for each run. The
-    same input gives the same runs, whatever batches it comes in."""
+def _packs(batches):
+    """The rows of about BATCH_BYTES of text each, compressed and numbered."""
     number, rows, size = TaskContext.get().partitionId() << 24, [], 0
-    for b in batches:
-        lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-        a = 0
-        while a < len(b):
-            fit = int(np.searchsorted(np.cumsum(lengths[a:]), BATCH_BYTES - size)) + 1
-            part = b.slice(a, fit)
-            rows.append(part)
-            size += int(lengths[a : a + fit].sum())
-            a += fit
-            if size >= BATCH_BYTES:
-                yield number, pa.Table.from_batches(rows).combine_chunks()
-                number, rows, size = number + 1, [], 0
+
+    def pack():
+        table, sink = pa.Table.from_batches(rows), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([TEXTS], pa.int32()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()])], names=["batch", "kind", "part", "data"])
+
+    for b in slices(batches, 1):
+        rows.append(b)
+        size += b.column(1).nbytes
+        if size >= BATCH_BYTES:
+            yield pack()
+            number, rows, size = number + 1, [], 0
     if rows:
-        yield number, pa.Table.from_batches(rows).combine_chunks()
+        yield pack()
+
+
+def _opened(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
 
 
 def _texts(table: pa.Table) -> pa.Array:
@@ -143,7 +148,8 @@ def _lists(parts: int):
     shift = np.uint64(64 - int(log2(parts))) if parts > 1 else None
 
     def run(batches):
-        for number, table in _batches(batches):
+        for number, data in ((n, x) for b in batches for n, x in zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+            table = _opened(data.as_py())
             batch = Batch(_texts(table))
             train = ~table.column("held").to_numpy()
             out = []
@@ -170,26 +176,12 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([*rows, (SUMS, kind, part, b"", int((total > 0).sum()), int(total.sum()))], columns=["batch", "kind", "part", "data", "distinct", "tokens"])
 
 
-def _packs(batches):
-    """The texts of each batch, compressed."""
-    for number, table in _batches(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(table)
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([TEXTS], pa.int32()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()])], names=["batch", "kind", "part", "data"])
-
-
 def _met(pdf: pd.DataFrame):
     """A batch's table, tokens and counts of its words and bigrams."""
     pdf = pdf.sort_values(["kind", "part"])
-    packs = pdf.loc[pdf["kind"] == TEXTS, "data"]
-    if len(packs) != 1:
-        raise RuntimeError("the runs of rows changed between two reads of the input")
-    table = pa.ipc.open_stream(packs.iloc[0]).read_all().combine_chunks()
+    table = _opened(pdf.loc[pdf["kind"] == TEXTS, "data"].iloc[0])
     batch = Batch(_texts(table))
     words, pairs = (np.concatenate([unpack_counts(x) for x in pdf.loc[pdf["kind"] == k, "data"]]) for k in (WORD, PAIR))
-    if len(words) != len(batch.words) or len(pairs) != len(batch.pairs):
-        raise RuntimeError("the runs of rows changed between two reads of the input")
     return table, batch, words, pairs
 
 
@@ -259,8 +251,9 @@ def _scores(weights: np.ndarray, tokens: int, types: int):
     return run
 
 
-def parts_for(docs: DataFrame, part_bytes: int = 8 << 20, most: int = 1 << 16) -> int:
-    """A power of two that grows with the size of the files read."""
+def parts_for(docs: DataFrame, part_bytes: int = 8 << 20, most: int = 1 << 22) -> int:
+    """A power of two that grows with the size of the files read: a part's lists take
+    about part_bytes, and a few times that in the memory of the worker that adds them up."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return 1 << max(0, min(ceil(log2(most)), ceil(log2(max(1.0, size / part_bytes)))))
 
@@ -271,20 +264,17 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     Rows where `held` is true teach nothing. A null or blank text is one token, its
     end. Repeated rows each count and each come back. If all rows are held out, N and V
     are zero and every token has the probability 1. Other columns are ignored.
-
-    docs must be read alike each time: it is read three times, and runs of its rows in
-    one read must match those of the next (they do for files); else an error is raised.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
     parts = parts or parts_for(docs)
-    lists = rows.mapInArrow(_lists(parts), "batch long, kind int, part int, keys binary, counts binary")
+    packs = durable(rows.mapInArrow(_packs, "batch long, kind int, part int, data binary"))
+    lists = packs.select("batch", "data").mapInArrow(_lists(parts), "batch long, kind int, part int, keys binary, counts binary")
     answers = durable(lists.groupBy("kind", "part").applyInPandas(_answers, "batch long, kind int, part int, data binary, distinct long, tokens long"))
     sums = answers.filter((F.col("batch") == SUMS) & (F.col("kind") == WORD)).agg(F.sum("distinct"), F.sum("tokens")).first()
     types, tokens = int(sums[0] or 0), int(sums[1] or 0)
 
     def met():
-        packs = rows.mapInArrow(_packs, "batch long, kind int, part int, data binary")
         return packs.union(answers.filter(F.col("batch") != SUMS).select("batch", "kind", "part", "data")).groupBy("batch")
 
     cells = met().applyInPandas(_held_out(tokens), "cell long, n long, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
