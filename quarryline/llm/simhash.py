@@ -161,9 +161,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each component: that of the least id, ids before null, and
     of rows under one id the least by a hash of the text; of equal rows one stays."""
     first = classes(docs, id_col, text_col, shingle, max_bits).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_h")).alias("k"))
-    keep = first.select(F.col("k.id").alias("keep id"), F.col("k.text_h").alias("keep text_h"))
-    hashed = docs.withColumn("own text_h", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("keep id")) & (F.col("own text_h") == F.col("keep text_h"))
-    kept = hashed.join(keep, same, "left_semi")
-    once = F.row_number().over(Window.partitionBy(id_col, "own text_h").orderBy("own text_h"))
+    # 128 bits name a row by id and text. They are never null, and the join's exchange serves the window too.
+    keep = first.select(F.xxhash64("k.id", "k.text_h").alias("own key"), F.col("k.text_h").alias("own text_h"))
+    hashed = docs.withColumn("own text_h", F.xxhash64(text_col)).withColumn("own key", F.xxhash64(id_col, "own text_h"))
+    kept = hashed.join(keep, ["own key", "own text_h"], "left_semi")
+    once = F.row_number().over(Window.partitionBy("own key", "own text_h").orderBy("own text_h"))
     return kept.withColumn("copy no", once).filter(F.col("copy no") == 1).select(*docs.columns)
