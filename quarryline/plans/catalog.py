@@ -572,7 +572,7 @@ def stage_windows(spark, sf_dir):
 @query(f"""WITH {rel.CANDIDATES}, s AS (SELECT sample_id, doc_idx, idx, 'title ' || (doc_idx % 5) AS t, vector FROM cand), h AS (SELECT sample_id, 'title ' || (idx % 4) AS t, vector FROM cand WHERE idx < 3),
 b AS (SELECT s.sample_id, s.idx, max(list_dot_product(s.vector, h.vector) / sqrt(list_dot_product(s.vector, s.vector)) / sqrt(list_dot_product(h.vector, h.vector))) AS c FROM s JOIN h ON s.sample_id = h.sample_id AND s.t = h.t GROUP BY ALL)
 SELECT s.sample_id, s.idx, round(greatest(-1.0::DOUBLE, coalesce(c, -1)), 6) AS similarity FROM s LEFT JOIN b USING (sample_id, idx)""")
-def contriever_similarity(spark, sf_dir):
+def section_similarity(spark, sf_dir):
     c = rel.candidates(spark, sf_dir)
     sections = c.select("sample_id", "doc_idx", F.col("idx").alias("section_idx"), F.concat(F.lit("title "), (F.col("doc_idx") % 5).cast("string")).alias("source_title"), "vector")
     hits = c.filter("idx < 3").select("sample_id", F.concat(F.lit("title "), (F.col("idx") % 4).cast("string")).alias("title"), "vector")
