@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import durable, slices
 
 BATCH_BYTES = 12 << 20
-WORD, PAIR, TEXTS, SUMS = 0, 1, -1, -2
+WORD, PAIR, SUMS = 0, 1, -1
 #: What stands for the end of a text and the start of one; no word has a space in it.
 END, START = np.uint64(xxhash.xxh64_intdigest(b"\n")), np.uint64(xxhash.xxh64_intdigest(b" "))
 BUCKETS = 48
@@ -121,9 +121,9 @@ def _packs(batches):
 
     def pack():
         table, sink = pa.Table.from_batches(rows), pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
             w.write_table(table)
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([TEXTS], pa.int32()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()])], names=["batch", "kind", "part", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()])], names=["batch", "data"])
 
     for b in slices(batches, 1):
         rows.append(b)
@@ -176,12 +176,12 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([*rows, (SUMS, kind, part, b"", int((total > 0).sum()), int(total.sum()))], columns=["batch", "kind", "part", "data", "distinct", "tokens"])
 
 
-def _met(pdf: pd.DataFrame):
+def _met(pack: pd.DataFrame, answers: pd.DataFrame):
     """A batch's table, tokens and counts of its words and bigrams."""
-    pdf = pdf.sort_values(["kind", "part"])
-    table = _opened(pdf.loc[pdf["kind"] == TEXTS, "data"].iloc[0])
+    answers = answers.sort_values(["kind", "part"])
+    table = _opened(pack["data"].iloc[0])
     batch = Batch(_texts(table))
-    words, pairs = (np.concatenate([unpack_counts(x) for x in pdf.loc[pdf["kind"] == k, "data"]]) for k in (WORD, PAIR))
+    words, pairs = (np.concatenate([unpack_counts(x) for x in answers.loc[answers["kind"] == k, "data"]]) for k in (WORD, PAIR))
     return table, batch, words, pairs
 
 
@@ -197,8 +197,8 @@ def _level(p: np.ndarray) -> np.ndarray:
 def _held_out(tokens: int):
     """Counts of a batch's training tokens by bucket and by levels of both estimates, each with its own token taken out."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table, batch, words, pairs = _met(pdf)
+    def run(pack: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        table, batch, words, pairs = _met(pack, answers)
         own = np.repeat(~table.column("held").to_numpy(), batch.lengths)
         u, w, uw = words[batch.context[own]] - 1, words[batch.word[own]] - 1, pairs[batch.pair[own]] - 1
         p2, p1 = np.where(u > 0, uw / np.maximum(u, 1), 0.0), w / max(1, tokens - 1)
@@ -237,8 +237,8 @@ def learn_weights(cells: list[tuple[int, int, float, float]], types: int, rounds
 
 
 def _scores(weights: np.ndarray, tokens: int, types: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table, batch, words, pairs = _met(pdf)
+    def run(pack: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        table, batch, words, pairs = _met(pack, answers)
         u, w, uw = words[batch.context], words[batch.word], pairs[batch.pair]
         mix = weights[bucket(u)]
         p = mix[:, 0] * (uw / np.maximum(u, 1)) + mix[:, 1] * (w / max(1, tokens)) + mix[:, 2] / (types + 1)
@@ -268,14 +268,14 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
     parts = parts or parts_for(docs)
-    packs = durable(rows.mapInArrow(_packs, "batch long, kind int, part int, data binary"))
-    lists = packs.select("batch", "data").mapInArrow(_lists(parts), "batch long, kind int, part int, keys binary, counts binary")
+    packs = durable(rows.mapInArrow(_packs, "batch long, data binary"))
+    lists = packs.mapInArrow(_lists(parts), "batch long, kind int, part int, keys binary, counts binary")
     answers = durable(lists.groupBy("kind", "part").applyInPandas(_answers, "batch long, kind int, part int, data binary, distinct long, tokens long"))
     sums = answers.filter((F.col("batch") == SUMS) & (F.col("kind") == WORD)).agg(F.sum("distinct"), F.sum("tokens")).first()
     types, tokens = int(sums[0] or 0), int(sums[1] or 0)
 
     def met():
-        return packs.union(answers.filter(F.col("batch") != SUMS).select("batch", "kind", "part", "data")).groupBy("batch")
+        return packs.groupBy("batch").cogroup(answers.filter(F.col("batch") != SUMS).select(F.col("batch").alias("of"), "kind", "part", "data").groupBy("of"))
 
     cells = met().applyInPandas(_held_out(tokens), "cell long, n long, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
     weights = learn_weights([(r.cell, r.n, r.p2, r.p1) for r in cells.orderBy("cell").collect()], types)  # BUCKETS x 256 x 256 cells at most
