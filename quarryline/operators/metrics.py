@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, consensus_answer, consensus_punctuation, consensus_words, let, normalize_answer, normalize_title, url_to_title
-from .search import rank_by
+from .search import blocks_of
 
 
 def truth_titles(titles: Column, urls: Column) -> Column:
@@ -109,15 +111,110 @@ def single_accuracy(answer, reference) -> Column:
     return (norm(answer) == norm(reference)).cast("double")
 
 
-def retrieval_ranks(scores: DataFrame, truth: DataFrame, query: str, item: str) -> DataFrame:
-    """(query, rank): the best rank, from 0, of a true item; ties go to the larger item number first."""
-    ranked = scores.withColumn("rank", rank_by(query, F.desc("score"), F.desc(item)) - 1)
-    return ranked.join(truth, [query, item]).groupBy(query).agg(F.min("rank").alias("rank"))
+def retrieval_ranks(queries: DataFrame, items: DataFrame, block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(sample_id, rank) of every query and (vec_pos, rank) of every item: the best rank, from 0, of a true partner among all of the other side.
+
+    queries has sample_id, truth and vector, items has vec_pos, label and vector; a
+    pair is true where truth and label, whole numbers, are equal, and a query does not
+    meet the item of its own number. Ties go to the larger number first; a rank is null
+    where there is no true partner. All pairs are scored, in blocks of queries against
+    batches of items: first for the best true partner, then to count what lies above it,
+    so no pair becomes a row.
+    """
+    rows, of_query, of_item, over = items.select("vec_pos", "label", "vector"), None, None, None
+    both = lambda out, part: part if out is None else out.union(part)
+    blocks = []
+    for part in blocks_of(queries, "sample_id", block_rows):
+        got = part.select("sample_id", "truth", "vector").collect()
+        if got:
+            blocks.append((np.array([r.sample_id for r in got], np.int64), np.array([np.nan if r.truth is None else r.truth for r in got], np.float64), np.array([r.vector for r in got], np.float64)))
+    if not blocks:
+        none = F.lit(None).cast("long").alias("rank")
+        return queries.select("sample_id", none), items.select("vec_pos", none)
+    best = lambda found: found.groupBy("id").agg(F.max(F.struct("score", "partner")).alias("best")).select("id", "best.score", "best.partner")
+    for block in blocks:
+        of_item = both(of_item, rows.mapInArrow(_true_partners(block, True), "id long, score double, partner long"))
+    first = best(of_item).withColumnRenamed("id", "vec_pos")
+    held = rows.join(first, "vec_pos").select("vec_pos", "label", "vector", "score", "partner")
+    for block in blocks:
+        found = {r.id: (r.score, r.partner) for r in best(rows.mapInArrow(_true_partners(block, False), "id long, score double, partner long")).collect()}
+        of_query = both(of_query, rows.mapInArrow(_above(block, found), "id long, n long"))
+        over = both(over, held.mapInArrow(_above(block), "id long, n long"))
+    ranks = lambda counts, key: counts.groupBy(F.col("id").alias(key)).agg(F.sum("n").alias("rank"))
+    return queries.select("sample_id").join(ranks(of_query, "sample_id"), "sample_id", "left"), items.select("vec_pos").join(ranks(over, "vec_pos"), "vec_pos", "left")
+
+
+#: Pairs that a worker scores at a time, and what stands for no partner.
+TILE, NOBODY = 1 << 20, np.iinfo(np.int64).min
+
+
+def _tiles(block, batches):
+    """(rows, numbers, scores, able, true) of some rows of a batch against the block; equal vectors have equal scores, wherever they are."""
+    ids, truth, matrix = block
+    step = max(1, TILE // len(ids))
+    for b in batches:
+        for at in range(0, len(b), step):
+            t = b.slice(at, step)
+            pos, label = t.column(0).to_numpy(zero_copy_only=False).astype(np.int64), t.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            v = t.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
+            scores = np.einsum("qd,vd->qv", matrix, v)  # a matrix product's last bits depend on its shape
+            able = np.isfinite(scores) & (ids[:, None] != pos[None, :])
+            yield t, pos, scores, able, able & (truth[:, None] == label[None, :])
+
+
+def _true_partners(block, of_items: bool):
+    """The best true partner of each item in the block, or of each query of the block among a partition's items."""
+    ids = block[0]
+
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "score", "partner"])
+
+    def run(batches):
+        best, partner = np.full(len(ids), -np.inf), np.full(len(ids), NOBODY)
+        for _, pos, scores, _, true in _tiles(block, batches):
+            s = np.where(true, scores, -np.inf)
+            top = s.max(axis=0 if of_items else 1, keepdims=True)
+            p = np.where(true & (s == top), ids[:, None] if of_items else pos[None, :], NOBODY).max(axis=0 if of_items else 1)
+            top = top.ravel()
+            if of_items:
+                some = p != NOBODY
+                yield rows(pos[some], top[some], p[some])
+            else:
+                up = (top > best) | ((top == best) & (p > partner))
+                best, partner = np.where(up, top, best), np.where(up, p, partner)
+        if not of_items:
+            some = partner != NOBODY
+            yield rows(ids[some], best[some], partner[some])
+
+    return run
+
+
+def _above(block, found: dict | None = None):
+    """How many of the other side lie above the best true partner: for each query in found, or for each item, whose columns 3 and 4 name it."""
+    ids = block[0]
+    pick = [i for i, x in enumerate(ids.tolist()) if x in (found or {})]
+    best, partner = np.array([found[ids[i]][0] for i in pick], np.float64), np.array([found[ids[i]][1] for i in pick], np.int64)
+
+    def run(batches):
+        total = np.zeros(len(pick), np.int64)
+        for t, pos, scores, able, true in _tiles(block, batches):
+            other = able & ~true  # no true one is above the best of them
+            if found is not None:
+                s, b = scores[pick], best[:, None]
+                total += (other[pick] & ((s > b) | ((s == b) & (pos[None, :] > partner[:, None])))).sum(axis=1)
+            else:
+                b, p = (t.column(i).to_numpy(zero_copy_only=False)[None, :] for i in (3, 4))
+                n = (other & ((scores > b) | ((scores == b) & (ids[:, None] > p)))).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(n.astype(np.int64))], names=["id", "n"])
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array(total)], names=["id", "n"])
+
+    return run
 
 
 def retrieval_report(image_ranks: DataFrame, text_ranks: DataFrame) -> DataFrame:
-    """R@1, R@5 and R@10 in per cent for both directions, their means, and agg, the mean over texts."""
-    share = lambda k: 100.0 * F.avg((F.col("rank") < k).cast("double"))
+    """R@1, R@5 and R@10 in per cent for both directions, their means, and agg, the mean over texts; a null rank is a miss."""
+    share = lambda k: 100.0 * F.avg(F.coalesce((F.col("rank") < k).cast("double"), F.lit(0.0)))
     ask = [share(k).alias(f"r{k}") for k in (1, 5, 10)]
     i = image_ranks.agg(*ask).select(*[F.col(f"r{k}").alias(f"txt_r{k}") for k in (1, 5, 10)])
     t = text_ranks.agg(*ask).select(*[F.col(f"r{k}").alias(f"img_r{k}") for k in (1, 5, 10)])

@@ -306,9 +306,7 @@ b AS (SELECT 100.0::DOUBLE * avg((rank < 1)::INT) AS img_r1, 100.0::DOUBLE * avg
 SELECT round(txt_r1, 6) AS txt_r1, round(txt_r5, 6) AS txt_r5, round(txt_r10, 6) AS txt_r10, round(img_r1, 6) AS img_r1, round(img_r5, 6) AS img_r5, round(img_r10, 6) AS img_r10, round((txt_r1 + txt_r5 + txt_r10) / 3, 6) AS txt_r_mean, round((img_r1 + img_r5 + img_r10) / 3, 6) AS img_r_mean,
 round(((txt_r1 + txt_r5 + txt_r10) / 3 + (img_r1 + img_r5 + img_r10) / 3) / 2, 6) AS r_mean, round((txt_r1 + txt_r5 + txt_r10) / 3, 6) AS agg_metrics FROM a, b""")
 def sim_matrix_retrieval(spark, sf_dir):
-    h = rel.hits(spark, sf_dir).join(rel.samples(spark, sf_dir).select("sample_id", "truth"), "sample_id")
-    truth = h.filter("label = truth").select("sample_id", "vec_pos")
-    images, texts = metrics.retrieval_ranks(h, truth, "sample_id", "vec_pos"), metrics.retrieval_ranks(h, truth, "vec_pos", "sample_id")
+    images, texts = metrics.retrieval_ranks(rel.samples(spark, sf_dir), rel.vectors(spark, sf_dir))
     out = metrics.retrieval_report(images, texts)
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
