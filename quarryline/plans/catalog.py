@@ -463,9 +463,7 @@ def aok_accuracy(spark, sf_dir):
 SELECT count(*) AS n, round(avg((trim(regexp_replace(lower(q), '[.]', '', 'g')) = trim(regexp_replace(lower(a), '[.]', '', 'g')))::INT), 6) AS accuracy FROM s
 WHERE regexp_matches(q, '^[A-Z][a-z]$') AND regexp_matches(a, '^[A-Z][a-z]$') AND lower(q) NOT IN ('an') AND lower(a) NOT IN ('an')""")
 def gqa_accuracy(spark, sf_dir):
-    s = rel.answers(spark, sf_dir).select(F.substring("question", 1, 2).alias("q"), F.substring("answer", 1, 2).alias("a"))
-    plain = s.filter(F.col("q").rlike("^[A-Z][a-z]$") & F.col("a").rlike("^[A-Z][a-z]$") & ~F.lower("q").isin("an") & ~F.lower("a").isin("an"))
-    return plain.agg(F.count("*").alias("n"), r6(F.avg(metrics.single_accuracy("a", "q"))).alias("accuracy"))
+    return rel.answers(spark, sf_dir).agg(F.count("*").alias("n"), r6(F.avg(metrics.single_accuracy("answer", "question"))).alias("accuracy"))
 
 
 @query("""SELECT CAST(count(*) FILTER ((n_chars > 500)::INT = quality) AS BIGINT) AS correct, count(*) AS total, count(*) FILTER ((n_chars > 500)::INT = quality) / count(*) AS accuracy FROM labels JOIN documents USING (doc_id)""")
