@@ -3,11 +3,11 @@
 Base spans come from four fixed patterns. The field adds spans that they miss: it
 scores whole candidate segments by features of the span (its shape, digits, checks,
 neighbours), with a weight for each pair of neighbouring labels, and a dynamic program
-over segments of bounded length chooses boundaries and types together.
+over segments of at most MAX_TOKENS tokens, of any length each, chooses boundaries and types together.
 
 A segment that is an entity has a digit or an @ in it, all other tokens are single
 segments of label O whose score and transitions are zero. So tokens further than an
-entity's length from any such sign can only be O, and the program runs over the
+entity's tokens from any such sign can only be O, and the program runs over the
 regions around signs alone: the result is that of the whole text.
 
 The field is trained here, by its likelihood, on sentences drawn from a seeded
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .common import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-MAX_TOKENS, MAX_CHARS = 12, 96
+MAX_TOKENS = 12
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,6 +38,7 @@ _DOTTED = re.compile(r"[0-9][0-9.]*")
 _DIGITS = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
+_CHUNK = re.compile(r"\S+")
 _TOKEN = re.compile(r"[^\W_]+|_|[^\w\s]")
 
 
@@ -185,10 +187,10 @@ def segments(text: str, start: int, end: int):
         c = text[a]
         if not (c.isalnum() or c in "+(") or not any(sign[i : i + MAX_TOKENS]):
             continue
-        before, seen = text[max(start, a - 24) : a].lower(), False
+        before, seen = text[max(0, a - 24) : a].lower(), False
         for j in range(i, min(i + MAX_TOKENS, len(tokens))):
             p, b = tokens[j]
-            if b - a > MAX_CHARS or (j > i and "\n" in text[tokens[j - 1][1] : p]) or p - tokens[max(j - 1, i)][1] > 1:
+            if (j > i and "\n" in text[tokens[j - 1][1] : p]) or p - tokens[max(j - 1, i)][1] > 1:
                 break
             seen |= sign[j]
             if seen and (text[b - 1].isalnum() or text[b - 1] == ")"):
@@ -344,23 +346,22 @@ def train(sentences: int = 500, rounds: int = 4, rate: float = 0.5, seed: int =
     return field
 
 
-def regions(text: str, reach: int = MAX_CHARS + 24):
-    """Stretches of text within reach of a digit or @, cut where a space is."""
-    start = end = -1
+def regions(text: str, reach: int = MAX_TOKENS):
+    """Stretches of text within reach of a digit or @: so many words to both sides, each of one token or more, whole."""
+    if not _SIGN.search(text):
+        return
+    chunks = [m.span() for m in _CHUNK.finditer(text)]
+    k, first, past = 0, -1, -1
     for m in _SIGN.finditer(text):
-        if m.start() < end - reach:  # the region holds this sign with its reach already
+        if first >= 0 and m.start() < chunks[k][1]:  # in the word of the sign before it
             continue
-        if end < 0 or m.start() - reach > end:
-            if end >= 0:
-                yield start, end
-            start = max(0, m.start() - reach)
-            while start > 0 and not text[start - 1].isspace() and m.start() - start < 2 * reach:
-                start -= 1
-        end = min(len(text), m.start() + 2 * reach)
-        while end < len(text) and not text[end].isspace() and end - m.start() < 3 * reach:
-            end += 1
-    if end >= 0:
-        yield start, end
+        k = bisect_right(chunks, (m.start(), len(text)), k) - 1
+        if first < 0 or k - reach > past:
+            if first >= 0:
+                yield chunks[first][0], chunks[past][1]
+            first = max(0, k - reach)
+        past = min(len(chunks) - 1, k + reach)
+    yield chunks[first][0], chunks[past][1]
 
 
 def find(text: str | None, field: Field | None) -> tuple[list, list]:

@@ -115,3 +115,14 @@ def test_odd_rows(make, odd, field):
     one = P.detect(make([(1, "x 1.2.3.4 y")]), field).first()
     assert (one.n_ip, one.spans) == (1, "ip:2:9")
     assert P.detect(make([]), field).count() == 0
+
+
+def test_secrets_of_any_length_are_found(field):
+    rng = random.Random(9)
+    for n in (64, 97, 128, 512, 4000):
+        for prefix, cue in (("", "secret="), ("", 'token = "'), ("sk-", 'key = "')):
+            s = prefix + "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "7a"
+            text = "Some words first. " * 30 + cue + s + '" and some words after. ' * 30
+            at = text.index(s)
+            assert ("secret", at, at + len(s)) in P.find(text, field)[1], (n, cue)
+            assert s not in P.redacted(text, P.find(text, field)[1])
