@@ -3,7 +3,9 @@
 Templates are cut to words; of each window of `window` neighbouring word n-grams the
 one of least hash goes to an inverted index. All n-grams of a document are looked up
 there, so a run of n + window - 1 words or more that it shares with a template is
-found. Hits of a template on neighbouring diagonals are one candidate, and a local
+found. A template too short to keep such a run when all the words that `coverage`
+allows are missing or other words has all of its n-grams indexed, or all shorter ones.
+Hits of a template on neighbouring diagonals are one candidate, and a local
 alignment within a band around them counts the template's words that the document
 has and where they lie.
 """
@@ -101,24 +103,38 @@ class Scanner:
         self.words = [[self.ids[w] for w in t] for t in spelled]
         self.n, self.coverage, self.cache = n, coverage, {}
         index: dict[int, list[tuple[int, int]]] = {}
+        short: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, ids in enumerate(self.words):
+            run = self.sure_run(len(ids))
+            if run < n:
+                for k, g in enumerate(self.grams(np.array(ids, np.int64), run).tolist()):
+                    short.setdefault(run, {}).setdefault(g, []).append((t, k))
             grams = self.grams(np.array(ids, np.int64))
             rank = [(g * 0x9E3779B97F4A7C15) % (1 << 64) for g in grams.tolist()]
             chosen = set()
+            if n <= run < n + window - 1:
+                chosen.update(range(len(grams)))
             for i in range(len(grams) - window + 1):
                 chosen.add(min(range(i, i + window), key=lambda k: (rank[k], -k)))
             for k in sorted(chosen):
                 index.setdefault(int(grams[k]), []).append((t, k))
         self.keys = np.array(sorted(index), np.int64)
         self.posts = [index[k] for k in self.keys.tolist()]
+        self.indexes = [(n, self.keys, self.posts), *((m, np.array(sorted(x), np.int64), [x[k] for k in sorted(x)]) for m, x in sorted(short.items()))]
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
+    def sure_run(self, words: int) -> int:
+        """The words in a row that stay where as many of a template's words as coverage allows are missing or other words."""
+        keep = next(k for k in range(words + 1) if k >= self.coverage * words)
+        return -(-keep // (words - keep + 1))
+
+    def grams(self, ids: np.ndarray, n: int | None = None) -> np.ndarray:
         """A number for each n-gram; -1 where a word is in no template."""
-        m = len(ids) - self.n + 1
+        n = n or self.n
+        m = len(ids) - n + 1
         if m <= 0:
             return np.zeros(0, np.int64)
         out, known = np.zeros(m, np.int64), np.ones(m, bool)
-        for k in range(self.n):
+        for k in range(n):
             part = ids[k : k + m]
             out, known = out * len(self.ids) + part, known & (part >= 0)
         return np.where(known, out, -1)
@@ -130,17 +146,16 @@ class Scanner:
         get = self.ids.get
         found = words_of(text)
         ids = np.array([get(w, -1) for w in found], np.int64)
-        grams = self.grams(ids)
-        at = np.nonzero(grams >= 0)[0]
-        if not len(at):
-            return []
-        k = np.searchsorted(self.keys, grams[at])
-        k[k == len(self.keys)] = 0
-        hit = self.keys[k] == grams[at]
         diagonals: dict[int, list[int]] = {}
-        for p, q in zip(at[hit].tolist(), k[hit].tolist(), strict=True):
-            for t, place in self.posts[q]:
-                diagonals.setdefault(t, []).append(p - place)
+        for n, keys, posts in self.indexes:
+            grams = self.grams(ids, n)
+            at = np.nonzero(grams >= 0)[0]
+            k = np.searchsorted(keys, grams[at])
+            k[k == len(keys)] = 0
+            hit = keys[k] == grams[at]
+            for p, q in zip(at[hit].tolist(), k[hit].tolist(), strict=True):
+                for t, place in posts[q]:
+                    diagonals.setdefault(t, []).append(p - place)
         matches = []
         for t, ds in diagonals.items():
             ds = sorted(set(ds))

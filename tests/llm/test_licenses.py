@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quarryline.llm.licenses import TEMPLATES, Scanner, align, scan, words_of
@@ -71,3 +72,25 @@ def test_odd_rows(make, odd):
     m = rows[-1].licenses[0]
     assert docs[-1][1][m.start : m.end] == "Licensed under the Apache License, Version 2.0"
     assert scan(make([])).count() == 0
+
+
+def test_short_templates_are_found_with_a_word_missing_or_changed():
+    s = Scanner()
+    for text in ("Released under MIT License.", "Released under an MIT License.", "Published under the MIT License."):
+        assert [(m["license"], m["matched_words"], m["coverage"]) for m in s.scan(f"Some words é first. {text} And more after.")] == [("MIT", 4, 0.8)], text
+    assert s.scan("Released to the public by MIT.") == []
+
+
+def test_all_that_coverage_allows_may_be_missing():
+    s = Scanner()
+    rng = random.Random(6)
+    for k, (_, template) in enumerate(TEMPLATES):
+        words = template.split()
+        n = len(words_of(template))
+        one = [i for i, w in enumerate(words) if len(words_of(w)) == 1]
+        for _ in range(20):
+            drop = rng.sample(one, min(len(one), int(n * 0.2 + 1e-9)))
+            text = " ".join(w for i, w in enumerate(words) if i not in drop)
+            at = np.array([s.ids.get(w, -1) for w in words_of(text)], np.int64)
+            held = [t for size, keys, posts in s.indexes for g in s.grams(at, size).tolist() if g in keys for t, _ in posts[keys.tolist().index(g)]]
+            assert k in held, (template, text)
