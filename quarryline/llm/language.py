@@ -179,8 +179,9 @@ class Identifier:
         return out
 
 
-def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_examples: int = 3_000, max_languages: int = 200, sample_chars: int = 20_000) -> list[tuple[str, str]]:
-    """Texts and languages to learn from, within the bounds named; sample_chars of a text at most.
+def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_examples: int = 3_000, max_languages: int = 200, max_chars: int = 48_000_000) -> list[tuple[str, str]]:
+    """Whole texts and languages to learn from, within the bounds named; of each language
+    the first row, and more as long as its share of max_chars holds them.
 
     The rows are chosen by a hash of their ids, which reads no texts; those without a
     letter teach nothing. A language's rows are first cut to the share of hashes that
@@ -194,7 +195,9 @@ def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     cuts = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, min(1 << 31, 1 + ((4 * k << 31) // r.n))) for r in counts], "lang string, cut long"))
     first = lambda rows, *by: rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).filter(F.col("k") <= k)
     picked = first(known.select("lang", "h").join(cuts, "lang").filter(F.col("h") < F.col("cut")), "h").select("lang", "h").distinct()
-    texts = first(known.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", F.substring("text", 1, sample_chars).alias("text")), "h", "text")
+    texts = first(known.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", "text"), "h", "text")
+    upto = F.sum(F.char_length("text")).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    texts = texts.withColumn("chars", upto).filter((F.col("k") == 1) | (F.coalesce("chars", F.lit(0)) <= max_chars // len(counts)))
     return [(r.text, r.lang) for r in texts.orderBy("lang", "k").select("text", "lang").collect() if r.text and any(map(str.isalpha, r.text))]
 
 

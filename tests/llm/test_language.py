@@ -49,3 +49,15 @@ def test_odd_rows(make, odd):
     assert {r.lang_pred for r in identify(docs, []).collect()} == {"und"}
     assert language.sample(make([]), F.lit(True)) == []
     assert len(language.sample(docs, F.lit(True), per_language=2)) <= 4
+
+
+def test_examples_are_whole_texts(spark):
+    long = {"xx": "aba " * 6_000 + "zuz " * 6_000, "yy": "ebe " * 4_000}
+    docs = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(long.items())], "doc_id long, text string, lang string")
+    assert dict((n, t) for t, n in language.sample(docs, F.lit(True))) == long
+
+
+def test_a_bound_of_characters_leaves_out_rows_and_cuts_none(spark):
+    docs = spark.createDataFrame([(i, "abc " * 25, "xx") for i in range(9)] + [(9, "e" * 5_000, "yy")], "doc_id long, text string, lang string")
+    got = language.sample(docs, F.lit(True), max_chars=1_000)
+    assert sorted((n, len(t)) for t, n in got) == [("xx", 100)] * 5 + [("yy", 5_000)]
