@@ -291,20 +291,20 @@ def zero_shot_centroid(spark, sf_dir):
     return scored.select("vec_id", "truth", F.get("classes", metrics.argmax(F.col("s")))["guess"].alias("guess"))
 
 
-@query(f"""WITH {rel.HITS}, t AS (SELECT sample_id, vec_pos AS item, score, truth = label AS ok FROM hits),
-r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, item) AS fr FROM t)
+@query(f"""WITH {rel.SCORED}, r AS (SELECT sample_id, vec_pos AS item, score, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, vec_pos) AS fr FROM scored)
 SELECT sample_id, item, round(CASE WHEN fr <= 10 THEN score + (item % 11) / 20.0::DOUBLE ELSE -100 END, 6) AS final FROM r""")
 def shortlist_rerank(spark, sf_dir):
-    t = rel.hits(spark, sf_dir).select("sample_id", F.col("vec_pos").alias("item"), "score").withColumn("itm", (F.col("item") % 11) / 20.0)
+    t = rel.scored(spark, sf_dir).select("sample_id", F.col("vec_pos").alias("item"), "score").withColumn("itm", (F.col("item") % 11) / 20.0)
     return search.rerank_shortlist(t, 10, "score", "itm").select("sample_id", "item", r6("final").alias("final"))
 
 
-@query(f"""WITH {rel.HITS}, i AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, vec_pos DESC) - 1 AS rank, truth = label AS ok FROM hits),
-ir AS (SELECT sample_id, min(rank) AS rank FROM i WHERE ok GROUP BY ALL), t AS (SELECT vec_pos, row_number() OVER (PARTITION BY vec_pos ORDER BY score DESC, sample_id DESC) - 1 AS rank, truth = label AS ok FROM hits), tr AS (SELECT vec_pos, min(rank) AS rank FROM t WHERE ok GROUP BY ALL),
-a AS (SELECT 100.0::DOUBLE * avg((rank < 1)::INT) AS txt_r1, 100.0::DOUBLE * avg((rank < 5)::INT) AS txt_r5, 100.0::DOUBLE * avg((rank < 10)::INT) AS txt_r10 FROM ir),
-b AS (SELECT 100.0::DOUBLE * avg((rank < 1)::INT) AS img_r1, 100.0::DOUBLE * avg((rank < 5)::INT) AS img_r5, 100.0::DOUBLE * avg((rank < 10)::INT) AS img_r10 FROM tr)
-SELECT round(txt_r1, 6) AS txt_r1, round(txt_r5, 6) AS txt_r5, round(txt_r10, 6) AS txt_r10, round(img_r1, 6) AS img_r1, round(img_r5, 6) AS img_r5, round(img_r10, 6) AS img_r10, round((txt_r1 + txt_r5 + txt_r10) / 3, 6) AS txt_r_mean, round((img_r1 + img_r5 + img_r10) / 3, 6) AS img_r_mean,
-round(((txt_r1 + txt_r5 + txt_r10) / 3 + (img_r1 + img_r5 + img_r10) / 3) / 2, 6) AS r_mean, round((txt_r1 + txt_r5 + txt_r10) / 3, 6) AS agg_metrics FROM a, b""")
+@query(f"""WITH {rel.SCORED}, i AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, vec_pos DESC) - 1 AS rank, truth = label AS ok FROM scored),
+ir AS (SELECT sample_id, min(rank) FILTER (ok) AS rank FROM q LEFT JOIN i USING (sample_id) GROUP BY ALL), t AS (SELECT vec_pos, row_number() OVER (PARTITION BY vec_pos ORDER BY score DESC, sample_id DESC) - 1 AS rank, truth = label AS ok FROM scored),
+tr AS (SELECT vec_pos, min(rank) FILTER (ok) AS rank FROM v LEFT JOIN t USING (vec_pos) GROUP BY ALL),
+a AS (SELECT {', '.join(f"100.0::DOUBLE * count(*) FILTER (rank < {k}) / count(*) AS txt_r{k}" for k in (1, 5, 10))} FROM ir),
+b AS (SELECT {', '.join(f"100.0::DOUBLE * count(*) FILTER (rank < {k}) / count(*) AS img_r{k}" for k in (1, 5, 10))} FROM tr),
+m AS (SELECT *, (txt_r1 + txt_r5 + txt_r10) / 3 AS txt_r_mean, (img_r1 + img_r5 + img_r10) / 3 AS img_r_mean FROM a, b)
+SELECT {', '.join(f"round({c}, 6) AS {c}" for c in ("txt_r1", "txt_r5", "txt_r10", "img_r1", "img_r5", "img_r10", "txt_r_mean", "img_r_mean"))}, round((txt_r_mean + img_r_mean) / 2, 6) AS r_mean, round(txt_r_mean, 6) AS agg_metrics FROM m""")
 def sim_matrix_retrieval(spark, sf_dir):
     images, texts = metrics.retrieval_ranks(rel.samples(spark, sf_dir), rel.vectors(spark, sf_dir))
     out = metrics.retrieval_report(images, texts)
@@ -428,17 +428,21 @@ def em_multi(spark, sf_dir):
     return a.filter(some).select("conv_id", "turn", metrics.list_match("ref", "cand").alias("em"))
 
 
-# Several annotators: the first words of a conversation's turns, cut to one letter so that some agree.
+# Several annotators: the first word of each of a conversation's turns; the first turn's is the given answer.
 def _annotated(spark, sf_dir):
     t = rel.table(spark, sf_dir, "conversations")
-    refs = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("answer_id"), F.lower(F.substring("text", 1, 1)).alias("answer")))).alias("answers"))
+    refs = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("answer_id"), F.lower(F.regexp_extract("text", r"^\S+", 0)).alias("answer")))).alias("answers"))
     return refs.select("conv_id", "answers", F.col("answers")[0]["answer"].alias("given"), F.when(F.col("conv_id") % 3 == 0, "templated").otherwise("automatic").alias("question_type"), F.when(F.col("conv_id") % 2 == 0, "other").otherwise("yes/no").alias("answer_type"))
 
 
-_ANNOTATED = f"""
-ann AS (SELECT conv_id, turn, lower(substring(text, 1, 1)) AS answer FROM conversations),
-given AS (SELECT conv_id, arg_min(answer, turn) AS raw, arg_min(array_to_string(list_filter([answer], lambda w: w NOT IN ('a')), ' '), turn) AS given, count(*) AS n FROM ann GROUP BY conv_id),
-acc AS (SELECT g.conv_id, avg(least(1.0::DOUBLE, (SELECT count(*) FROM ann o WHERE o.conv_id = a.conv_id AND o.turn <> a.turn AND o.answer = g.given) / 3)) AS accuracy FROM given g JOIN ann a USING (conv_id) GROUP BY g.conv_id),
+_ANNOTATED = rf"""
+ann AS (SELECT conv_id, turn, lower(regexp_extract(text, '^\S+')) AS t FROM conversations),
+m AS (SELECT *, {_consensus_punct_sql('t')} AS m FROM ann),
+k AS (SELECT conv_id, turn, t, string_split(regexp_replace(replace(m, '.', chr(1)), chr(1) || '(\d)', '.\1', 'g'), chr(1)) AS p FROM m),
+x AS (SELECT conv_id, turn, t, {_STOPS} AS x FROM k),
+given AS (SELECT conv_id, arg_min({_WORDS}, turn) AS given, arg_min(t, turn) AS raw, count(DISTINCT t) = 1 AS agree FROM x GROUP BY conv_id),
+refs AS (SELECT conv_id, turn, given, CASE WHEN agree THEN t ELSE x END AS answer FROM x JOIN given USING (conv_id)),
+acc AS (SELECT a.conv_id, avg(least(1.0::DOUBLE, (SELECT count(*) FROM refs o WHERE o.conv_id = a.conv_id AND o.turn <> a.turn AND o.answer = a.given) / 3)) AS accuracy FROM refs a GROUP BY a.conv_id),
 typed AS (SELECT conv_id, accuracy, CASE WHEN conv_id % 3 = 0 THEN 'templated' ELSE 'automatic' END AS question_type, CASE WHEN conv_id % 2 = 0 THEN 'other' ELSE 'yes/no' END AS answer_type FROM acc)"""
 
 
@@ -453,15 +457,17 @@ def vqa_report(spark, sf_dir):
     return metrics.consensus_report(_annotated(spark, sf_dir).withColumn("accuracy", metrics.consensus_accuracy("given", "answers")))
 
 
-@query("""WITH a AS (SELECT conv_id, lower(substring(text, 1, 1)) AS x, turn FROM conversations), g AS (SELECT conv_id, arg_min(x, turn) AS given FROM a GROUP BY conv_id)
+@query(r"""WITH a AS (SELECT conv_id, lower(regexp_extract(text, '^\S+')) AS x, turn FROM conversations), g AS (SELECT conv_id, arg_min(x, turn) AS given FROM a GROUP BY conv_id)
 SELECT conv_id, round(least(1.0::DOUBLE, count(*) FILTER (x = given) / 3), 6) AS accuracy FROM a JOIN g USING (conv_id) GROUP BY conv_id""")
 def aok_accuracy(spark, sf_dir):
     return _annotated(spark, sf_dir).select("conv_id", r6(metrics.direct_accuracy("given", F.transform("answers", lambda a: a["answer"]))).alias("accuracy"))
 
 
-@query(f"""WITH {rel.ANSWERS}, s AS (SELECT left(question, 2) AS q, left(answer, 2) AS a FROM answers)
-SELECT count(*) AS n, round(avg((trim(regexp_replace(lower(q), '[.]', '', 'g')) = trim(regexp_replace(lower(a), '[.]', '', 'g')))::INT), 6) AS accuracy FROM s
-WHERE regexp_matches(q, '^[A-Z][a-z]$') AND regexp_matches(a, '^[A-Z][a-z]$') AND lower(q) NOT IN ('an') AND lower(a) NOT IN ('an')""")
+@query(rf"""WITH {rel.ANSWERS}, s AS (SELECT conv_id, turn, unnest(['q', 'a']) AS side, unnest([question, answer]) AS t FROM answers),
+m AS (SELECT *, {_consensus_punct_sql('t')} AS m FROM s),
+k AS (SELECT conv_id, turn, side, string_split(regexp_replace(replace(m, '.', chr(1)), chr(1) || '(\d)', '.\1', 'g'), chr(1)) AS p FROM m),
+x AS (SELECT conv_id, turn, side, {_STOPS} AS x FROM k), w AS (SELECT conv_id, turn, side, {_WORDS} AS w FROM x)
+SELECT count(*) AS n, round(avg((q.w = a.w)::INT), 6) AS accuracy FROM w q JOIN w a ON q.conv_id = a.conv_id AND q.turn = a.turn AND q.side = 'q' AND a.side = 'a'""")
 def gqa_accuracy(spark, sf_dir):
     return rel.answers(spark, sf_dir).agg(F.count("*").alias("n"), r6(F.avg(metrics.single_accuracy("answer", "question"))).alias("accuracy"))
 

@@ -38,14 +38,22 @@ def hits(spark: SparkSession, sf_dir: str, expand: int = EXPAND) -> DataFrame:
     return found.join(v.select("vec_pos", "doc_idx", "label"), "vec_pos")
 
 
-HITS = f"""
+SCORED = """
 v AS (SELECT vec_id AS vec_pos, CAST(label AS BIGINT) * 1000000 + vec_id // 30 AS doc_idx, label, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
 q AS (SELECT vec_pos AS sample_id, label AS truth, vector FROM v WHERE vec_pos % 100 = 0),
-scored AS (SELECT q.sample_id, q.truth, v.vec_pos, v.doc_idx, v.label, list_dot_product(q.vector, v.vector) AS score FROM q JOIN v ON q.sample_id <> v.vec_pos),
+scored AS (SELECT q.sample_id, q.truth, v.vec_pos, v.doc_idx, v.label, list_dot_product(q.vector, v.vector) AS score FROM q JOIN v ON q.sample_id <> v.vec_pos)"""
+HITS = SCORED + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, vec_pos) AS rank FROM scored),
 hits AS (SELECT * FROM ranked WHERE rank <= {EXPAND})"""
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sample with all other vectors, in blocks of samples: sample_id, truth, vec_pos, doc_idx, label, score."""
+    v, s = vectors(spark, sf_dir), samples(spark, sf_dir).withColumnRenamed("vector", "asked")
+    pairs = search.against_all(s, v, "sample_id", F.col("sample_id") != F.col("vec_pos"))
+    return pairs.select("sample_id", "truth", "vec_pos", "doc_idx", "label", dot("asked", "vector").alias("score"))
+
+
 def doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hit of each document, K documents at most."""
     return search.first_per_document(hits(spark, sf_dir), K)

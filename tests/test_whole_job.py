@@ -4,27 +4,12 @@ import re
 
 import numpy as np
 import pytest
-from oracle import compare
 
 from quarryline.functions.answer_tables import ARTICLES, CONSENSUS_PUNCTUATION, CONTRACTIONS, NUMBER_WORDS
 from quarryline.operators import metrics
 from quarryline.plans import catalog, relations as rel
 
 SF = "/root/testdata/sf0.001"
-SCORED = rel.HITS.rsplit(",\nranked AS", 1)[0]
-
-RETRIEVAL = f"""WITH {SCORED}, i AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, vec_pos DESC) - 1 AS rank, truth = label AS ok FROM scored),
-ir AS (SELECT sample_id, min(rank) FILTER (ok) AS rank FROM q LEFT JOIN i USING (sample_id) GROUP BY ALL), t AS (SELECT vec_pos, row_number() OVER (PARTITION BY vec_pos ORDER BY score DESC, sample_id DESC) - 1 AS rank, truth = label AS ok FROM scored),
-tr AS (SELECT vec_pos, min(rank) FILTER (ok) AS rank FROM v LEFT JOIN t USING (vec_pos) GROUP BY ALL),
-a AS (SELECT 100.0::DOUBLE * count(*) FILTER (rank < 1) / count(*) AS txt_r1, 100.0::DOUBLE * count(*) FILTER (rank < 5) / count(*) AS txt_r5, 100.0::DOUBLE * count(*) FILTER (rank < 10) / count(*) AS txt_r10 FROM ir),
-b AS (SELECT 100.0::DOUBLE * count(*) FILTER (rank < 1) / count(*) AS img_r1, 100.0::DOUBLE * count(*) FILTER (rank < 5) / count(*) AS img_r5, 100.0::DOUBLE * count(*) FILTER (rank < 10) / count(*) AS img_r10 FROM tr),
-m AS (SELECT *, (txt_r1 + txt_r5 + txt_r10) / 3 AS txt_r_mean, (img_r1 + img_r5 + img_r10) / 3 AS img_r_mean FROM a, b)
-SELECT round(txt_r1, 6) AS txt_r1, round(txt_r5, 6) AS txt_r5, round(txt_r10, 6) AS txt_r10, round(img_r1, 6) AS img_r1, round(img_r5, 6) AS img_r5, round(img_r10, 6) AS img_r10, round(txt_r_mean, 6) AS txt_r_mean, round(img_r_mean, 6) AS img_r_mean,
-round((txt_r_mean + img_r_mean) / 2, 6) AS r_mean, round(txt_r_mean, 6) AS agg_metrics FROM m"""
-
-
-def test_retrieval_ranks_the_whole_matrix(spark):
-    compare(spark, catalog.QUERIES["sim_matrix_retrieval"], RETRIEVAL, SF)
 
 
 @pytest.mark.parametrize("block_rows", [3, 4096])
