@@ -88,3 +88,36 @@ def join_hot(rows: DataFrame, dim: DataFrame, key: str, weight: str, hot_rows: i
         rows.join(F.broadcast(hot.select(key, *out)), key)
         .unionByName(cold_rows.join(dim.select(key, *out), key))
     )
+
+
+#: Names that are broadcast at most: two longs each, about 50 MB as a hash table.
+BROADCAST_NAMES = 1 << 19
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, made longer until no frame has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """docs with two columns more, which name a row by its id and text in 128 bits and are never null; and their names."""
+    key, text_h = fresh("own key", docs), fresh("own text_h", docs)
+    return docs.withColumn(text_h, F.xxhash64(text_col)).withColumn(key, F.xxhash64(id_col, text_h)), [key, text_h]
+
+
+def without(rows: DataFrame, gone: DataFrame, names: list[str], weight: str | None = None, most: int = BROADCAST_NAMES) -> DataFrame:
+    """rows less those whose names are in gone, which has one row for each and should be durable.
+
+    Up to `most` names, counted first, are broadcast, so that texts stay where they
+    are. Of more, those of the largest weight are broadcast, as many rows may share
+    one; the rest meet the rows in an exchange.
+    """
+    n = gone.count()
+    if n <= most:
+        return rows.join(F.broadcast(gone.select(*names)), names, "left_anti")
+    hot = durable(gone.orderBy(*([F.desc(weight)] if weight else []), *names).limit(most).select(*names))
+    rest = gone.join(hot, names, "left_anti").select(*names)
+    return rows.join(F.broadcast(hot), names, "left_anti").join(rest.hint("merge"), names, "left_anti")

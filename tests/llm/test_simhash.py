@@ -2,7 +2,9 @@
 
 import random
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarryline.llm.simhash import components, fingerprint, links, near_duplicates, one_of_each
 
@@ -30,7 +32,7 @@ def test_fingerprint_is_the_definition(spark, odd):
     assert h & (1 << 64) - 1 == xxhash.xxh64_intdigest("a b É".encode(), 42)
 
 
-def groups(fps):
+def groups(fps, bits=2):
     root = list(range(len(fps)))
 
     def find(i):
@@ -40,7 +42,7 @@ def groups(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= 2:
+            if bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= bits:
                 root[find(i)] = find(j)
     return [find(i) for i in range(len(fps))]
 
@@ -61,17 +63,18 @@ def cloud(rng, n):
     return sorted(out)
 
 
-def test_links_give_the_components(spark):
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_links_give_the_components(spark, bits):
     rng = random.Random(4)
-    fps = cloud(rng, 500)
+    fps = sorted({*cloud(rng, 400), 8, 17, 24, 25})
     want = {}
-    for x, g in zip(fps, groups(fps)):
+    for x, g in zip(fps, groups(fps, bits)):
         want.setdefault(g, set()).add(x)
     nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for long_list in (2, 48, 10_000):  # lists by their meeting values, mixed, by pairs
+    for long_list in (2, 48, 10_000):  # sections by their meeting values, mixed, by counting
         found = {}
-        edges = links(nodes, long_list=long_list)
-        assert all(bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= 2 for r in edges.collect())
+        edges = links(nodes, bits, long_list)
+        assert all(bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= bits for r in edges.collect())
         for r in components(edges).collect():
             found.setdefault(r.root, set()).add(r.node)
         assert sorted(map(sorted, found.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
@@ -115,10 +118,23 @@ def test_near_duplicates_equal_brute_force(make, odd):
     assert near_duplicates(make([])).count() == 0
 
 
-def test_one_of_each_keeps_one_row_of_each_component(make, odd):
+@pytest.mark.parametrize("most", [3, 1 << 19])  # names in an exchange, and all broadcast
+def test_one_of_each_keeps_one_row_of_each_component(make, odd, most):
     docs = corpus(odd)
-    kept = one_of_each(make(docs, extra=True)).collect()
+    df = make(docs, extra=True)
+    for c in ("own key", "own text_h", "copy no", "stays"):
+        df = df.withColumn(c, F.lit("clash"))
+    kept = one_of_each(df, most=most)
+    assert kept.columns == df.columns
+    kept = kept.collect()
     want = {c for _, _, c in brute(docs)}
     assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == sorted(c for c in want if c is not None)
     assert len(kept) == len(want)
     assert {(r.doc_id, r.text) for r in kept} <= {(i, t) for i, t in docs}
+
+
+def test_a_star_of_many_nodes(spark):
+    """More nodes under one root than are joined by exchange."""
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(9)], "a long, b long")
+    rows = {r.node: r.root for r in components(edges).collect()}
+    assert rows == {**dict.fromkeys(range(300), 0), **dict.fromkeys(range(1000, 1010), 1000)}
