@@ -4,20 +4,21 @@ Every window of `window` words of the benchmark is hashed; the windows of each
 document are hashed likewise and probed in the broadcast set, and a probe that finds
 its hash is verified word by word. DataFrame functions only.
 
-The set grows with the benchmark, so its size is checked: it is split by hash into
-blocks of at most `block_bytes`, each broadcast in its turn against all documents
-(usually there is one).
+The windows of all lengths that the benchmark has are hashed and probed in one pass
+over the documents. The set grows with the benchmark, so its size is checked: if the
+windows take more than `block_bytes`, only their hashes are broadcast, in blocks of
+that size (usually still one), and what they find, a small part of the documents'
+windows, is kept and verified against blocks of the windows themselves.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, let
+from .common import ascii_lower, durable, let, named, without
 
 #: What separates words once A to Z are lower case: ASCII that is neither digit nor letter.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,31 +32,31 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def window_hashes(words: Column, n: int) -> Column:
-    """A hash of each window of n words, by position from 0; empty if there are fewer words.
+def window_hashes(words: Column, *lens: int) -> Column:
+    """For each n of lens in turn, a hash of each window of n words by position; none if there are fewer words.
 
     Hashes of windows of 1, 2, 4, ... words are each made of two of the size before,
-    and n is their sum, so that a window takes a few steps and not n.
+    and n is a sum of such sizes, so that a window takes a few steps and not n.
     """
 
     def joined(a: Column, b: Column, step: int) -> Column:
         return F.transform(a, lambda x, i: F.xxhash64(x, F.get(b, i + step)))
 
+    def of(n: int, made: dict[int, Column]) -> Column:
+        sizes = [k for k in sorted(made, reverse=True) if n & k]
+        out, done = made[sizes[0]], sizes[0]
+        for k in sizes[1:]:
+            out, done = joined(out, made[k], done), done + k
+        return F.when(F.size(words) >= n, F.slice(out, 1, F.size(words) - (n - 1))).otherwise(F.array().cast("array<bigint>"))
+
     def build(made: dict[int, Column]) -> Column:
         top = max(made)
-        if 2 * top <= n:
+        if 2 * top <= max(lens):
             return let(joined(made[top], made[top], top), lambda x: build({**made, 2 * top: x}))
-        out, done = made[top], top
-        for k in sorted(made, reverse=True)[1:]:
-            if n - done >= k:
-                out, done = joined(out, made[k], done), done + k
-        return F.slice(out, 1, F.size(words) - (n - 1))
-
-    return F.when(F.size(words) >= n, let(F.transform(words, lambda x: F.xxhash64(x)), lambda x: build({1: x}))).otherwise(F.array().cast("array<bigint>"))
-
+        each = [of(n, made) for n in lens]
+        return F.concat(*each) if len(each) > 1 else each[0]
 
-def _windows_of(n: int):
-    return lambda words: window_hashes(words, n)
+    return F.when(F.size(words) >= min(lens), let(F.transform(words, lambda x: F.xxhash64(x)), lambda x: build({1: x}))).otherwise(F.array().cast("array<bigint>"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -67,26 +68,56 @@ def benchmark_windows(benchmark: DataFrame, window: int = 10, id_col: str = "ite
     return grams.groupBy("n", "gram").agg(F.collect_set("item_id").alias("item_ids")).select("n", h.alias("h"), "gram", "item_ids")
 
 
+#: Bytes that a hash takes in a broadcast table.
+HASH_BYTES = 32
+
+
 def probed(docs: DataFrame, windows: DataFrame, keys: list[str], text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """(*keys, n_words, pos, n, item_ids): the windows found, pos counting words from
     0, and for each row of docs one row more, which has a null pos."""
-    size = windows.groupBy("n").agg(F.sum(F.length(F.concat_ws(" ", "gram")) + 64 + 16 * F.col("n") + 16 * F.size("item_ids")).alias("bytes")).collect()  # a row for each length
+    size = windows.groupBy("n").agg(F.count("*").alias("rows"), F.sum(F.length(F.concat_ws(" ", "gram")) + 64 + 16 * F.col("n") + 16 * F.size("item_ids")).alias("bytes")).collect()  # a row for each length
+    lens = sorted((r.n for r in size), reverse=True)
     words = docs.select(*keys, words_of(F.col(text_col)).alias("words"))
     n_words = F.size("words").cast("long").alias("n_words")
-    passes = [(r.n, k, ceil(r.bytes / block_bytes)) for r in sorted(size, reverse=True) for k in range(ceil(r.bytes / block_bytes))]
-    if not passes:
+    if not lens:
         kind = windows.schema["item_ids"].dataType.simpleString()
         return words.select(*keys, n_words, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("n"), F.lit(None).cast(kind).alias("item_ids"))
-    found = []
-    for n, k, blocks in passes:
-        block = windows.filter((F.col("n") == n) & (F.pmod("h", F.lit(blocks)) == k)).select("h", "gram", "item_ids")
-        last = F.array(F.lit(None).cast("bigint")) if not found else F.array().cast("array<bigint>")
-        hashed = words.select(*keys, "words", F.concat(let(F.col("words"), _windows_of(n)), last).alias("hs"))
-        probe = hashed.select(*keys, "words", F.posexplode("hs").alias("pos", "h")).join(F.broadcast(block), "h", "left")
-        # A probe that finds nothing stays out; the null hash at the end stands for the row.
-        kept = probe.filter(F.col("h").isNull() | (F.slice("words", F.col("pos") + 1, n) == F.col("gram")))
-        found.append(kept.select(*keys, n_words, F.when(F.col("h").isNotNull(), F.col("pos")).alias("pos"), F.lit(n).alias("n"), "item_ids"))
-    return reduce(DataFrame.union, found)
+    blocks = ceil(sum(r.bytes for r in size) / block_bytes)
+    block = lambda of, k: windows.filter(F.pmod("h", F.lit(of)) == k)
+
+    # A place in the row of all hashes gives the window's length and position.
+    n, pos, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
+    for x in lens:
+        here = F.greatest(F.size("words") - (x - 1), F.lit(0))
+        n = F.coalesce(n, F.when(F.col("at") < before + here, F.lit(x)))
+        pos = F.coalesce(pos, F.when(F.col("at") < before + here, F.col("at") - before))
+        before = before + here
+
+    def places(last: bool) -> DataFrame:
+        """All windows of all rows by hash; with last, a null hash at the end stands for the row."""
+        end = F.array(F.lit(None).cast("bigint")) if last else F.array().cast("array<bigint>")
+        hashed = words.select(*keys, "words", F.concat(let(F.col("words"), lambda w: window_hashes(w, *lens)), end).alias("hs"))
+        return hashed.select(*keys, "words", F.posexplode("hs").alias("at", "h"))
+
+    if blocks == 1:
+        sent = windows.select("h", F.col("n").alias("n of"), "gram", "item_ids")
+        probe = places(True).join(F.broadcast(sent), "h", "left").filter(F.col("h").isNull() | F.col("n of").isNotNull())
+        at = probe.select(*keys, n_words, "words", "h", F.when(F.col("h").isNotNull(), pos).alias("pos"), F.when(F.col("h").isNotNull(), n).alias("n"), "n of", "gram", "item_ids")
+        same = (F.col("n") == F.col("n of")) & (F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("gram"))
+        return at.filter(F.col("h").isNull() | same).select(*keys, "n_words", "pos", "n", "item_ids")
+    passes, found = ceil(sum(r.rows for r in size) * HASH_BYTES / block_bytes), None
+    for k in range(passes):
+        sent = block(passes, k).select("h").distinct().withColumn("known", F.lit(True))
+        probe = places(k == 0).join(F.broadcast(sent), "h", "left").filter(F.col("h").isNull() | F.col("known"))
+        at = probe.select(*keys, n_words, "h", F.when(F.col("h").isNotNull(), pos).alias("pos"), F.when(F.col("h").isNotNull(), n).alias("n"), "words")
+        at = at.withColumn("words", F.when(F.col("pos").isNotNull(), F.slice("words", F.coalesce("pos", F.lit(0)) + 1, F.coalesce("n", F.lit(0)))))
+        found = at if found is None else found.union(at)
+    found = durable(found)
+    out = found.filter(F.col("pos").isNull()).select(*keys, "n_words", "pos", "n", F.lit(None).cast(windows.schema["item_ids"].dataType).alias("item_ids"))
+    for k in range(blocks):
+        sent = block(blocks, k).select("h", "n", F.col("gram").alias("words"), "item_ids")
+        out = out.union(found.join(F.broadcast(sent), ["h", "n", "words"]).select(*keys, "n_words", "pos", "n", "item_ids"))
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
@@ -115,12 +146,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     )
 
 
-def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs in which no benchmark window occurs, as they are. Null texts have none and stay."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_h"))
-    found = probed(rows, durable(benchmark_windows(benchmark, window)), ["id", "text_h"]).filter(F.col("pos").isNotNull())
-    hit = found.select(F.col("id").alias("hit id"), F.col("text_h").alias("hit text_h")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("hit id")) & (F.xxhash64(text_col) == F.col("hit text_h")), "left_anti")
+    rows, names = named(docs, id_col, text_col)
+    asked = rows.select(*[F.col(c).alias(f"name{i}") for i, c in enumerate(names)], F.col(text_col).alias("text"))
+    found = probed(asked, durable(benchmark_windows(benchmark, window)), ["name0", "name1"], block_bytes=block_bytes).filter(F.col("pos").isNotNull())
+    hit = durable(found.groupBy(F.col("name0").alias(names[0]), F.col("name1").alias(names[1])).agg(F.count("*").alias("times")))
+    return without(rows, hit, names, "times").select(*docs.columns)
 
 
 def without_spans(text: Column, spans: Column) -> Column:

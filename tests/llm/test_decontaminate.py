@@ -44,7 +44,7 @@ def case(odd):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(30)] + ["É", "Ümlaut", "THE", "the"]
     text = lambda n: " ".join(rng.choice(vocab) + rng.choice(("", ",", ".\n", " -")) for _ in range(n))
-    items = [(i, text(rng.randint(10, 30))) for i in range(12)] + [(12, "w1 w2 w3"), (13, "  --  "), (14, None), (15, "W1, w2: w3"), (2, "w4 the W5")]
+    items = [(i, text(rng.randint(10, 30))) for i in range(12)] + [(12, "w1 w2 w3"), (13, "  --  "), (14, None), (15, "W1, w2: w3"), (2, "w4 the W5"), (16, "É Ümlaut"), (17, "nowhere"), (18, "w7 w8 w9 w1 w2 w3 w4")]
     docs = list(odd)
     for i in range(100, 160):
         t = text(rng.randint(0, 60))
@@ -57,7 +57,7 @@ def case(odd):
 def test_equals_brute_force(spark, make, odd):
     docs, items = case(odd)
     bench = spark.createDataFrame([(*r, "x", "y") for r in items], "item_id long, text string, words string, n string")
-    for block in (32 << 20, 2_000):  # one broadcast block and several
+    for block in (32 << 20, 12_000, 2_000):  # all windows broadcast; their hashes in one block; in several
         rows = contamination(make(docs, extra=True), bench, block_bytes=block).collect()
         got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, [s.first for s in r.spans]) for r in rows), key=repr)
         assert got == brute(docs, items)
@@ -74,9 +74,14 @@ def test_no_benchmark_and_no_documents(spark, make, odd):
 def test_documents_go_and_clean_ones_stay(spark, make, odd):
     docs, items = case(odd)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    kept = sorted((r.doc_id, r.text) for r in without_documents(make(docs), bench).collect() if r.doc_id is not None)
+    df = make(docs)
+    for c in ("own key", "own text_h", "hit id", "name0", "times"):
+        df = df.withColumn(c, F.lit("clash"))
     clean = {i: not c for i, _, _, _, _, c, _ in brute(docs, items)}
-    assert kept == sorted((i, t) for i, t in docs if i is not None and clean[i])
+    for block in (32 << 20, 2_000):
+        out = without_documents(df, bench, block_bytes=block)
+        assert out.columns == df.columns
+        assert sorted((r.doc_id, r.text) for r in out.collect() if r.doc_id is not None) == sorted((i, t) for i, t in docs if i is not None and clean[i])
 
 
 def test_spans_can_be_cut_out(spark):
@@ -91,6 +96,8 @@ def test_window_hashes_tell_windows_apart(spark):
         h = spark.createDataFrame([(w,)], "w array<string>").select(window_hashes(F.col("w"), n)).first()[0]
         grams = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
         assert len(h) == len(grams) and len(set(zip(h, grams))) == len(set(h)) == len(set(grams))
+    both = spark.createDataFrame([(w[:9],)], "w array<string>").select(*[window_hashes(F.col("w"), *n) for n in ((10, 7, 3), (7,), (3,))]).first()
+    assert both[0] == both[1] + both[2]
 
 
 def test_equals_sql(spark):
