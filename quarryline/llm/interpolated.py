@@ -5,19 +5,23 @@ depend on the bucket of c(u), the context's frequency by powers of two. They are
 learned by expectation-maximisation on held-out counts: each training token is taken
 out of the counts in its turn, and what is left must predict it.
 
-Texts are packed once to batches of some megabytes, in the shared folder, so that what
-is a batch does not change when executors come and go. A batch asks for each of its distinct
-words and bigrams once: sorted hashes, as differences, with the number of times
-that the batch's training texts have them. One exchange deals these lists by hash to
-parts; a part adds the counts up, which makes the corpus's table, and answers every
-list in its order. A second exchange brings the answers and the batch's texts together.
-So no table of counts is broadcast or collected, a frequent word is one entry of a
-batch as any other is, and the lists are a few bytes for each entry.
+Texts are packed once to batches of some megabytes, in a table in the shared folder,
+so that what is a batch does not change when executors come and go. Some batches of
+one task make a run. A run asks for the distinct words and bigrams of each of its
+batches: sorted hashes, as differences, with the number of times that the batch's
+training texts have them. One exchange deals these lists by hash to parts, a list for
+each run and part, so that what a list costs besides its entries is shared by the run's
+batches; a part adds the counts up, which makes the corpus's table, and answers every
+list in its order. The answers go back to the runs, whose texts stay where they are:
+the table is bucketed by run. So no table of counts is broadcast or collected, a
+frequent word is one entry of a batch as any other is, and the lists are a few bytes
+for each entry.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from math import ceil, log2
 
 import numpy as np
@@ -29,15 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, shared_folder, slices
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES, RUN_BATCHES = 12 << 20, 8
 WORD, PAIR, SUMS = 0, 1, -1
 #: What stands for the end of a text and the start of one; no word has a space in it.
 END, START = np.uint64(xxhash.xxh64_intdigest(b"\n")), np.uint64(xxhash.xxh64_intdigest(b" "))
-#: Of a bigram's hash: a byte less in each list, and still one lookup of 7,000 at most
-#: that meets another bigram among ten thousand billion. Words keep 64 bits.
-PAIR_BITS = 56
 BUCKETS = 48
 
 
@@ -60,23 +61,42 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences of as few bytes as the largest needs."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, (int(steps[1:].max()).bit_length() + 7) // 8) if len(steps) > 1 else 1
-    first = int(keys[0]) if len(keys) else 0
-    return struct.pack("<QBq", first, width, len(keys)) + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _narrow(numbers: np.ndarray) -> tuple[int, bytes]:
+    """Numbers in as few bytes each as the largest needs."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return width, np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    first, width, n = struct.unpack("<QBq", data[:17])
+def _wide(data: bytes, offset: int, n: int, width: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    if n > 1:
-        out[1:, :width] = np.frombuffer(data, np.uint8, offset=17).reshape(-1, width)
-    steps = out.view("<u8").ravel()
-    if n:
-        steps[0] = first
-    return np.cumsum(steps, dtype=np.uint64)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, offset).reshape(n, width)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _before(values: np.ndarray, sizes: np.ndarray, first) -> np.ndarray:
+    """For each value the one before it; for the first of each segment, `first`."""
+    out = np.roll(values, 1)
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = first
+    return out
+
+
+def pack_keys(segments: list[np.ndarray], base: int) -> bytes:
+    """Segments of sorted hashes, none below base, as differences."""
+    sizes = np.array([len(x) for x in segments], np.int64)
+    keys = np.concatenate(segments)
+    width, steps = _narrow(keys - _before(keys, sizes, np.uint64(base)))
+    wide, lengths = _narrow(sizes)
+    return struct.pack("<QBBH", base, width, wide, len(sizes)) + lengths + steps
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    """The hashes of all segments, one after the other."""
+    base, width, wide, segments = struct.unpack("<QBBH", data[:12])
+    sizes = _wide(data, 12, segments, wide).astype(np.int64)
+    steps = _wide(data, 12 + segments * wide, int(sizes.sum()), width)
+    sums = np.cumsum(steps, dtype=np.uint64)
+    past = np.append(np.uint64(0), sums)[np.cumsum(sizes) - sizes]  # before each segment
+    return sums - np.repeat(past, sizes) + np.uint64(base)
 
 
 class Batch:
@@ -107,7 +127,7 @@ class Batch:
         self.context[self.starts] = self.end
         x = (before ^ (before >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + self.words[self.word]
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.pairs, self.pair = np.unique((x ^ (x >> np.uint64(32))) >> np.uint64(64 - PAIR_BITS), return_inverse=True)
+        self.pairs, self.pair = np.unique(x ^ (x >> np.uint64(32)), return_inverse=True)
 
     def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Times that the training texts have each word, and each bigram."""
@@ -118,24 +138,40 @@ class Batch:
         return np.add.reduceat(values, self.starts) if len(values) else np.zeros(0)
 
 
-def _packs(batches):
-    """The rows of about BATCH_BYTES of text each, compressed and numbered."""
-    number, rows, size = TaskContext.get().partitionId() << 24, [], 0
+def _packs(batch_bytes: int, run_batches: int):
+    """The rows of about batch_bytes of text each, compressed, and run_batches of these a run."""
 
-    def pack():
-        table, sink = pa.Table.from_batches(rows), pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
-            w.write_table(table)
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()])], names=["batch", "data"])
-
-    for b in slices(batches, 1):
-        rows.append(b)
-        size += b.column(1).nbytes
-        if size >= BATCH_BYTES:
+    def run(batches):
+        first, made, rows, size = TaskContext.get().partitionId() << 24, 0, [], 0
+
+        def pack():
+            table, sink = pa.Table.from_batches(rows), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
+                w.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([first + made // run_batches]), pa.array([made % run_batches], pa.int32()), pa.array([size]), pa.array([sink.getvalue().to_pybytes()])], names=["run", "nth", "bytes", "data"])
+
+        for b in slices(batches, 1, min(batch_bytes, 1 << 20)):
+            rows.append(b)
+            size += b.column(1).nbytes
+            if size >= batch_bytes:
+                yield pack()
+                made, rows, size = made + 1, [], 0
+        if rows:
             yield pack()
-            number, rows, size = number + 1, [], 0
-    if rows:
-        yield pack()
+
+    return run
+
+
+def packed(rows: DataFrame, batch_bytes: int = BATCH_BYTES, run_batches: int = RUN_BATCHES) -> DataFrame:
+    """(run, nth, bytes, data): the batches, in a table of the shared folder that is bucketed by run."""
+    spark, name = rows.sparkSession, f"packs_{uuid.uuid4().hex}"
+    buckets = min(50_000, max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    out = rows.mapInArrow(_packs(batch_bytes, run_batches), "run long, nth int, bytes long, data binary").write.format("parquet").option("compression", "none").option("parquet.enable.dictionary", "false")
+    out.bucketBy(buckets, "run").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolved: the files stay when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def _opened(data: bytes) -> pa.Table:
@@ -146,22 +182,32 @@ def _texts(table: pa.Table) -> pa.Array:
     return table.column("text").chunk(0) if table.num_rows else pa.array([], pa.string())
 
 
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part begins among sorted keys, and their end."""
+    if parts == 1:
+        return np.array([0, len(keys)])
+    shift = np.uint64(64 - int(log2(parts)))
+    return np.append(np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << shift), len(keys))
+
+
 def _lists(parts: int):
-    """For each batch and part, its keys and counts."""
-    shifts = {kind: np.uint64(bits - int(log2(parts))) for kind, bits in ((WORD, 64), (PAIR, PAIR_BITS))}
+    """For each run and part, the keys of its batches and their counts."""
 
-    def run(batches):
-        for number, data in ((n, x) for b in batches for n, x in zip(b.column(0).to_pylist(), b.column(1), strict=True)):
-            table = _opened(data.as_py())
+    def run(packs: pd.DataFrame) -> pd.DataFrame:
+        found = {WORD: [], PAIR: []}
+        for data in packs.sort_values("nth")["data"]:
+            table = _opened(data)
             batch = Batch(_texts(table))
             train = ~table.column("held").to_numpy()
-            out = []
             for kind, keys, counts in zip((WORD, PAIR), (batch.words, batch.pairs), batch.counted(train), strict=True):
-                part = (keys >> shifts[kind]).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
-                cuts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(keys)]])
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    out.append((number, kind, int(part[a]), pack_keys(keys[a:b]), pack_counts(counts[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "kind", "part", "keys", "counts"])
+                found[kind].append((keys, counts.astype(np.uint32), _cuts(keys, parts)))
+        rows = []
+        for kind, own in found.items():
+            sizes = sum(np.diff(cuts) for _, _, cuts in own)
+            for p in np.nonzero(sizes)[0].tolist():
+                keys = pack_keys([k[cuts[p] : cuts[p + 1]] for k, _, cuts in own], (p << 64) // parts)
+                rows.append((int(packs["run"].iloc[0]), kind, p, keys, pack_counts(np.concatenate([c[cuts[p] : cuts[p + 1]] for _, c, cuts in own]))))
+        return pd.DataFrame(rows, columns=["run", "kind", "part", "keys", "counts"])
 
     return run
 
@@ -175,17 +221,30 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     np.add.at(total, place, counts)
     each = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
     kind, part = int(pdf["kind"].iloc[0]), int(pdf["part"].iloc[0])
-    rows = [(b, kind, part, pack_counts(x), 0, 0) for b, x in zip(pdf["batch"], each, strict=True)]
-    return pd.DataFrame([*rows, (SUMS, kind, part, b"", int((total > 0).sum()), int(total.sum()))], columns=["batch", "kind", "part", "data", "distinct", "tokens"])
+    rows = [(r, kind, part, pack_counts(x), 0, 0) for r, x in zip(pdf["run"], each, strict=True)]
+    return pd.DataFrame([*rows, (SUMS, kind, part, b"", int((total > 0).sum()), int(total.sum()))], columns=["run", "kind", "part", "data", "distinct", "tokens"])
+
+
+def _met(packs: pd.DataFrame, answers: pd.DataFrame, parts: int):
+    """For each batch of a run its table, tokens and the counts of its words and bigrams."""
+    flat, at = {}, {}
+    for kind in (WORD, PAIR):
+        own = answers[answers["kind"] == kind].sort_values("part")
+        counts = [unpack_counts(x) for x in own["data"]]
+        flat[kind], at[kind] = np.concatenate(counts), np.zeros(parts, np.int64)
+        sizes = np.array([len(x) for x in counts])
+        at[kind][own["part"].to_numpy()] = np.cumsum(sizes) - sizes
 
+    def take(kind: int, keys: np.ndarray) -> np.ndarray:
+        n = np.diff(_cuts(keys, parts))
+        index = np.arange(len(keys)) + np.repeat(at[kind] - (np.cumsum(n) - n), n)
+        at[kind] += n  # the next batch's keys of a part follow
+        return flat[kind][index]
 
-def _met(pack: pd.DataFrame, answers: pd.DataFrame):
-    """A batch's table, tokens and counts of its words and bigrams."""
-    answers = answers.sort_values(["kind", "part"])
-    table = _opened(pack["data"].iloc[0])
-    batch = Batch(_texts(table))
-    words, pairs = (np.concatenate([unpack_counts(x) for x in answers.loc[answers["kind"] == k, "data"]]) for k in (WORD, PAIR))
-    return table, batch, words, pairs
+    for data in packs.sort_values("nth")["data"]:
+        table = _opened(data)
+        batch = Batch(_texts(table))
+        yield table, batch, take(WORD, batch.words), take(PAIR, batch.pairs)
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -197,17 +256,19 @@ def _level(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(np.ceil(-4 * np.log2(np.where(p > 0, p, 1.0))) + 1, 1, 255), 0).astype(np.int64)
 
 
-def _held_out(tokens: int):
-    """Counts of a batch's training tokens by bucket and by levels of both estimates, each with its own token taken out."""
+def _held_out(tokens: int, parts: int):
+    """Counts of a run's training tokens by bucket and by levels of both estimates, each with its own token taken out."""
 
-    def run(pack: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        table, batch, words, pairs = _met(pack, answers)
-        own = np.repeat(~table.column("held").to_numpy(), batch.lengths)
-        u, w, uw = words[batch.context[own]] - 1, words[batch.word[own]] - 1, pairs[batch.pair[own]] - 1
-        p2, p1 = np.where(u > 0, uw / np.maximum(u, 1), 0.0), w / max(1, tokens - 1)
-        cell = (bucket(u) * 256 + _level(p2)) * 256 + _level(p1)
-        known, at = np.unique(cell, return_inverse=True)
-        return pd.DataFrame({"cell": known, "n": np.bincount(at, minlength=len(known)), "p2": np.bincount(at, p2, len(known)), "p1": np.bincount(at, p1, len(known))})
+    def run(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for table, batch, words, pairs in _met(packs, answers, parts):
+            own = np.repeat(~table.column("held").to_numpy(), batch.lengths)
+            u, w, uw = words[batch.context[own]] - 1, words[batch.word[own]] - 1, pairs[batch.pair[own]] - 1
+            p2, p1 = np.where(u > 0, uw / np.maximum(u, 1), 0.0), w / max(1, tokens - 1)
+            cell = (bucket(u) * 256 + _level(p2)) * 256 + _level(p1)
+            known, at = np.unique(cell, return_inverse=True)
+            out.append(pd.DataFrame({"cell": known, "n": np.bincount(at, minlength=len(known)), "p2": np.bincount(at, p2, len(known)), "p1": np.bincount(at, p1, len(known))}))
+        return pd.concat(out)
 
     return run
 
@@ -239,48 +300,49 @@ def learn_weights(cells: list[tuple[int, int, float, float]], types: int, rounds
     return out / out.sum(1, keepdims=True)
 
 
-def _scores(weights: np.ndarray, tokens: int, types: int):
-    def run(pack: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        table, batch, words, pairs = _met(pack, answers)
-        u, w, uw = words[batch.context], words[batch.word], pairs[batch.pair]
-        mix = weights[bucket(u)]
-        p = mix[:, 0] * (uw / np.maximum(u, 1)) + mix[:, 1] * (w / max(1, tokens)) + mix[:, 2] / (types + 1)
-        base = np.log10((words + 0.5) / (tokens + 0.5 * (types + 1)))
-        return pd.DataFrame({
-            "id": table.column("id").to_pandas(types_mapper=pd.ArrowDtype), "held_out": table.column("held").to_numpy(), "n_tokens": batch.lengths,
-            "n_known": batch.total((w > 0).astype(np.int64)), "train_tokens": tokens, "base_score": batch.total(base[batch.word]), "score": batch.total(np.log10(p)),
-        })
+def _scores(weights: np.ndarray, tokens: int, types: int, parts: int):
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for table, batch, words, pairs in _met(packs.to_pandas(), answers.to_pandas(), parts):
+            u, w, uw = words[batch.context], words[batch.word], pairs[batch.pair]
+            mix = weights[bucket(u)]
+            p = mix[:, 0] * (uw / np.maximum(u, 1)) + mix[:, 1] * (w / max(1, tokens)) + mix[:, 2] / (types + 1)
+            base = np.log10((words + 0.5) / (tokens + 0.5 * (types + 1)))
+            out.append(pa.table({
+                "id": table.column("id"), "held_out": table.column("held"), "n_tokens": batch.lengths, "n_known": batch.total((w > 0).astype(np.int64)),
+                "train_tokens": np.full(table.num_rows, tokens), "base_score": batch.total(base[batch.word]), "score": batch.total(np.log10(p)),
+            }))
+        return pa.concat_tables(out)
 
     return run
 
 
-def parts_for(docs: DataFrame, part_bytes: int = 8 << 20, most: int = 1 << 22) -> int:
-    """A power of two that grows with the size of the files read: a part's lists take
-    about part_bytes, and a few times that in the memory of the worker that adds them up."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 1 << max(0, min(ceil(log2(most)), ceil(log2(max(1.0, size / part_bytes)))))
+def parts_for(text_bytes: int, part_bytes: int = 32 << 20) -> int:
+    """A power of two that grows with the corpus: the lists of part_bytes of text go to
+    a part, and take a few times that in the memory of the worker that adds them up."""
+    return 1 << max(0, ceil(log2(max(1.0, text_bytes / part_bytes))))
 
 
-def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, batch_bytes: int = BATCH_BYTES, run_batches: int = RUN_BATCHES) -> DataFrame:
     """A row for each row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows where `held` is true teach nothing. A null or blank text is one token, its
     end. Repeated rows each count and each come back. If all rows are held out, N and V
-    are zero and every token has the probability 1. Other columns are ignored.
+    are zero and every token has the probability 1. Other columns are ignored. parts
+    must be a power of two.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    parts = parts or parts_for(docs)
-    packs = durable(rows.mapInArrow(_packs, "batch long, data binary"))
-    lists = packs.mapInArrow(_lists(parts), "batch long, kind int, part int, keys binary, counts binary")
-    answers = durable(lists.groupBy("kind", "part").applyInPandas(_answers, "batch long, kind int, part int, data binary, distinct long, tokens long"))
-    sums = answers.filter((F.col("batch") == SUMS) & (F.col("kind") == WORD)).agg(F.sum("distinct"), F.sum("tokens")).first()
+    packs = packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held")), batch_bytes, run_batches)
+    parts = parts or parts_for(packs.agg(F.sum("bytes")).first()[0] or 0)
+    lists = packs.groupBy("run").applyInPandas(_lists(parts), "run long, kind int, part int, keys binary, counts binary")
+    answers = durable(lists.groupBy("kind", "part").applyInPandas(_answers, "run long, kind int, part int, data binary, distinct long, tokens long"))
+    sums = answers.filter((F.col("run") == SUMS) & (F.col("kind") == WORD)).agg(F.sum("distinct"), F.sum("tokens")).first()
     types, tokens = int(sums[0] or 0), int(sums[1] or 0)
 
     def met():
-        return packs.groupBy("batch").cogroup(answers.filter(F.col("batch") != SUMS).select(F.col("batch").alias("of"), "kind", "part", "data").groupBy("of"))
+        return packs.groupBy("run").cogroup(answers.filter(F.col("run") != SUMS).select(F.col("run").alias("of"), "kind", "part", "data").groupBy("of"))
 
-    cells = met().applyInPandas(_held_out(tokens), "cell long, n long, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
+    cells = met().applyInPandas(_held_out(tokens, parts), "cell long, n long, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
     weights = learn_weights([(r.cell, r.n, r.p2, r.p1) for r in cells.orderBy("cell").collect()], types)  # BUCKETS x 256 x 256 cells at most
-    out = met().applyInPandas(_scores(weights, tokens, types), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = met().applyInArrow(_scores(weights, tokens, types, parts), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

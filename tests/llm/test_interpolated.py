@@ -75,10 +75,9 @@ def corpus(n=150):
 
 
 @pytest.mark.parametrize(("parts", "batch"), [(1, 12 << 20), (8, 900)])
-def test_equals_brute_force(make, odd, monkeypatch, parts, batch):
-    monkeypatch.setattr(M, "BATCH_BYTES", batch)
+def test_equals_brute_force(make, odd, parts, batch):
     docs = corpus() + [(None if i is None else i + 1000, t) for i, t in odd]
-    rows = M.score(make(docs, extra=True).repartition(3), held_out("doc_id", 5, 1), parts=parts).collect()
+    rows = M.score(make(docs, extra=True).repartition(3), held_out("doc_id", 5, 1), parts=parts, batch_bytes=batch, run_batches=3).collect()
     key = lambda r: (r[0], r[1], r[2], r[3], round(r[4], 6))
     got = sorted(((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows), key=key)
     for g, w in zip(got, sorted(brute(docs), key=key), strict=True):
@@ -100,13 +99,36 @@ def test_probabilities_sum_to_one():
 
 def test_packing():
     rng = np.random.default_rng(1)
+    for base in (0, 5 << 60):
+        for sizes in ([0], [1], [0, 3, 0], [2, 1000, 0, 7]):
+            segments = [np.unique(rng.integers(base, base + (1 << 60), n, dtype=np.uint64)) for n in sizes]
+            data = M.pack_keys(segments, base)
+            assert (M.unpack_keys(data) == np.concatenate(segments)).all()
+            assert len(data) <= 12 + 8 * sum(sizes) + 2 * len(sizes)
     for n in (0, 1, 2, 1000):
-        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        assert (M.unpack_keys(M.pack_keys(keys)) == keys).all()
         counts = rng.integers(0, 1 << 40, n)
         assert (M.unpack_counts(M.pack_counts(counts)) == counts).all()
 
 
+def test_parts_follow_the_text(spark, make):
+    assert [M.parts_for(n) for n in (0, 1, 32 << 20, (32 << 20) + 1, 10**14)] == [1, 1, 1, 2, 1 << 22]
+    packs = M.packed(make([(1, "a b"), (2, None)]).selectExpr("doc_id AS id", "text", "false AS held"))
+    assert packs.agg({"bytes": "sum"}).first()[0] < 200  # measured, as a table in memory has no size
+
+
+def test_runs_and_batches(make):
+    docs = make([(i, f"word{i} " * 40) for i in range(50)]).coalesce(1).selectExpr("doc_id AS id", "text", "false AS held")
+    rows = M.packed(docs, 900, 3).orderBy("run", "nth").collect()
+    assert len(rows) > 6 and [(r.run, r.nth) for r in rows] == [(k // 3, k % 3) for k in range(len(rows))]
+
+
+def test_texts_are_not_exchanged(spark):
+    from quarryline.llm.queries import op3_interpolated
+
+    plan = op3_interpolated(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # the answers
+
+
 def test_nothing_to_learn_from(make):
     i = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
     r = M.score(make([(i, "a b")]), held_out("doc_id", 5, 1), parts=2).first()
