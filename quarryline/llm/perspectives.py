@@ -6,7 +6,12 @@ the mark that ends them. DataFrame functions only.
 
 A conversation is cut into blocks of turns by turn number and these into parts of
 part_turns turns, each rendered into one row, so that a conversation of any length is
-spread over tasks and no row outgrows memory. Usual conversations are one part.
+spread over tasks and no row outgrows memory. Usual conversations are one part;
+`whole` puts the parts of the others together.
+
+No text and no name can close its turn or open another: between `<`, any number of
+backslashes and `|`, one backslash more is put, which is undone by taking it away. In
+names, backslashes and line ends are escaped besides.
 """
 
 from __future__ import annotations
@@ -17,6 +22,22 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+
+
+def escaped_name(name: Column) -> Column:
+    """On one line; \\\\, \\n, \\r and \\| stand for a backslash, a line end, a return and a bar after `<`."""
+    out = F.replace(name, F.lit("\\"), F.lit("\\\\"))
+    for mark, letter in (("\n", "n"), ("\r", "r")):
+        out = F.replace(out, F.lit(mark), F.lit("\\" + letter))
+    return F.replace(out, F.lit("<|"), F.lit("<\\|"))
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", fixed_roles: tuple[str, ...] = ("system",), block_turns: int = 1024, part_turns: int = 256) -> DataFrame:
     """(conv_col, perspective, block, part, n_turns, rendered, trained, n_chars): for each
     conversation and participant, the parts of the dialogue in order of block and part.
@@ -27,12 +48,12 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     row with a null perspective and nothing to learn. A null role is the speaker
     "unknown", a null text is empty, a null conversation is one like any other, null
     turns come last, in a block of their own. Turns of equal number are ordered by
-    role and text. `<|` in a text becomes `< |`, so that no text can close its turn.
-    Other columns are ignored.
+    role and text; they are ranked in one task, which sorts on disk if it must. Texts and
+    names are escaped (see above). Other columns are ignored.
     """
     said = turns.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("who"),
-        F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
+        escaped(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
         F.floor(F.col(turn_col) / block_turns).cast("long").alias("block"),
     )
     rank = F.row_number().over(Window.partitionBy("conv", "block").orderBy(F.asc_nulls_last("turn"), "who", "text"))
@@ -51,7 +72,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     def head(x: Column) -> Column:
         as_fixed = x["who"].isin(*fixed_roles) if fixed_roles else F.lit(False)
-        return F.concat(F.lit(OPEN), F.when(mine(x), F.lit("assistant")).when(as_fixed, x["who"]).otherwise(F.concat(F.lit("user name="), x["who"])), F.lit("\n"))
+        return F.concat(F.lit(OPEN), F.when(mine(x), F.lit("assistant")).when(as_fixed, x["who"]).otherwise(F.concat(F.lit("user name="), escaped_name(x["who"]))), F.lit("\n"))
 
     pieces = F.transform("turns", lambda x: F.struct(mine(x).alias("mine"), head(x).alias("head"), F.concat(x["text"], F.lit(CLOSE)).alias("body")))
     cut = views.select("conv", "block", "part", "me", pieces.alias("p"))
@@ -63,3 +84,20 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"])), "").alias("rendered"), F.array_join(spans, ",").alias("trained"),
         F.element_at("ends", -1).alias("n_chars"),
     )
+
+
+def whole(parts: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """(conv_col, perspective, n_turns, rendered, trained, n_chars): the parts that rotate
+    made put together, a row for each conversation and participant. A rendering must fit
+    a row, so longer dialogues than some hundred megabytes are for their parts only."""
+    order = F.struct(F.col("block").isNull().alias("last"), "block", "part", "n_turns", "rendered", "trained", "n_chars")
+    rows = parts.groupBy(conv_col, "perspective").agg(F.sort_array(F.collect_list(order)).alias("p"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
+
+    def shifted(acc: Column, x: Column) -> Column:
+        moved = F.transform(F.filter(F.split(x["trained"], ","), lambda s: s != ""), lambda s: F.array_join(F.transform(F.split(s, ":"), lambda n: (n.cast("long") + acc["at"]).cast("string")), ":"))
+        return F.struct((acc["at"] + x["n_chars"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+
+    spans = F.aggregate("p", start, shifted, lambda acc: F.array_join(acc["spans"], ","))
+    total = lambda name: F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x[name]).alias(name)
+    return rows.select(conv_col, "perspective", total("n_turns"), F.array_join(F.transform("p", lambda x: x["rendered"]), "").alias("rendered"), spans.alias("trained"), total("n_chars"))

@@ -25,7 +25,7 @@ FROM doc d LEFT JOIN words_hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 
 PERSPECTIVES = r"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, replace(coalesce(text, ''), '<|', '< |') AS text, CAST(floor(turn / 1024) AS BIGINT) AS block
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text, CAST(floor(turn / 1024) AS BIGINT) AS block
   FROM conversations),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS LAST, who, text) AS k FROM said),
 cut AS (SELECT *, CAST((k - 1) // 256 AS INTEGER) AS part FROM ranked),
@@ -33,7 +33,7 @@ who AS (SELECT conv_id, who AS me FROM said WHERE who <> 'system' GROUP BY ALL),
 seen AS (SELECT cut.*, me FROM cut LEFT JOIN who ON cut.conv_id IS NOT DISTINCT FROM who.conv_id),
 piece AS (
   SELECT *, coalesce(who = me, false) AS mine,
-         '<|im_start|>' || CASE WHEN who = me THEN 'assistant' WHEN who = 'system' THEN who ELSE 'user name=' || who END || chr(10) AS head,
+         '<|im_start|>' || CASE WHEN who = me THEN 'assistant' WHEN who = 'system' THEN who ELSE 'user name=' || replace(replace(replace(replace(who, '\', '\\'), chr(10), '\n'), chr(13), '\r'), '<|', '<\|') END || chr(10) AS head,
          text || '<|im_end|>' || chr(10) AS body
   FROM seen),
 placed AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, me, block, part ORDER BY k) AS past FROM piece)
