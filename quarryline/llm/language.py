@@ -1,12 +1,15 @@
 """Language identification by hierarchical discrimination.
 
-A language family is predicted first; then one-versus-one linear support vector
+A language family is predicted first, by one linear machine for each family, fitted by
+least squares to all families at once; then one-versus-one linear support vector
 machines separate the languages within it. Every machine sees hashed letter n-grams of
 the whole text, as shares of all of the text's n-grams.
 
 The machines are trained on a bounded sample of labelled texts: of each language the
-per_language rows of least hash, max_examples in all, of the max_languages most
-frequent languages. Prediction reads the text only.
+per_language rows of least hash, max_examples in all but one of each language at
+least. All languages are learned. Machines grow with the number of languages, 64 KB
+for each family and each pair within one, so more than max_languages are an error.
+Prediction reads the text only.
 """
 
 from __future__ import annotations
@@ -98,11 +101,11 @@ class Grams:
             out[i] *= SCALE / out[i].sum()
         return out
 
-    def margins(self, texts: list[str], weights: np.ndarray) -> np.ndarray:
-        """weights (machines x hashes) applied to the shares of each text, without making the vectors."""
-        hashes, starts, length = self.of(texts)
+    def margins(self, hashed, weights: np.ndarray) -> np.ndarray:
+        """weights (machines x hashes) applied to the shares of each text that `of` hashed, without making the vectors."""
+        hashes, starts, length = hashed
         bounds = np.column_stack([starts, starts + length]).ravel()
-        out = np.zeros((len(weights), len(texts)))
+        out = np.zeros((len(weights), len(starts)))
         for h in hashes:
             for k, w in enumerate(weights):
                 out[k] += np.add.reduceat(w[h], bounds)[::2]
@@ -126,24 +129,36 @@ def fit(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 10.0, rounds:
     return w, b
 
 
+def fit_families(x: np.ndarray, of: np.ndarray, names: list[str], ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
+    """A linear machine for each name, one against the rest, by least squares in the space of examples; weights and offsets."""
+    gram = (x @ x.T).astype(np.float64) + 1.0
+    gram[np.diag_indices_from(gram)] += ridge * np.trace(gram) / len(gram)
+    a = np.linalg.solve(gram, np.where(of[:, None] == np.array(names, object)[None, :], 1.0, -1.0))
+    return (x.T @ a.astype(np.float32)).T.copy(), a.sum(0)
+
+
 class Identifier:
     def __init__(self, examples: list[tuple[str, str]]):
         """examples: texts and their languages."""
         self.grams = Grams()
         self.langs = sorted({lang for _, lang in examples})
         self.families = sorted({family_of(x) for x in self.langs})
-        self.machines: list[Machine] = []
+        self.within = {f: [v for v in self.langs if family_of(v) == f] for f in self.families}
+        self.first = (np.zeros((0, 1 << self.grams.bits), np.float32), np.zeros(0))
+        self.machines: dict[str, list[Machine]] = {f: [] for f in self.families}
         if examples:
             x = self.grams.shares([t for t, _ in examples])
             lang = np.array([v for _, v in examples], object)
-            group = np.array([family_of(v) for _, v in examples], object)
-            pairs = [(group, a, b) for a, b in combinations(self.families, 2)]
-            for f in self.families:
-                pairs += [(lang, a, b) for a, b in combinations([v for v in self.langs if family_of(v) == f], 2)]
-            for of, a, b in pairs:
-                rows = np.nonzero((of == a) | (of == b))[0]
-                self.machines.append(Machine(a, b, *fit(x, rows, np.where(of[rows] == a, 1.0, -1.0))))
-        self.weights = np.array([m.w for m in self.machines], np.float32).reshape(len(self.machines), 1 << self.grams.bits)
+            if len(self.families) > 1:
+                self.first = fit_families(x, np.array([family_of(v) for _, v in examples], object), self.families)
+            for f, own in self.within.items():
+                for a, b in combinations(own, 2):
+                    rows = np.nonzero((lang == a) | (lang == b))[0]
+                    self.machines[f].append(Machine(a, b, *fit(x, rows, np.where(lang[rows] == a, 1.0, -1.0))))
+
+    @property
+    def n_bytes(self) -> int:
+        return self.first[0].nbytes + sum(m.w.nbytes for own in self.machines.values() for m in own)
 
     def _vote(self, names: list[str], margin: dict) -> tuple[str, float]:
         """Most votes, then largest sum of margins, then name; and how sure the closest duel was, 0.5 to 1."""
@@ -156,7 +171,17 @@ class Identifier:
             total[a], total[b] = total[a] + m, total[b] - m
             least[a], least[b] = min(least[a], m), min(least[b], -m)
         best = min(names, key=lambda v: (-votes[v], -total[v], v))
-        return best, float(1 / (1 + np.exp(-2 * max(0.0, min(least[best], 30.0)))))
+        return best, _sure(least[best])
+
+    def _families(self, hashed) -> list[tuple[str, float]]:
+        """For each text the family of the largest margin, the first of equals, and how sure the distance to the next is."""
+        n = len(hashed[1])
+        if len(self.families) == 1:
+            return [(self.families[0], 1.0)] * n
+        m = self.grams.margins(hashed, self.first[0]) + self.first[1][:, None]
+        best = m.argmax(0)
+        top = np.sort(m, axis=0)
+        return [(self.families[k], _sure(d)) for k, d in zip(best.tolist(), (top[-1] - top[-2]).tolist(), strict=True)]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """A language and a score from 0 to 1 for each text; `und` and 0 for null, and for texts without a letter."""
@@ -169,28 +194,38 @@ class Identifier:
             size += len(texts[i])
             if size >= BLOCK_CHARS or k == len(rows) - 1:
                 own = rows[a : k + 1]
-                m = self.grams.margins([texts[j] for j in own], self.weights)
-                for n, j in enumerate(own):
-                    margin = {(x.yes, x.no): float(m[q, n]) + x.b for q, x in enumerate(self.machines)}
-                    family, sure = self._vote(self.families, margin)
-                    lang, more = self._vote([v for v in self.langs if family_of(v) == family], margin)
-                    out[j] = (lang, sure * more)
+                hashed = self.grams.of([texts[j] for j in own])
+                families = self._families(hashed)
+                for f in sorted({f for f, _ in families}):
+                    machines = self.machines[f]
+                    m = self.grams.margins(hashed, [x.w for x in machines])
+                    for n, j in enumerate(own):
+                        if families[n][0] == f:
+                            lang, more = self._vote(self.within[f], {(x.yes, x.no): float(m[q, n]) + x.b for q, x in enumerate(machines)})
+                            out[j] = (lang, families[n][1] * more)
                 a, size = k + 1, 0
         return out
 
 
-def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_examples: int = 3_000, max_languages: int = 200, max_chars: int = 48_000_000) -> list[tuple[str, str]]:
+def _sure(margin: float) -> float:
+    return float(1 / (1 + np.exp(-2 * max(0.0, min(margin, 30.0)))))
+
+
+def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_examples: int = 3_000, max_languages: int = 1_000, max_chars: int = 48_000_000) -> list[tuple[str, str]]:
     """Whole texts and languages to learn from, within the bounds named; of each language
     the first row, and more as long as its share of max_chars holds them.
 
     The rows are chosen by a hash of their ids, which reads no texts; those without a
     letter teach nothing. A language's rows are first cut to the share of hashes that
     holds four times as many as are asked for, so that no task ranks a whole language.
+    More than max_languages different languages are an error, and none is left out.
     """
     known = docs.filter(may_learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1 << 31)).alias("h"), F.col(text_col).alias("text"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
     if not counts:
         return []
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages, or is {lang_col} no language?")
     k = max(1, min(per_language, max_examples // len(counts)))
     cuts = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, min(1 << 31, 1 + ((4 * k << 31) // r.n))) for r in counts], "lang string, cut long"))
     first = lambda rows, *by: rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).filter(F.col("k") <= k)
@@ -201,14 +236,19 @@ def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     return [(r.text, r.lang) for r in texts.orderBy("lang", "k").select("text", "lang").collect() if r.text and any(map(str.isalpha, r.text))]
 
 
-def identify(docs: DataFrame, examples: list[tuple[str, str]], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, examples: list[tuple[str, str]], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), max_bytes: int = 128 << 20) -> DataFrame:
     """The columns `keep` of docs, lang_pred and score, a row for each row of docs.
 
-    Null texts and texts without a letter are `und` with score 0. A text that lies on
-    a machine's boundary goes to the second of the two names in order. Without
-    examples all is `und`. Other columns are ignored.
+    Null texts and texts without a letter are `und` with score 0. Of families with
+    equal margins the first in order counts; a text that lies on the boundary of two
+    languages goes to the second in order. Without examples all is `und`. Other columns
+    are ignored. The machines are broadcast if they take no more than max_bytes; more
+    are an error.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Identifier(examples))
+    model = Identifier(examples)
+    if model.n_bytes > max_bytes:
+        raise ValueError(f"the machines of {len(model.langs)} languages take {model.n_bytes} bytes, more than {max_bytes}")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
         for b in slices(batches, 0):
