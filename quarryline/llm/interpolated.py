@@ -212,17 +212,28 @@ def _lists(parts: int):
     return run
 
 
+def _totals(keys: np.ndarray, counts: np.ndarray, turns: int = 4) -> tuple[np.ndarray, int]:
+    """For each key the sum of its counts, and how many keys have one. A quarter of the keys is sorted at a time, for memory."""
+    out, distinct = np.empty(len(keys), np.int64), 0
+    turn = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(61)).astype(np.uint8) % turns
+    for t in range(turns):
+        at = np.nonzero(turn == t)[0]
+        known, place = np.unique(keys[at], return_inverse=True)
+        total = np.bincount(place, counts[at], len(known)).astype(np.int64)  # exact below 2 ** 53
+        out[at] = total[place]
+        distinct += int((total > 0).sum())
+    return out, distinct
+
+
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     """The corpus's counts of a part's keys, list by list; and a row of its sums."""
     keys = [unpack_keys(x) for x in pdf["keys"]]
-    known, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([unpack_counts(x) for x in pdf["counts"]])
-    total = np.zeros(len(known), np.int64)
-    np.add.at(total, place, counts)
-    each = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
+    ends = np.cumsum([len(k) for k in keys])
+    counts = np.concatenate([unpack_counts(x).astype(np.uint32) for x in pdf["counts"]])
+    total, distinct = _totals(np.concatenate(keys), counts)
     kind, part = int(pdf["kind"].iloc[0]), int(pdf["part"].iloc[0])
-    rows = [(r, kind, part, pack_counts(x), 0, 0) for r, x in zip(pdf["run"], each, strict=True)]
-    return pd.DataFrame([*rows, (SUMS, kind, part, b"", int((total > 0).sum()), int(total.sum()))], columns=["run", "kind", "part", "data", "distinct", "tokens"])
+    rows = [(r, kind, part, pack_counts(x), 0, 0) for r, x in zip(pdf["run"], np.split(total, ends[:-1]), strict=True)]
+    return pd.DataFrame([*rows, (SUMS, kind, part, b"", distinct, int(counts.sum(dtype=np.int64)))], columns=["run", "kind", "part", "data", "distinct", "tokens"])
 
 
 def _met(packs: pd.DataFrame, answers: pd.DataFrame, parts: int):
@@ -317,7 +328,7 @@ def _scores(weights: np.ndarray, tokens: int, types: int, parts: int):
     return run
 
 
-def parts_for(text_bytes: int, part_bytes: int = 32 << 20) -> int:
+def parts_for(text_bytes: int, part_bytes: int = 16 << 20) -> int:
     """A power of two that grows with the corpus: the lists of part_bytes of text go to
     a part, and take a few times that in the memory of the worker that adds them up."""
     return 1 << max(0, ceil(log2(max(1.0, text_bytes / part_bytes))))

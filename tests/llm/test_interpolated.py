@@ -110,8 +110,18 @@ def test_packing():
         assert (M.unpack_counts(M.pack_counts(counts)) == counts).all()
 
 
+def test_totals_of_repeated_keys():
+    rng = np.random.default_rng(2)
+    keys, counts = rng.integers(0, 300, 5_000, dtype=np.uint64) << np.uint64(50), rng.integers(0, 3, 5_000, dtype=np.uint32)
+    total, distinct = M._totals(keys, counts)
+    want = Counter()
+    for k, c in zip(keys.tolist(), counts.tolist()):
+        want[k] += c
+    assert total.tolist() == [want[k] for k in keys.tolist()] and distinct == sum(v > 0 for v in want.values())
+
+
 def test_parts_follow_the_text(spark, make):
-    assert [M.parts_for(n) for n in (0, 1, 32 << 20, (32 << 20) + 1, 10**14)] == [1, 1, 1, 2, 1 << 22]
+    assert [M.parts_for(n) for n in (0, 1, 16 << 20, (16 << 20) + 1, 10**14)] == [1, 1, 1, 2, 1 << 23]
     packs = M.packed(make([(1, "a b"), (2, None)]).selectExpr("doc_id AS id", "text", "false AS held"))
     assert packs.agg({"bytes": "sum"}).first()[0] < 200  # measured, as a table in memory has no size
 
