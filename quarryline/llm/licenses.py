@@ -62,7 +62,8 @@ def align(a: list[int], b: list[int], low: int, high: int) -> tuple[int, int, in
     """Local alignment of a with b where b's position less a's is from low to high.
 
     A match counts 1, a mismatch or gap -1. Returns the words of a matched on the best
-    path and the stretch of b that it covers; ties go to the earlier end in a, then in b.
+    path and the stretch of b that it covers; of equal paths that with more matches
+    counts, then the earlier end in a, then in b.
     """
     width, n = high - low + 1, len(b)
     zero = (0, 0, -1, -1)  # score, matches, first and past in b
@@ -82,12 +83,12 @@ def align(a: list[int], b: list[int], low: int, high: int) -> tuple[int, int, in
             up = above[k + 1] if k + 1 < width else zero
             left = row[k - 1] if k else zero
             for other in (up, left):
-                if other[0] - 1 > cell[0]:
+                if (other[0] - 1, other[1]) > cell[:2]:
                     cell = (other[0] - 1, *other[1:])
             if cell[0] <= 0:
                 cell = zero
             row.append(cell)
-            if cell[0] > best[0]:
+            if cell[:2] > best[:2]:
                 best = cell
         above = row
     return best[1], best[2], best[3]

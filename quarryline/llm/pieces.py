@@ -4,13 +4,19 @@ The vocabulary file is only read, never trained. Pieces of a Unigram model keep
 log scores. A BPE model has merge ranks in their place; they become log scores by
 Zipf's law, -ln(rank) - ln(sum of 1/rank), so that earlier merges are likelier.
 
-No piece has a space marker after another character, nor a line end, so a best path
-always breaks before a run of spaces and around a line end. Texts are cut there, equal
-chunks of a batch are encoded once, and all of them in one pass of array operations.
+Usually no piece has a space marker after another character, nor a line end, so a best
+path always breaks before a run of spaces and around a line end. Texts are cut there,
+equal chunks of a batch are encoded once, and all of them in one pass of array
+operations. With a model that has other pieces, or pieces of over 63 bytes, each text
+is one chunk and is encoded by itself, which is slower.
+
+Of a model's normaliser, the removal of extra spaces and the space before a text are
+followed; a table that maps characters is not, and is an error.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -27,6 +33,7 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks of more bytes are encoded one by one: array operations gain nothing there.
 LONG_CHUNK = 256
+_SPACES = re.compile(" +")
 BATCH_BYTES = 3 << 20
 
 
@@ -69,13 +76,23 @@ def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], int, bool]:
     return pieces, kind, prefix
 
 
+def extra_spaces_go(data: bytes) -> bool:
+    """Whether the model's normaliser takes out spaces at the ends and repeated ones; one that maps characters is an error."""
+    d = next((dict(_fields(value)) for number, value in _fields(data) if number == 3), {})
+    if d.get(2):
+        raise ValueError("the model maps characters before it encodes; that is not followed here")
+    return bool(d.get(4, 1))
+
+
 def log_scores(pieces: list[tuple[str, float, int]], kind: int) -> np.ndarray:
+    """Log scores of all pieces. A piece that the user defined has 0 and so goes before others."""
     scores = np.array([s for _, s, _ in pieces], np.float64)
     if kind != UNIGRAM:
-        normal = [i for i, p in enumerate(pieces) if p[2] in (NORMAL, USER)]
+        normal = [i for i, p in enumerate(pieces) if p[2] == NORMAL]
         normal.sort(key=lambda i: (-scores[i], i))
         rank = np.arange(1, len(normal) + 1)
         scores[normal] = -np.log(rank) - np.log((1.0 / rank).sum())
+    scores[[i for i, p in enumerate(pieces) if p[2] == USER]] = 0.0
     return scores.astype(np.float32)
 
 
@@ -125,17 +142,17 @@ class Codec:
 
     def __init__(self, data: bytes):
         pieces, kind, self.prefix = read_model(data)
+        self.extra = extra_spaces_go(data)
         self.scores = log_scores(pieces, kind)
         keys, self.bytes_at = {}, np.full(256, -1, np.int32)
+        self.narrow = self.cuts = True
         spelled = []
         for i, (text, _, what) in enumerate(pieces):
             spelled.append(b"")
             if what in (NORMAL, USER):
                 spelled[-1] = text.replace(MARKER, " ").encode()
-                if len(spelled[-1]) > 63:
-                    raise ValueError(f"piece {i} is longer than 63 bytes")
-                if b"\n" in spelled[-1] or b" " in spelled[-1].lstrip(b" "):
-                    raise ValueError(f"piece {i} goes over a chunk's end")
+                self.narrow &= len(spelled[-1]) <= 63
+                self.cuts &= b"\n" not in spelled[-1] and b" " not in spelled[-1].lstrip(b" ")
                 keys.setdefault(spelled[-1], i)
             elif what == BYTE:
                 spelled[-1] = bytes([int(text[3:5], 16)])
@@ -259,6 +276,8 @@ class Codec:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has; null and empty texts have none."""
         lead = b" " if self.prefix else b""
+        if self.extra:
+            texts = [_SPACES.sub(" ", t).strip(" ") if t else t for t in texts]
         raw = [lead + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         size = np.array([len(x) for x in raw], np.int64)
         joined = b"".join(raw)
@@ -268,7 +287,7 @@ class Codec:
         space, line = data == 0x20, data == 0x0A
         cut = np.zeros(len(data), bool)
         cut[0] = True
-        cut[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        cut[1:] = ((space[1:] & ~space[:-1]) | line[1:] | line[:-1]) & self.cuts
         cut[(np.cumsum(size) - size)[size > 0]] = True
         starts = np.nonzero(cut)[0]
         offsets = np.append(starts, len(data))
@@ -277,7 +296,7 @@ class Codec:
         bounds = np.frombuffer(kind.buffers()[1], np.int64)[kind.offset : kind.offset + len(kind) + 1]
         body = np.frombuffer(kind.buffers()[2], np.uint8) if kind.buffers()[2] else np.zeros(0, np.uint8)
         sizes = np.diff(bounds)
-        short = sizes <= LONG_CHUNK
+        short = (sizes <= LONG_CHUNK) & self.narrow
         ids_of, n_of = [], np.zeros(len(kind), np.int64)
         keep = np.repeat(short, sizes)
         ids, n_of[short] = self._chunks(body[bounds[0] : bounds[-1]][keep], np.cumsum(sizes[short]) - sizes[short], sizes[short])
@@ -298,7 +317,9 @@ class Codec:
         return ids[index], np.bincount(doc, weights=times, minlength=len(texts)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """Texts of ids, counts of them each. Bytes that are no UTF-8 become U+FFFD."""
+        """Texts of ids, counts of them each. Bytes that are no UTF-8 become U+FFFD; an id that the model does not have is an error."""
+        if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.ends)):
+            raise ValueError(f"ids from {ids.min()} to {ids.max()} of a model with {len(self.ends)} pieces")
         size = np.diff(self.ends, prepend=0)
         times = size[ids]
         stops = np.cumsum(times)
@@ -330,7 +351,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[str,
     A null text has null ids, no tokens and round_trip true; an empty text has no
     ids. U+2581 in a text is spelled in bytes, as the piece would mean a space. A
     model without byte pieces gives its unknown id instead, and then round_trip is
-    false. Other columns are ignored; rows, repeated ones too, come back one each.
+    false, as it is where the model takes extra spaces out. Other columns are ignored; rows, repeated ones too, come back one each.
     """
     sent = docs.sparkSession.sparkContext.broadcast(codec(model))
 
@@ -354,7 +375,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[str,
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of encoded and text; null ids give a null text, unknown ids an error."""
+    """The columns `keep` of encoded and text; null ids give a null text. Ids that the model does not have, null or negative ones too, are an error."""
     sent = encoded.sparkSession.sparkContext.broadcast(codec(model))
 
     def scan(batches):
@@ -362,7 +383,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str
         for b in batches:
             lists = b.column(0)
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = c.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
+            texts = c.decode(pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64), counts)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)], pa.string())], names=[*keep, "text"])
 
     kinds = [f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keep]

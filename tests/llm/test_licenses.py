@@ -94,3 +94,75 @@ def test_all_that_coverage_allows_may_be_missing():
             at = np.array([s.ids.get(w, -1) for w in words_of(text)], np.int64)
             held = [t for size, keys, posts in s.indexes for g in s.grams(at, size).tolist() if g in keys for t, _ in posts[keys.tolist().index(g)]]
             assert k in held, (template, text)
+
+
+def aligned(template, words):
+    """For each start of words, the most template words that a local alignment from there on has, by all pairs: (score, matches, first, past) of the best."""
+    best = (0, 0, 0, 0)
+    row = [(0, 0, j) for j in range(len(words) + 1)]  # score, matches, first
+    for x in template:
+        new = [(0, 0, 0)]
+        for j, y in enumerate(words):
+            up = (row[j][0] + (1 if x == y else -1), row[j][1] + (x == y), row[j][2])
+            options = [up, (row[j + 1][0] - 1, *row[j + 1][1:]), (new[j][0] - 1, *new[j][1:])]
+            top = max(options, key=lambda o: o[:2])
+            new.append(top if top[0] > 0 else (0, 0, j + 1))
+            if new[-1][:2] > best[:2]:
+                best = (*new[-1][:2], new[-1][2], j + 1)
+        row = new
+    return best
+
+
+def brute(scanner, text):
+    """Templates found by aligning every one with the whole text, over and over beside what was found; the scan's rule of overlaps."""
+    words, found = words_of(text), []
+    for t, (name, template) in enumerate(TEMPLATES):
+        own, todo = words_of(template), [(0, len(words))]
+        while todo:
+            a, b = todo.pop()
+            _, n, first, past = aligned(own, words[a:b])
+            if n >= scanner.coverage * len(own):
+                found.append((t, n, a + first, a + past))
+                todo += [(a, a + first), (a + past, b)]
+    found.sort(key=lambda m: (-m[1], -m[1] / len(words_of(TEMPLATES[m[0]][1])), m[0], m[2]))
+    kept = []
+    for m in found:
+        if all(m[3] <= k[2] or m[2] >= k[3] for k in kept):
+            kept.append(m)
+    return sorted((TEMPLATES[t][0], n, a, b) for t, n, a, b in kept)
+
+
+def test_a_scan_equals_brute_force(make):
+    """Texts with templates whole, changed by a seventh at most, cut off and doubled, between other words."""
+    rng = random.Random(9)
+    other = "the a of to code file and with this under terms license library you may use copy work free software".split()
+    docs = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            words += rng.choices(other, k=rng.randint(0, 25))
+            own = rng.choice(TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, len(own) // 14)):
+                own[rng.randrange(len(own))] = "changed"
+            words += own[: rng.choice((len(own), len(own), len(own) // 2))]
+        docs.append((i, " ".join([*words, *rng.choices(other, k=5)])))
+    scanner = Scanner()
+    seen = 0
+    for r in scan(make(docs)).collect():
+        text = docs[r.doc_id][1]
+        at = {}
+        place = [m.span() for m in __import__("re").finditer("[A-Za-z0-9]+", text)]
+        for k, (a, b) in enumerate(place):
+            at[a], at[-b] = k, k + 1
+        got = sorted((m.license, m.matched_words, at[m.start], at[-m.end]) for m in r.licenses)
+        assert got == brute(scanner, text), text
+        seen += len(got)
+    assert seen > 40
+
+
+def test_equal_coverage_of_matches_that_overlap():
+    """The longer match stays; of the same words, that of the template that comes first."""
+    mine = (("one", "alpha beta gamma delta epsilon"), ("two", "alpha beta gamma delta epsilon"), ("three", "delta epsilon zeta eta theta iota kappa"))
+    s = Scanner(mine)
+    assert [m["license"] for m in s.scan("alpha beta gamma delta epsilon")] == ["one"]
+    assert [m["license"] for m in s.scan("alpha beta gamma delta epsilon zeta eta theta iota kappa")] == ["three"]

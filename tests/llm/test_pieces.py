@@ -37,13 +37,13 @@ def field(number, wire, value):
     return varint(number << 3 | wire) + (varint(value) if wire == 0 else varint(len(value)) + value if wire == 2 else value)
 
 
-def model(pieces, kind=P.UNIGRAM, byte_fallback=True, prefix=True):
+def model(pieces, kind=P.UNIGRAM, byte_fallback=True, prefix=True, extra=False):
     """A model file of the given pieces (text, score, kind)."""
     out = b""
     for text, score, what in pieces:
         out += field(1, 2, field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, what))
     out += field(2, 2, field(3, 0, kind) + field(35, 0, int(byte_fallback)))
-    return out + field(3, 2, field(1, 2, b"identity") + field(3, 0, int(prefix)) + field(4, 0, 0))
+    return out + field(3, 2, field(1, 2, b"identity") + field(3, 0, int(prefix)) + field(4, 0, int(extra)))
 
 
 def small(byte_fallback=True):
@@ -166,3 +166,40 @@ def test_odd_rows(make, odd):
     back = P.decode(encoded, path).collect()
     assert sorted(((r.doc_id, r.text) for r in back), key=repr) == sorted(odd, key=repr)
     assert P.encode(make([]), path).count() == 0
+
+
+def library(data, text):
+    return sentencepiece.SentencePieceProcessor(model_proto=data).encode(text)
+
+
+def test_extra_spaces_go_where_the_model_says_so():
+    data = model(small(), extra=True)
+    c = P.Codec(data)
+    for t in ("a  b", "  ab c ", "abc", "   ", ""):
+        ids, counts = c.encode([t])
+        assert ids.tolist() == library(data, t) and counts.tolist() == [len(ids)]
+
+
+def test_defined_pieces_go_first_and_pieces_may_have_any_form():
+    own = [("cab", -9.0, P.USER), ("x\ny", -1.5, P.NORMAL), ("a▁b", -0.9, P.NORMAL), ("q" * 70, -2.0, P.NORMAL), ("q", -3.0, P.NORMAL)]
+    data = model(small() + own)
+    c = P.Codec(data)
+    rng = random.Random(3)
+    for _ in range(200):
+        t = "".join(rng.choice(["a", "b", "c", " ", "cab", "x", "\n", "x\ny", "q" * 35, "q", "é", "日"]) for _ in range(rng.randint(1, 12)))
+        ids, counts = c.encode([t])
+        assert ids.tolist() == library(data, t), t
+        assert c.decode(ids, counts) == [t]
+
+
+def test_a_table_of_characters_is_refused():
+    with pytest.raises(ValueError):
+        P.Codec(field(3, 2, field(2, 2, b"xxxx")) + model(small()))
+
+
+def test_ids_that_the_model_does_not_have(spark, codec):
+    for bad in ([-1, 5], [5, 10**6]):
+        with pytest.raises(ValueError):
+            codec.decode(np.array(bad), np.array([2]))
+    with pytest.raises(Exception, match="pieces"):
+        P.decode(spark.createDataFrame([(1, [5, None])], "doc_id long, ids array<int>"), P.default_model()).collect()
