@@ -86,8 +86,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
 
     Rows of equal text share a shard; null texts are one such group, of no bytes and a
     null checksum. size is the text's UTF-8 bytes plus row_bytes. Slots number the rows
-    of a shard from 0 without gaps; rows repeated in id and text take neighbouring
-    slots. A group larger than a shard's fair share fills its shard alone. An empty
+    of a shard from 0 without gaps. A group larger than a shard's fair share fills its shard alone. An empty
     table gives no rows. Other columns are ignored.
     """
     if shards < 1:
@@ -119,7 +118,8 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     placed = join_hot(rows, durable(shard_of), "text_h", "rows")
 
     runs = max(1, ceil(rows.count() / (shards * rows_per_run)))
-    placed = durable(placed.withColumn("run", F.pmod(F.xxhash64("id", "text_h"), F.lit(runs)).cast("int")))
+    # The place that a row is read from deals out rows that are repeated in id and text too; it is kept with the row.
+    placed = durable(placed.withColumn("run", F.pmod(F.xxhash64("id", "text_h", F.spark_partition_id()), F.lit(runs)).cast("int")))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "run").agg(F.count("*").alias("n")).select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("shard", "run").orderBy("id", "text_h"))

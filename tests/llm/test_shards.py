@@ -78,3 +78,22 @@ def test_balance_over_cells_and_runs(make):
 
 def test_empty(make):
     assert assign(make([]), 3).count() == 0
+
+
+def test_cells_against_one_differencing(make):
+    """The spread that cells leave is within the bound that the module states, and near that of one differencing of all groups."""
+    rng = random.Random(8)
+    docs = [(i, "v" * rng.choice((1, 5, 300, 2000)) + str(i)) for i in range(4000)]
+    sizes = sorted((len(t) + 16 for _, t in docs), reverse=True)
+    _, sums = difference(sizes, 6)
+    for large in (10, 500):
+        total = Counter()
+        for r in assign(make(docs), 6, large_groups=large, groups_per_cell=300).collect():
+            total[r.shard] += r.size
+        spread, cells = max(total.values()) - min(total.values()), (4000 - large) // 300 + 1
+        assert max(sums) - min(sums) <= 20 and spread <= 10 * cells, (large, spread)  # of 390,000 bytes in a shard
+
+
+def test_repeated_rows_are_numbered_in_several_tasks(make):
+    docs = [(7, "same")] * 900 + [(i, f"t{i}") for i in range(100)]
+    check(assign(make(docs).repartition(4), 3, rows_per_run=50).collect(), docs, 3)
