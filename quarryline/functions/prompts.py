@@ -17,6 +17,11 @@ def evidence_prompt(sections, n: int = 3) -> Column:
     return F.array_join(F.slice(col(sections), 1, n), "\n")
 
 
+def answer_prompt(question, sections, n: int = 3) -> Column:
+    """The question, the first n sections as its context, and how to answer."""
+    return F.concat(F.lit("Question: "), col(question), F.lit("\nContext: "), evidence_prompt(sections, n), F.lit("\nAnswer with a short entity only."))
+
+
 def fid_inputs(question, captions, n_captions: int, group: int) -> Column:
     """The question before each group of captions; the last group ends at n_captions.
 

@@ -95,3 +95,11 @@ def logsumexp(query_tokens, section_tokens, mask) -> Column:
 def token_max(query_tokens, vector) -> Column:
     """The largest product of a vector with any of several query tokens: an image's score for a text."""
     return F.array_max(F.transform(col(query_tokens), lambda q: dot(q, col(vector))))
+
+
+def first_tokens(tokens, mask, n: int = 32) -> tuple[Column, Column]:
+    """The first n token vectors and their mask; fewer are filled up with zero vectors that the mask leaves out."""
+    kept, seen = F.slice(col(tokens), 1, n), F.slice(col(mask), 1, n)
+    none = F.transform(F.coalesce(F.get(col(tokens), F.lit(0)), F.array().cast("array<double>")), lambda x: F.lit(0.0))
+    missing = F.greatest(n - F.size(kept), F.lit(0))
+    return F.concat(kept, F.array_repeat(none, missing)), F.concat(seen, F.array_repeat(F.lit(False), missing))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, consensus_answer, consensus_punctuation, consensus_words, let, normalize_answer, normalize_title, url_to_title
-from .search import blocks_of
+from .search import sent_blocks
 
 
 def truth_titles(titles: Column, urls: Column) -> Column:
@@ -123,11 +123,7 @@ def retrieval_ranks(queries: DataFrame, items: DataFrame, block_rows: int = 4096
     """
     rows, of_query, of_item, over = items.select("vec_pos", "label", "vector"), None, None, None
     both = lambda out, part: part if out is None else out.union(part)
-    blocks = []
-    for part in blocks_of(queries, "sample_id", block_rows):
-        got = part.select("sample_id", "truth", "vector").collect()
-        if got:
-            blocks.append((np.array([r.sample_id for r in got], np.int64), np.array([np.nan if r.truth is None else r.truth for r in got], np.float64), np.array([r.vector for r in got], np.float64)))
+    blocks = list(sent_blocks(queries, "sample_id", ["sample_id", "truth", "vector"], block_rows))
     if not blocks:
         none = F.lit(None).cast("long").alias("rank")
         return queries.select("sample_id", none), items.select("vec_pos", none)
@@ -148,9 +144,14 @@ def retrieval_ranks(queries: DataFrame, items: DataFrame, block_rows: int = 4096
 TILE, NOBODY = 1 << 20, np.iinfo(np.int64).min
 
 
+def _unsent(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, truth, matrix = block.value
+    return ids.astype(np.int64), truth.astype(np.float64), matrix.astype(np.float64)
+
+
 def _tiles(block, batches):
     """(rows, numbers, scores, able, true) of some rows of a batch against the block; equal vectors have equal scores, wherever they are."""
-    ids, truth, matrix = block
+    ids, truth, matrix = _unsent(block)
     step = max(1, TILE // len(ids))
     for b in batches:
         for at in range(0, len(b), step):
@@ -164,12 +165,12 @@ def _tiles(block, batches):
 
 def _true_partners(block, of_items: bool):
     """The best true partner of each item in the block, or of each query of the block among a partition's items."""
-    ids = block[0]
 
     def rows(*columns):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "score", "partner"])
 
     def run(batches):
+        ids = _unsent(block)[0]
         best, partner = np.full(len(ids), -np.inf), np.full(len(ids), NOBODY)
         for _, pos, scores, _, true in _tiles(block, batches):
             s = np.where(true, scores, -np.inf)
@@ -191,11 +192,11 @@ def _true_partners(block, of_items: bool):
 
 def _above(block, found: dict | None = None):
     """How many of the other side lie above the best true partner: for each query in found, or for each item, whose columns 3 and 4 name it."""
-    ids = block[0]
-    pick = [i for i, x in enumerate(ids.tolist()) if x in (found or {})]
-    best, partner = np.array([found[ids[i]][0] for i in pick], np.float64), np.array([found[ids[i]][1] for i in pick], np.int64)
 
     def run(batches):
+        ids = _unsent(block)[0]
+        pick = [i for i, x in enumerate(ids.tolist()) if x in (found or {})]
+        best, partner = np.array([found[ids[i]][0] for i in pick], np.float64), np.array([found[ids[i]][1] for i in pick], np.int64)
         total = np.zeros(len(pick), np.int64)
         for t, pos, scores, able, true in _tiles(block, batches):
             other = able & ~true  # no true one is above the best of them
@@ -254,14 +255,13 @@ def bleu4(rows: DataFrame, candidate: str = "candidate", references: str = "refe
         return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     def matched(n: int) -> Column:
-        def over(own: Column) -> Column:
-            def clipped(all_refs: Column) -> Column:
-                count = lambda g, x: F.size(F.filter(x, lambda y: y == g))
-                return F.aggregate(F.array_distinct(own), F.lit(0).cast("long"), lambda s, g: s + F.least(count(g, own), F.coalesce(F.array_max(F.transform(all_refs, lambda r: count(g, r))), F.lit(0))))
+        """Sorted n-grams with a running number among equals: own ones and a reference's meet as often as both have them."""
 
-            return let(F.transform("rs", lambda r: grams(r, n)), clipped)
+        def numbered(gs: Column) -> Column:
+            return let(F.array_sort(gs), lambda x: F.transform(x, lambda g, i: F.struct(g.alias("g"), (i - F.array_position(x, g)).alias("k"))))
 
-        return let(grams(F.col("c"), n), over)
+        refs = F.flatten(F.transform("rs", lambda r: numbered(grams(r, n))))
+        return F.size(F.array_intersect(numbered(grams(F.col("c"), n)), refs)).cast("long")
 
     size = F.size("c")
     near = F.transform("rs", lambda r: F.struct(F.abs(F.size(r) - size).alias("off"), F.size(r).alias("n")))
@@ -274,5 +274,44 @@ def bleu4(rows: DataFrame, candidate: str = "candidate", references: str = "refe
     return sums.select(*[F.coalesce(brevity * F.exp(sum(logs[1:n], logs[0]) / n), F.lit(0.0)).alias(f"bleu_{n}") for n in range(1, 5)])
 
 
+def cider(rows: DataFrame, key: str = "id", candidate: str = "candidate", references: str = "references", orders: int = 4, sigma: float = 6.0, hot_grams: int = 10_000) -> DataFrame:
+    """(key, cider) by consensus of n-grams with their references, for one row of each key.
+
+    Words are split at white space. An n-gram weighs its count times ln(rows / rows
+    with it in a reference, 1 at least). For each order the candidate's weights, no
+    higher than the reference's, are multiplied with the reference's and divided by both
+    norms; a difference in the number of bigrams costs by a normal curve; the mean over
+    references and orders counts ten-fold. Rows without words or references have 0.
+    Counts over the rows meet the n-grams in an exchange, those of the hot_grams most
+    frequent in a broadcast, so that no task gets all rows of a frequent word.
+    """
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    every = F.concat(F.array(F.struct(F.lit(-1).alias("side"), words(F.col(candidate)).alias("w"))), F.transform(F.coalesce(F.col(references), F.array().cast("array<string>")), lambda r, i: F.struct(i.alias("side"), words(r).alias("w"))))
+    text = rows.select(key, F.explode(every).alias("t")).select(key, "t.side", "t.w")
+    n_of = F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("n")
+    each = text.select(key, "side", "w", n_of).filter(F.size("w") >= F.col("n"))
+    grams = each.select(key, "side", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("gram"))
+    tf = grams.groupBy(key, "side", "n", "gram").agg(F.count("*").alias("tf"))
+    seen = tf.filter("side >= 0").groupBy("n", "gram").agg(F.count_distinct(key).alias("df"))
+    hot = F.broadcast(seen.orderBy(F.desc("df"), "n", "gram").limit(hot_grams))
+    known = tf.join(hot, ["n", "gram"])
+    rest = tf.join(hot.select("n", "gram"), ["n", "gram"], "left_anti").join(seen, ["n", "gram"], "left")
+    total = rows.agg(F.log(F.count("*").cast("double")).alias("ln_rows"))
+    weighed = known.select(key, "side", "n", "gram", "tf", "df").union(rest.select(key, "side", "n", "gram", "tf", "df")).join(F.broadcast(total))  # one row
+    weight = F.col("tf") * (F.col("ln_rows") - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double")))
+    w = weighed.select(key, "side", "n", "gram", "tf", weight.alias("w"))
+    norms = w.groupBy(key, "side", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("grams"))
+    own, ref = w.filter("side = -1").select(key, "n", "gram", F.col("w").alias("c")), w.filter("side >= 0").select(key, "side", "n", "gram", F.col("w").alias("r"))
+    dots = own.join(ref, [key, "n", "gram"]).groupBy(key, "side", "n").agg(F.sum(F.least("c", "r") * F.col("r")).alias("dot"))
+    c_norm = norms.filter("side = -1").select(key, "n", F.col("norm").alias("c_norm"))
+    sims = dots.join(norms.select(key, "side", "n", F.col("norm").alias("r_norm")), [key, "side", "n"]).join(c_norm, [key, "n"])
+    sims = sims.select(key, "side", F.when((F.col("c_norm") != 0) & (F.col("r_norm") != 0), F.col("dot") / F.col("c_norm") / F.col("r_norm")).otherwise(0.0).alias("sim")).groupBy(key, "side").agg(F.sum("sim").alias("sim"))
+    size = lambda c: F.greatest(F.size(c) - 1, F.lit(0))  # noqa: E731  bigrams
+    lengths = text.filter("side >= 0").select(key, "side", size("w").alias("r_size")).join(text.filter("side = -1").select(key, size("w").alias("c_size")), key)
+    scored = lengths.join(sims, [key, "side"], "left").select(key, (F.coalesce("sim", F.lit(0.0)) * F.exp(-F.pow(F.col("c_size") - F.col("r_size"), 2) / (2 * sigma * sigma))).alias("sim"))
+    mean = scored.groupBy(key).agg((10 * F.avg("sim") / orders).alias("cider"))
+    return rows.select(key).join(mean, key, "left").select(key, F.coalesce("cider", F.lit(0.0)).alias("cider"))
+
+
 def mean_loss(rows: DataFrame, loss: str = "loss") -> DataFrame:
     return rows.agg(F.avg(loss).alias("loss"), F.count(loss).alias("n"))

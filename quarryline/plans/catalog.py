@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts, scores, text, vectors
 from ..functions.answer_tables import CONSENSUS_PUNCTUATION, CONTRACTIONS, NUMBER_WORDS, PUNCTUATION, VERDICT_WORDS
 from ..operators import graph, metrics, results, search, segments, telemetry
+from . import config, flows
 from . import relations as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,14 +258,41 @@ def late_interaction(spark, sf_dir):
     return _late(spark, sf_dir).select("qry", "sec", *[r6(c).alias(c) for c in ("cls_max", "maxsim", "lse")])
 
 
-@query(f"""WITH {_TOKENS}, h AS (SELECT qry, sec, ql, sl, 0.5::DOUBLE * cls_max + 0.5::DOUBLE * maxsim AS score FROM late),
-r AS (SELECT *, row_number() OVER (PARTITION BY qry ORDER BY score DESC, sec) AS rank FROM h), b AS (SELECT qry, min(rank) FILTER (ql = sl) AS r FROM r GROUP BY qry)
-SELECT CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (r <= k) AS BIGINT) AS hits, count(*) AS total, count(*) FILTER (r <= k) / count(*) AS recall FROM b, {_KS} GROUP BY k""")
+@query(f"""WITH {rel.SECTION_SCORES} SELECT sample_id, variant, doc_idx, CAST(section_idx AS INTEGER) AS section_idx, round(variant_score, 6) AS score, CAST(section_rank AS INTEGER) AS section_rank, CAST(doc_place AS INTEGER) AS doc_place FROM vplaced""")
+def rerank_variants(spark, sf_dir):
+    r = search.rank_variants(rel.section_scores(spark, sf_dir))
+    return r.select("sample_id", "variant", "doc_idx", "section_idx", r6("variant_score").alias("score"), "section_rank", "doc_place")
+
+
+_RECALLED = f"""{rel.SECTION_SCORES},
+vbest AS (SELECT sample_id, variant, min(doc_place) FILTER (label = truth) AS document, min(section_rank) FILTER (label = truth AND sample_id % 300 <> 0 AND section_idx = (sample_id // 100) % 3) AS section FROM vplaced GROUP BY ALL),
+vlevel AS (SELECT variant, 'document' AS level, document AS r FROM vbest UNION ALL SELECT variant, 'section', section FROM vbest),
+vreport AS (SELECT variant, level, CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (r <= k) AS BIGINT) AS hits, (SELECT count(*) FROM q) AS total FROM vlevel, (SELECT unnest([1, 3, 5, 10, 20]) AS k) GROUP BY variant, level, k)"""
+
+
+def _recalled(spark, sf_dir, *variants):
+    ranked = search.rank_variants(rel.section_scores(spark, sf_dir), variants=variants or tuple(search.VARIANTS))
+    named = ranked.withColumn("norm_title", text.normalize_title(F.concat(F.lit("Doc label "), F.col("label").cast("string"), F.lit(" (x)"))))
+    return flows.evaluate(named, rel.label_truth(spark, sf_dir, "doc label "), 20, ("variant",), doc_rank="doc_place")
+
+
+@query(f"WITH {_RECALLED} SELECT variant, level, k, hits, total, hits / total AS recall FROM vreport")
 def hybrid_rerank_recall(spark, sf_dir):
-    late = _late(spark, sf_dir).withColumn("score", 0.5 * F.col("cls_max") + 0.5 * F.col("maxsim")).withColumnRenamed("qry", "sample_id")
-    ranked = late.withColumn("rank", search.rank_by("sample_id", F.desc("score"), F.asc("sec")))
-    best = ranked.groupBy("sample_id").agg(F.min(F.when(F.col("ql") == F.col("sl"), F.col("rank"))).alias("rank"))
-    return metrics.recall_at(best, "rank", 20)
+    return _recalled(spark, sf_dir)
+
+
+def _recall_of(variant: str) -> None:
+    """Registers the recall of one variant's ranking."""
+
+    def run(spark, sf_dir):
+        return _recalled(spark, sf_dir, variant).drop("variant")
+
+    run.__name__ = variant if variant.startswith("vision") else f"{variant}_recall"
+    query(f"WITH {_RECALLED} SELECT level, k, hits, total, hits / total AS recall FROM vreport WHERE variant = '{variant}'")(run)
+
+
+for _variant in search.VARIANTS:
+    _recall_of(_variant)
 
 
 @query("""WITH t AS (SELECT vec_id // 8 AS sec, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, 65)) AS d FROM embeddings),
@@ -354,17 +382,65 @@ def maximal_cliques(spark, sf_dir):
     return graph.maximal_cliques(nodes, edges, rel.M)
 
 
-@query(f"""WITH {_CLIQUES}, norm AS (SELECT sample_id, idx, (similarity - min(similarity) OVER w) / (max(similarity) OVER w - min(similarity) OVER w) AS norm FROM cand WINDOW w AS (PARTITION BY sample_id)),
-sub AS (SELECT c.sample_id, c.mask AS whole, s.mask AS sub FROM clique c JOIN mask s ON s.sample_id = c.sample_id AND (s.mask & ~c.mask) = 0 AND bit_count(s.mask) = least(3, bit_count(c.mask))),
-sc AS (SELECT s.sample_id, whole, sub, list(idx ORDER BY idx) AS members, avg(norm) AS mean_score FROM sub s JOIN norm n ON n.sample_id = s.sample_id AND (sub & (1 << idx)) <> 0 GROUP BY ALL),
+_CLUSTER_STEPS = """
+norm AS (SELECT sample_id, idx, (similarity - min(similarity) OVER w) / (max(similarity) OVER w - min(similarity) OVER w) AS norm FROM cand WINDOW w AS (PARTITION BY sample_id)),
+sub AS (SELECT c.sample_id, c.mask AS whole, c.members AS clique, s.mask AS sub FROM clique c JOIN mask s ON s.sample_id = c.sample_id AND (s.mask & ~c.mask) = 0 AND bit_count(s.mask) = least(3, bit_count(c.mask))),
+sc AS (SELECT s.sample_id, whole, clique, sub, list(idx ORDER BY idx) AS members, avg(norm) AS mean_score FROM sub s JOIN norm n ON n.sample_id = s.sample_id AND (sub & (1 << idx)) <> 0 GROUP BY ALL),
 es AS (SELECT sc.*, coalesce((SELECT sum(weight) FROM edge e WHERE e.sample_id = sc.sample_id AND (sub & (1 << i)) <> 0 AND (sub & (1 << j)) <> 0), 0) AS edge_sum FROM sc),
-b AS (SELECT *, row_number() OVER (PARTITION BY sample_id, whole ORDER BY round(edge_sum, 9) DESC, round(mean_score, 9) DESC, members) AS r FROM es)
-SELECT sample_id, members, round(edge_sum, 6) AS edge_sum, round(mean_score, 6) AS mean_score, round(0.7::DOUBLE * mean_score + 0.3::DOUBLE * CASE WHEN len(members) > 1 THEN edge_sum / (len(members) * (len(members) - 1) / 2) ELSE 0 END, 6) AS final_score FROM b WHERE r = 1""")
+b AS (SELECT *, row_number() OVER (PARTITION BY sample_id, whole ORDER BY round(edge_sum, 9) DESC, round(mean_score, 9) DESC, members) AS r,
+  0.7::DOUBLE * mean_score + 0.3::DOUBLE * CASE WHEN len(members) > 1 THEN edge_sum / (len(members) * (len(members) - 1) / 2) ELSE 0 END AS final_score FROM es)"""
+
+
+@query(f"WITH {_CLIQUES}, {_CLUSTER_STEPS} SELECT sample_id, members, round(edge_sum, 6) AS edge_sum, round(mean_score, 6) AS mean_score, round(final_score, 6) AS final_score FROM b WHERE r = 1")
 def clique_clusters(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     return graph.clique_clusters(nodes, edges, rel.M).select("sample_id", "members", r6("edge_sum").alias("edge_sum"), r6("mean_score").alias("mean_score"), r6("final_score").alias("final_score"))
 
 
+# The whole flow: documents by image, sections by blended scores, cliques of agreeing sections, and recall after each.
+
+_FLOW = config.settings(k=5, m=8, expand=60, softmax_temperature=0.5, e_min=0.45)
+
+
+@query(rf"""WITH {rel.TITLED},
+v AS (SELECT vec_id AS vec_pos, CAST(label AS BIGINT) * 1000000 + vec_id // 30 AS doc_idx, label, vec_id // 30 AS run, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
+q AS (SELECT vec_pos AS sample_id, label AS truth, vector FROM v WHERE vec_pos % 100 = 0),
+kb AS (SELECT d.doc_idx, d.label, t.lines FROM (SELECT DISTINCT doc_idx, label, run FROM v WHERE run % 7 <> 3) d JOIN titled t ON t.doc_idx = d.run * 10 + d.label),
+hit AS (SELECT sample_id, v.doc_idx, vec_pos, list_dot_product(q.vector, v.vector) AS score FROM q JOIN v ON sample_id <> vec_pos SEMI JOIN kb ON kb.doc_idx = v.doc_idx),
+hr AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, vec_pos) AS rank FROM hit),
+h1 AS (SELECT *, row_number() OVER (PARTITION BY sample_id, doc_idx ORDER BY rank) AS n FROM hr WHERE rank <= 60),
+docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rank) AS doc_rank FROM h1 WHERE n = 1) WHERE doc_rank <= 5),
+soft AS (SELECT *, exp(score / 0.5) / sum(exp(score / 0.5)) OVER (PARTITION BY sample_id) AS img_norm FROM docs),
+sec AS (SELECT s.*, kb.label, i AS section_idx, lines[i + 1] AS t FROM soft s JOIN kb USING (doc_idx), LATERAL (SELECT unnest(range(0, len(lines))) AS i)),
+fused AS (SELECT *, 0.3::DOUBLE * img_norm + 0.7::DOUBLE / (1 + exp(-(score * 4 - (length(t) % 7) / 10.0::DOUBLE - section_idx / 1000.0::DOUBLE))) AS combined FROM sec WHERE section_idx % 9 NOT IN (4, 7) AND regexp_matches(t, '\S')),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY combined DESC, doc_rank, section_idx) AS section_rank FROM fused) WHERE section_rank <= 8),
+cand AS (SELECT sample_id, CAST(section_rank - 1 AS INTEGER) AS idx, combined AS similarity, length(t) AS n, label, section_idx FROM top),
+pair AS (SELECT a.sample_id, a.idx AS i, b.idx AS j, (a.similarity + b.similarity) / 4 + 0.5::DOUBLE AS s, (a.n + b.n) % 5 AS r FROM cand a JOIN cand b ON a.sample_id = b.sample_id AND a.idx < b.idx),
+p1 AS (SELECT sample_id, i, j, s * (1 - r * 0.1::DOUBLE) * 0.95::DOUBLE AS p_ent, (1 - s) * r * 0.2::DOUBLE AS p_con FROM pair),
+edge AS (SELECT sample_id, i, j, least(1.0::DOUBLE, p_ent - p_con) AS weight FROM p1 WHERE p_ent >= 0.45 AND p_ent - p_con >= 0.15 AND p_ent - p_con >= 0.25),
+{_CLIQUES[len(rel.EDGES) + 1:]}, {_CLUSTER_STEPS},
+clus AS (SELECT sample_id, members, row_number() OVER (PARTITION BY sample_id ORDER BY final_score DESC, array_to_string(list_transform(clique, lambda x: lpad(CAST(x AS VARCHAR), 3, '0')), ',')) AS cluster_rank FROM b WHERE r = 1),
+seen AS (SELECT 'image' AS stage, sample_id, label, NULL AS section_idx, doc_rank AS rank FROM docs JOIN kb USING (doc_idx) UNION ALL SELECT 'sections', sample_id, label, section_idx, section_rank FROM top
+  UNION ALL SELECT 'clusters', c.sample_id, label, section_idx, cluster_rank FROM (SELECT sample_id, cluster_rank, unnest(members) AS idx FROM clus) c JOIN cand ON cand.sample_id = c.sample_id AND cand.idx = c.idx),
+best AS (SELECT stage, q.sample_id, min(rank) FILTER (label = truth) AS document, min(rank) FILTER (label = truth AND q.sample_id % 300 <> 0 AND section_idx = (q.sample_id // 100) % 3) AS section FROM seen JOIN q USING (sample_id) GROUP BY ALL),
+lev AS (SELECT stage, 'document' AS level, document AS r FROM best UNION ALL SELECT stage, 'section', section FROM best)
+SELECT stage, level, CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (r <= k) AS BIGINT) AS hits, (SELECT count(*) FROM q) AS total, count(*) FILTER (r <= k) / (SELECT count(*) FROM q) AS recall FROM lev, (SELECT unnest([1, 3, 5]) AS k) GROUP BY stage, level, k""")
+def evidence_flow(spark, sf_dir):
+    kb = rel.knowledge_base(spark, sf_dir)
+    found = flows.retrieve(rel.samples(spark, sf_dir), rel.vectors(spark, sf_dir).select("vec_pos", "doc_idx", "vector"), kb, _FLOW)
+    rerank = F.col("similarity") * 4 - F.char_length("section_text") % 7 / 10.0 - F.col("section_idx") / 1000.0
+    top = flows.fuse(flows.candidates(found, kb).withColumn("rerank_score", rerank), _FLOW).withColumn("norm_title", text.normalize_title("source_title"))
+    cands = top.select("sample_id", F.col("idx").cast("int").alias("idx"), F.col("combined_score").alias("similarity"), F.char_length("section_text").alias("n"))
+    s = graph.section_pairs(cands).select("sample_id", "i", "j", ((F.col("similarity_i") + F.col("similarity_j")) / 4 + 0.5).alias("s"), ((F.col("n_i") + F.col("n_j")) % 5).alias("r"))
+    ent, con = F.col("s") * (1 - F.col("r") * 0.1), (1 - F.col("s")) * F.col("r") * 0.2  # synthetic, no model's output
+    relations = s.select("sample_id", "i", "j", ent.alias("ent_ij"), con.alias("con_ij"), (1 - ent - con).alias("neu_ij"), (ent * 0.9).alias("ent_ji"), con.alias("con_ji"), (1 - ent * 0.9 - con).alias("neu_ji"))
+    clusters = flows.cluster(cands, relations, _FLOW, "clique")
+    members = clusters.select("sample_id", "cluster_rank", F.explode("members").alias("idx")).join(top.select("sample_id", F.col("idx").cast("int").alias("idx"), "norm_title", "section_idx"), ["sample_id", "idx"])
+    seen = found.join(kb.select("doc_idx", "title"), "doc_idx").select("sample_id", F.lit("image").alias("stage"), text.normalize_title("title").alias("norm_title"), F.lit(None).cast("int").alias("section_idx"), F.col("doc_rank").alias("rank"))
+    seen = seen.union(top.select("sample_id", F.lit("sections"), "norm_title", "section_idx", "section_rank")).union(members.select("sample_id", F.lit("clusters"), "norm_title", "section_idx", "cluster_rank"))
+    return flows.evaluate(seen, rel.label_truth(spark, sf_dir, "things of label "), 5, ("stage",), "rank", "rank")
+
+
 def _consistent(spark, sf_dir):
     nodes = rel.candidates(spark, sf_dir).withColumn("strength", scores.strength("rerank", "similarity"))
     edges = graph.relation_edges(graph.average_relations(rel.relations(spark, sf_dir, nodes)), clamp=False, e_min=0.0, margin=-1.0, tau=0.2)
@@ -485,7 +561,9 @@ def frequent_answers(spark, sf_dir):
     return search.frequent_first(a, 3)
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split_regex(text, '[.\n]+ *'), lambda x: x <> '') AS p FROM documents)
+SELECT doc_id, coalesce(list_reduce(list_transform(p, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: contains(y, x[1]))) > 0 THEN kept ELSE list_concat(kept, x) END), []) AS kept FROM s WHERE len(p) > 0
+UNION ALL SELECT doc_id, []::VARCHAR[] FROM s WHERE len(p) = 0""")
 def caption_dedup(spark, sf_dir):
     d = rel.table(spark, sf_dir, "documents")
     return d.select("doc_id", search.without_contained(F.filter(F.split("text", r"[.\n]+ *"), lambda s: s != "")).alias("kept"))
@@ -631,6 +709,11 @@ def evidence_prompt(spark, sf_dir):
     return rel.table(spark, sf_dir, "documents").select("doc_id", prompts.evidence_prompt(F.split("text", "\n")).alias("prompt"))
 
 
+@query(f"""WITH {rel.ANSWERS} SELECT conv_id, turn, 'Question: ' || question || chr(10) || 'Context: ' || array_to_string(string_split(answer, chr(10))[1:3], chr(10)) || chr(10) || 'Answer with a short entity only.' AS prompt FROM answers""")
+def answer_prompt(spark, sf_dir):
+    return rel.answers(spark, sf_dir).select("conv_id", "turn", prompts.answer_prompt("question", F.split("answer", "\n")).alias("prompt"))
+
+
 @query(r"""WITH c AS (SELECT doc_id, lang AS q, string_split(text, chr(10)) AS l FROM documents), g AS (SELECT doc_id, q, l, unnest([2, 4, 5]) AS past, unnest([0, 2, 4]) AS start FROM c)
 SELECT doc_id, CAST(past // 2 AS BIGINT) AS part, q || ' \n ' || trim(lower(array_to_string(list_transform(l[start + 1:past], lambda x: trim(x) || '. '), ''))) AS input FROM g WHERE len(l) >= past""")
 def fid_inputs(spark, sf_dir):
@@ -665,13 +748,44 @@ def mean_loss(spark, sf_dir):
     return out.select(F.round("loss", 9).alias("loss"), "n")
 
 
-@query()
+#: Candidate and references: an assistant's turn, the user's, and the user's last line first.
+_CAPTIONS = r"""
+cap AS (SELECT conv_id, turn, lower(answer) AS c, [lower(question), lower(string_split(answer, chr(10))[-1])] AS rs FROM answers),
+side AS (SELECT conv_id, turn, s, list_filter(string_split_regex(x, '\s+'), lambda w: w <> '') AS w FROM (SELECT conv_id, turn, unnest([-1, 0, 1]) AS s, unnest([c, rs[1], rs[2]]) AS x FROM cap)),
+gram AS (SELECT conv_id, turn, s, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM side, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(w) >= n),
+tf AS (SELECT conv_id, turn, s, n, g, count(*) AS tf FROM gram GROUP BY ALL)"""
+
+
+def _captions(spark, sf_dir):
+    last = F.lower(F.element_at(F.split("answer", "\n"), -1))
+    return rel.answers(spark, sf_dir).select(F.struct("conv_id", "turn").alias("id"), F.lower("answer").alias("candidate"), F.array(F.lower("question"), last).alias("references"))
+
+
+@query(f"""WITH {rel.ANSWERS}, {_CAPTIONS},
+top AS (SELECT conv_id, turn, n, g, max(tf) AS most FROM tf WHERE s >= 0 GROUP BY ALL),
+m AS (SELECT a.n, sum(least(a.tf, coalesce(most, 0))) AS m, sum(a.tf) AS t FROM tf a LEFT JOIN top b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.n = b.n AND a.g = b.g WHERE s = -1 GROUP BY a.n),
+near AS (SELECT a.conv_id, a.turn, len(a.w) AS c, arg_min(len(b.w), (abs(len(b.w) - len(a.w)), len(b.w))) AS r FROM side a JOIN side b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.s = -1 AND b.s >= 0 GROUP BY a.conv_id, a.turn, len(a.w)),
+bp AS (SELECT CASE WHEN sum(c) >= sum(r) THEN 1.0::DOUBLE ELSE exp(1 - sum(r) / sum(c)) END AS bp FROM near),
+p AS (SELECT k, CASE WHEN min(m) = 0 THEN 0 ELSE exp(avg(ln(m / t))) END AS p FROM m, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE n <= k GROUP BY k)
+SELECT {', '.join(f"round(max(bp * p) FILTER (k = {k}), 6) AS bleu_{k}" for k in (1, 2, 3, 4))} FROM p, bp""")
 def caption_bleu(spark, sf_dir):
-    a = rel.answers(spark, sf_dir).select(F.lower("answer").alias("candidate"), F.array(F.lower("question"), F.lower(F.reverse(F.split("answer", "\n"))[0])).alias("references"))
-    out = metrics.bleu4(a)
+    out = metrics.bleu4(_captions(spark, sf_dir))
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
+@query(f"""WITH {rel.ANSWERS}, {_CAPTIONS},
+seen AS (SELECT n, g, count(DISTINCT (conv_id, turn)) AS df FROM tf WHERE s >= 0 GROUP BY ALL),
+w AS (SELECT tf.*, tf * (ln((SELECT count(*) FROM cap)::DOUBLE) - ln(coalesce(df, 1)::DOUBLE)) AS w FROM tf LEFT JOIN seen USING (n, g)),
+norm AS (SELECT conv_id, turn, s, n, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dots AS (SELECT a.conv_id, a.turn, b.s, a.n, sum(least(a.w, b.w) * b.w) AS dot FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.n = b.n AND a.g = b.g AND a.s = -1 AND b.s >= 0 GROUP BY ALL),
+sims AS (SELECT d.conv_id, d.turn, d.s, sum(CASE WHEN c.norm <> 0 AND r.norm <> 0 THEN dot / (c.norm * r.norm) ELSE 0 END) AS sim FROM dots d JOIN norm c ON c.conv_id = d.conv_id AND c.turn = d.turn AND c.s = -1 AND c.n = d.n
+  JOIN norm r ON r.conv_id = d.conv_id AND r.turn = d.turn AND r.s = d.s AND r.n = d.n GROUP BY ALL),
+pen AS (SELECT a.conv_id, a.turn, b.s, exp(-pow(greatest(len(a.w) - 1, 0) - greatest(len(b.w) - 1, 0), 2) / 72.0::DOUBLE) AS pen FROM side a JOIN side b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.s = -1 AND b.s >= 0)
+SELECT conv_id, turn, round(10 * avg(coalesce(sim, 0) * pen) / 4, 6) AS cider FROM pen LEFT JOIN sims USING (conv_id, turn, s) GROUP BY conv_id, turn""")
+def caption_cider(spark, sf_dir):
+    return metrics.cider(_captions(spark, sf_dir)).select("id.conv_id", "id.turn", r6("cider").alias("cider"))
+
+
 @query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
 SELECT vec_id, list_transform(range(1, least(4, 2 + vec_id % 5) + 1), lambda i: [round(x[i], 6), round(x[i + 10], 6), label::DOUBLE]) AS frames FROM e""")
 def feature_concat(spark, sf_dir):

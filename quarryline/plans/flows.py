@@ -48,18 +48,21 @@ def cluster(top: DataFrame, relations: DataFrame, cfg: Settings, mode: str = "co
     return graph.consistency_clusters(top.withColumn("strength", scores.strength(*have)), edges, cfg.target_size, cfg.hybrid_lambda)
 
 
-def evaluate(top: DataFrame, truth: DataFrame, max_k: int) -> DataFrame:
-    """Recall of documents and of sections over the ranked sections.
+def evaluate(top: DataFrame, truth: DataFrame, max_k: int, by: tuple[str, ...] = (), section_rank: str = "section_rank", doc_rank: str = "section_rank") -> DataFrame:
+    """(*by, level, k, hits, total, recall) of documents and of sections over ranked sections.
 
-    truth: sample_id, titles, pairs; samples without a title are left out, those
-    without a section count as misses.
+    top: sample_id, norm_title, section_idx, the ranks and the columns `by`. truth:
+    sample_id, titles, pairs; samples without a title are left out, those without a
+    section count as misses. A row with a null rank does not count.
     """
     known = truth.filter(F.col("titles").isNotNull())
-    both = top.join(known, "sample_id")
     title = F.exists("titles", lambda t: t == F.col("norm_title"))
     pair = F.exists("pairs", lambda p: (p["title"] == F.col("norm_title")) & (p["section_id"] == F.col("section_idx")))
-    out = None
-    for level, match in (("document", title), ("section", pair)):
-        one = metrics.recall_at(metrics.first_match(both, known, match, "section_rank"), "rank", max_k).withColumn("level", F.lit(level))
-        out = one if out is None else out.unionByName(one)
-    return out
+    best = top.join(known, "sample_id").groupBy("sample_id", *by).agg(F.min(F.when(title, F.col(doc_rank))).alias("document"), F.min(F.when(pair, F.col(section_rank))).alias("section"))
+    cells = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.lit(k).alias("k"), (F.col(level) <= k).alias("hit")) for level in ("document", "section") for k in metrics.k_values(max_k)])).alias("c")
+    asked = top.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.lit(k).alias("k")) for level in ("document", "section") for k in metrics.k_values(max_k)])).alias("c")).select("c.*")
+    hits = best.select(*by, cells).select(*by, "c.*").groupBy(*by, "level", "k").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"))
+    if not by:  # without a ranked section all is missed
+        hits = asked.join(hits, ["level", "k"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    total = F.broadcast(known.agg(F.count("*").alias("total")).withColumn("j", F.lit(1)))  # one row
+    return hits.withColumn("j", F.lit(1)).join(total, "j").select(*by, "level", "k", "hits", "total", (F.col("hits") / F.col("total")).alias("recall"))

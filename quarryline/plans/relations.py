@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, doubles
+from ..functions.vectors import cls_max, dot, doubles, logsumexp, maxsim
 from ..operators import search
 from ..operators.graph import section_pairs
 
@@ -97,6 +97,60 @@ edge AS (SELECT sample_id, i, j, least(1.0::DOUBLE, greatest(0.0::DOUBLE, p_ent
   WHERE p_ent >= {GATES['e_min']} AND p_ent - p_con >= {GATES['margin']} AND least(1.0::DOUBLE, greatest(0.0::DOUBLE, p_ent - p_con)) >= {GATES['tau']})"""
 
 
+def _token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).cast("long").alias("sec"), "vec_id", doubles("embedding").alias("x"))
+    rows = e.groupBy("sec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("t")).filter(F.size("t") == 8)
+    return rows.select("sec", F.transform("t", lambda r: r["x"]).alias("tokens"), F.transform("t", lambda r: r["vec_id"] % 5 != 0).alias("mask"))
+
+
+def section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the documents that image search finds for each sample, with the scores that late interaction ranks by.
+
+    A section is a run of eight vectors with one of its document in it, numbered
+    within the document; its vectors are its tokens, masked where their number divides
+    by 5. A sample asks with the first four of its own run.
+    """
+    tokens = _token_rows(spark, sf_dir)
+    own = vectors(spark, sf_dir).select("doc_idx", "label", F.floor(F.col("vec_pos") / 8).cast("long").alias("sec")).distinct().join(tokens, "sec")
+    sections = own.withColumn("section_idx", search.rank_by("doc_idx", F.asc("sec")) - 1)
+    ask = tokens.select(F.col("sec").alias("asked"), F.slice("tokens", 1, 4).alias("q"))
+    found = doc_hits(spark, sf_dir).select("sample_id", "doc_idx", "doc_rank", "score")
+    pairs = found.select("sample_id", "doc_idx", "doc_rank").join(sections, "doc_idx").withColumn("asked", F.floor(F.col("sample_id") / 8).cast("long")).join(F.broadcast(ask), "asked")
+    scored = pairs.select(
+        "sample_id", "doc_idx", "doc_rank", "label", "section_idx", cls_max("q", F.get("tokens", F.lit(0))).alias("cls_max"), maxsim("q", "tokens", "mask").alias("maxsim"), logsumexp("q", "tokens", "mask").alias("lse"),
+    )
+    return search.score_by_document(scored, found, "score").withColumnRenamed("score", "vision")
+
+
+SECTION_SCORES = DOC_HITS + """,
+tok AS (SELECT vec_id // 8 AS sec, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) FILTER (vec_id % 5 <> 0) AS kept, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS every FROM embeddings GROUP BY ALL HAVING count(*) = 8),
+own AS (SELECT DISTINCT doc_idx, label, vec_pos // 8 AS sec FROM v),
+sect AS (SELECT doc_idx, own.label, tok.*, row_number() OVER (PARTITION BY doc_idx ORDER BY sec) - 1 AS section_idx FROM own JOIN tok USING (sec)),
+prods AS (SELECT d.sample_id, d.truth, d.doc_idx, d.doc_rank, d.score AS vision, s.label, s.section_idx, list_transform(a.every[1:4], lambda x: list_transform(s.kept, lambda y: list_dot_product(x, y))) AS m, list_transform(a.every[1:4], lambda x: list_dot_product(x, s.every[1])) AS c
+  FROM doc_hits d JOIN sect s USING (doc_idx) JOIN tok a ON a.sec = d.sample_id // 8),
+sscore AS (SELECT sample_id, truth, doc_idx, doc_rank, vision, label, section_idx, list_max(c) AS cls_max, list_avg(list_transform(m, lambda r: list_max(r))) AS maxsim,
+  list_avg(list_transform(m, lambda r: list_max(r) + ln(list_sum(list_transform(r, lambda x: exp(x - list_max(r))))) - ln(len(r)::DOUBLE))) AS lse FROM prods),
+variants AS (SELECT * EXCLUDE (cls_max, maxsim, lse), unnest(['cls_max', 'maxsim', 'logsumexp', 'vision_maxsim', 'vision_cls_max']) AS variant, unnest([cls_max, maxsim, lse, 0.5::DOUBLE * vision + 0.5::DOUBLE * maxsim, 0.5::DOUBLE * vision + 0.5::DOUBLE * cls_max]) AS variant_score FROM sscore),
+vranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id, variant ORDER BY variant_score DESC, doc_rank, section_idx) AS section_rank FROM variants),
+vfirst AS (SELECT *, min(section_rank) OVER (PARTITION BY sample_id, variant, doc_idx) = section_rank AS first FROM vranked),
+vplaced AS (SELECT *, CASE WHEN NOT starts_with(variant, 'vision') THEN section_rank WHEN first THEN count(*) FILTER (first) OVER (PARTITION BY sample_id, variant ORDER BY section_rank) END AS doc_place FROM vfirst)"""
+
+
+def label_truth(spark: SparkSession, sf_dir: str, title: str) -> DataFrame:
+    """Truth by titles: that of the sample's label, and its section number sample_id / 100 mod 3; every third sample has no section."""
+    name = F.concat(F.lit(title), F.col("truth").cast("string"))
+    pair = F.struct(name.alias("title"), F.pmod(F.floor(F.col("sample_id") / 100), F.lit(3)).cast("int").alias("section_id"))
+    return samples(spark, sf_dir).select("sample_id", F.array(name).alias("titles"), F.filter(F.array(pair), lambda p: F.col("sample_id") % 300 != 0).alias("pairs"))
+
+
+def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each doc_idx of the vectors: a title by label, some naming lists, and the lines of one of `documents`."""
+    own = vectors(spark, sf_dir).select("doc_idx", "label", F.floor(F.col("vec_pos") / 30).cast("long").alias("run")).distinct()
+    title = F.concat(F.when(F.col("run") % 7 == 3, "List of things").otherwise("Things"), F.lit(" of label "), F.col("label").cast("string"), F.lit(" ("), F.col("run").cast("string"), F.lit(")"))
+    texts = titled(spark, sf_dir).select(F.col("doc_idx").alias("doc_id"), "section_titles", "section_texts")
+    return own.withColumn("doc_id", F.col("run") * 10 + F.col("label")).join(texts, "doc_id").select("doc_idx", title.alias("title"), "section_titles", "section_texts")
+
+
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a derived title and their lines as sections; some titles name lists, many repeat."""
     docs = table(spark, sf_dir, "documents")
