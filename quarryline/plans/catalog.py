@@ -399,46 +399,62 @@ def clique_clusters(spark, sf_dir):
 
 # The whole flow: documents by image, sections by blended scores, cliques of agreeing sections, and recall after each.
 
-_FLOW = config.settings(k=5, m=8, expand=60, softmax_temperature=0.5, e_min=0.45)
-
-
-@query(rf"""WITH {rel.TITLED},
+_FLOW = config.settings(k=20, m=8, expand=60, softmax_temperature=0.5, e_min=0.45)
+_FLOW_SQL = rf"""{rel.TITLED},
 v AS (SELECT vec_id AS vec_pos, CAST(label AS BIGINT) * 1000000 + vec_id // 30 AS doc_idx, label, vec_id // 30 AS run, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
 q AS (SELECT vec_pos AS sample_id, label AS truth, vector FROM v WHERE vec_pos % 100 = 0),
 kb AS (SELECT d.doc_idx, d.label, t.lines FROM (SELECT DISTINCT doc_idx, label, run FROM v WHERE run % 7 <> 3) d JOIN titled t ON t.doc_idx = d.run * 10 + d.label),
 hit AS (SELECT sample_id, v.doc_idx, vec_pos, list_dot_product(q.vector, v.vector) AS score FROM q JOIN v ON sample_id <> vec_pos SEMI JOIN kb ON kb.doc_idx = v.doc_idx),
 hr AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, vec_pos) AS rank FROM hit),
 h1 AS (SELECT *, row_number() OVER (PARTITION BY sample_id, doc_idx ORDER BY rank) AS n FROM hr WHERE rank <= 60),
-docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rank) AS doc_rank FROM h1 WHERE n = 1) WHERE doc_rank <= 5),
+docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rank) AS doc_rank FROM h1 WHERE n = 1) WHERE doc_rank <= 20),
 soft AS (SELECT *, exp(score / 0.5) / sum(exp(score / 0.5)) OVER (PARTITION BY sample_id) AS img_norm FROM docs),
 sec AS (SELECT s.*, kb.label, i AS section_idx, lines[i + 1] AS t FROM soft s JOIN kb USING (doc_idx), LATERAL (SELECT unnest(range(0, len(lines))) AS i)),
 fused AS (SELECT *, 0.3::DOUBLE * img_norm + 0.7::DOUBLE / (1 + exp(-(score * 4 - (length(t) % 7) / 10.0::DOUBLE - section_idx / 1000.0::DOUBLE))) AS combined FROM sec WHERE section_idx % 9 NOT IN (4, 7) AND regexp_matches(t, '\S')),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY combined DESC, doc_rank, section_idx) AS section_rank FROM fused) WHERE section_rank <= 8),
-cand AS (SELECT sample_id, CAST(section_rank - 1 AS INTEGER) AS idx, combined AS similarity, length(t) AS n, label, section_idx FROM top),
+cand AS (SELECT sample_id, CAST(section_rank - 1 AS INTEGER) AS idx, doc_idx, combined AS similarity, length(t) AS n, label, section_idx FROM top),
 pair AS (SELECT a.sample_id, a.idx AS i, b.idx AS j, (a.similarity + b.similarity) / 4 + 0.5::DOUBLE AS s, (a.n + b.n) % 5 AS r FROM cand a JOIN cand b ON a.sample_id = b.sample_id AND a.idx < b.idx),
 p1 AS (SELECT sample_id, i, j, s * (1 - r * 0.1::DOUBLE) * 0.95::DOUBLE AS p_ent, (1 - s) * r * 0.2::DOUBLE AS p_con FROM pair),
 edge AS (SELECT sample_id, i, j, least(1.0::DOUBLE, p_ent - p_con) AS weight FROM p1 WHERE p_ent >= 0.45 AND p_ent - p_con >= 0.15 AND p_ent - p_con >= 0.25),
 {_CLIQUES[len(rel.EDGES) + 1:]}, {_CLUSTER_STEPS},
-clus AS (SELECT sample_id, members, row_number() OVER (PARTITION BY sample_id ORDER BY final_score DESC, array_to_string(list_transform(clique, lambda x: lpad(CAST(x AS VARCHAR), 3, '0')), ',')) AS cluster_rank FROM b WHERE r = 1),
-seen AS (SELECT 'image' AS stage, sample_id, label, NULL AS section_idx, doc_rank AS rank FROM docs JOIN kb USING (doc_idx) UNION ALL SELECT 'sections', sample_id, label, section_idx, section_rank FROM top
-  UNION ALL SELECT 'clusters', c.sample_id, label, section_idx, cluster_rank FROM (SELECT sample_id, cluster_rank, unnest(members) AS idx FROM clus) c JOIN cand ON cand.sample_id = c.sample_id AND cand.idx = c.idx),
-best AS (SELECT stage, q.sample_id, min(rank) FILTER (label = truth) AS document, min(rank) FILTER (label = truth AND q.sample_id % 300 <> 0 AND section_idx = (q.sample_id // 100) % 3) AS section FROM seen JOIN q USING (sample_id) GROUP BY ALL),
-lev AS (SELECT stage, 'document' AS level, document AS r FROM best UNION ALL SELECT stage, 'section', section FROM best)
-SELECT stage, level, CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (r <= k) AS BIGINT) AS hits, (SELECT count(*) FROM q) AS total, count(*) FILTER (r <= k) / (SELECT count(*) FROM q) AS recall FROM lev, (SELECT unnest([1, 3, 5]) AS k) GROUP BY stage, level, k""")
-def evidence_flow(spark, sf_dir):
+clus AS (SELECT sample_id, members, row_number() OVER (PARTITION BY sample_id ORDER BY final_score DESC, array_to_string(list_transform(clique, lambda x: lpad(CAST(x AS VARCHAR), 3, '0')), ',')) AS cluster_rank, final_score FROM b WHERE r = 1)"""
+
+
+def _flow(spark, sf_dir):
+    """Documents found, sections kept and clusters."""
     kb = rel.knowledge_base(spark, sf_dir)
     found = flows.retrieve(rel.samples(spark, sf_dir), rel.vectors(spark, sf_dir).select("vec_pos", "doc_idx", "vector"), kb, _FLOW)
     rerank = F.col("similarity") * 4 - F.char_length("section_text") % 7 / 10.0 - F.col("section_idx") / 1000.0
-    top = flows.fuse(flows.candidates(found, kb).withColumn("rerank_score", rerank), _FLOW).withColumn("norm_title", text.normalize_title("source_title"))
-    cands = top.select("sample_id", F.col("idx").cast("int").alias("idx"), F.col("combined_score").alias("similarity"), F.char_length("section_text").alias("n"))
+    top = flows.fuse(flows.candidates(found, kb).withColumn("rerank_score", rerank), _FLOW).withColumns({"norm_title": text.normalize_title("source_title"), "idx": F.col("idx").cast("int")})
+    cands = top.select("sample_id", "idx", F.col("combined_score").alias("similarity"), F.char_length("section_text").alias("n"))
     s = graph.section_pairs(cands).select("sample_id", "i", "j", ((F.col("similarity_i") + F.col("similarity_j")) / 4 + 0.5).alias("s"), ((F.col("n_i") + F.col("n_j")) % 5).alias("r"))
     ent, con = F.col("s") * (1 - F.col("r") * 0.1), (1 - F.col("s")) * F.col("r") * 0.2  # synthetic, no model's output
     relations = s.select("sample_id", "i", "j", ent.alias("ent_ij"), con.alias("con_ij"), (1 - ent - con).alias("neu_ij"), (ent * 0.9).alias("ent_ji"), con.alias("con_ji"), (1 - ent * 0.9 - con).alias("neu_ji"))
-    clusters = flows.cluster(cands, relations, _FLOW, "clique")
-    members = clusters.select("sample_id", "cluster_rank", F.explode("members").alias("idx")).join(top.select("sample_id", F.col("idx").cast("int").alias("idx"), "norm_title", "section_idx"), ["sample_id", "idx"])
-    seen = found.join(kb.select("doc_idx", "title"), "doc_idx").select("sample_id", F.lit("image").alias("stage"), text.normalize_title("title").alias("norm_title"), F.lit(None).cast("int").alias("section_idx"), F.col("doc_rank").alias("rank"))
+    named = found.join(kb.select("doc_idx", text.normalize_title("title").alias("norm_title")), "doc_idx")
+    return named, top, flows.cluster(cands, relations, _FLOW, "clique")
+
+
+@query(f"WITH {_FLOW_SQL} SELECT sample_id, idx, doc_idx, CAST(section_idx AS INTEGER) AS section_idx, round(similarity, 6) AS combined FROM cand")
+def flow_sections(spark, sf_dir):
+    return _flow(spark, sf_dir)[1].select("sample_id", "idx", "doc_idx", "section_idx", r6("combined_score").alias("combined"))
+
+
+@query(f"WITH {_FLOW_SQL} SELECT sample_id, CAST(cluster_rank AS INTEGER) AS cluster_rank, members, round(final_score, 6) AS final_score FROM clus")
+def flow_clusters(spark, sf_dir):
+    return _flow(spark, sf_dir)[2].select("sample_id", "cluster_rank", "members", r6("final_score").alias("final_score"))
+
+
+@query(f"""WITH {_FLOW_SQL}, seen AS (SELECT 'image' AS stage, sample_id, label, NULL AS section_idx, doc_rank AS rank FROM docs JOIN kb USING (doc_idx) UNION ALL SELECT 'sections', sample_id, label, section_idx, section_rank FROM top
+  UNION ALL SELECT 'clusters', c.sample_id, label, section_idx, cluster_rank FROM (SELECT sample_id, cluster_rank, unnest(members) AS idx FROM clus) c JOIN cand ON cand.sample_id = c.sample_id AND cand.idx = c.idx),
+best AS (SELECT stage, q.sample_id, min(rank) FILTER (label = truth) AS document, min(rank) FILTER (label = truth AND q.sample_id % 300 <> 0 AND section_idx = (q.sample_id // 100) % 3) AS section FROM seen JOIN q USING (sample_id) GROUP BY ALL),
+lev AS (SELECT stage, 'document' AS level, document AS r FROM best UNION ALL SELECT stage, 'section', section FROM best)
+SELECT stage, level, CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (r <= k) AS BIGINT) AS hits, (SELECT count(*) FROM q) AS total, count(*) FILTER (r <= k) / (SELECT count(*) FROM q) AS recall FROM lev, {_KS} GROUP BY stage, level, k""")
+def evidence_flow(spark, sf_dir):
+    found, top, clusters = _flow(spark, sf_dir)
+    members = clusters.select("sample_id", "cluster_rank", F.explode("members").alias("idx")).join(top.select("sample_id", "idx", "norm_title", "section_idx"), ["sample_id", "idx"])
+    seen = found.select("sample_id", F.lit("image").alias("stage"), "norm_title", F.lit(None).cast("int").alias("section_idx"), F.col("doc_rank").alias("rank"))
     seen = seen.union(top.select("sample_id", F.lit("sections"), "norm_title", "section_idx", "section_rank")).union(members.select("sample_id", F.lit("clusters"), "norm_title", "section_idx", "cluster_rank"))
-    return flows.evaluate(seen, rel.label_truth(spark, sf_dir, "things of label "), 5, ("stage",), "rank", "rank")
+    return flows.evaluate(seen, rel.label_truth(spark, sf_dir, "things of label "), 20, ("stage",), "rank", "rank")
 
 
 def _consistent(spark, sf_dir):
