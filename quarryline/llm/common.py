@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -42,6 +43,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def trim() -> None:
+    """Gives memory that this worker has freed back to the system; without glibc only Arrow's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(batches, of: int, size: int = 1 << 20):
     """Record batches cut to runs of rows with about `size` bytes in string column `of`
     (a row at least), so that a worker holds few texts at a time."""
@@ -52,8 +62,8 @@ def slices(batches, of: int, size: int = 1 << 20):
             before = ends[a - 1] if a else 0
             past = max(a + 1, int(np.searchsorted(ends, before + size)))
             yield b.slice(a, past - a)
+            trim()
             a = past
-        pa.default_memory_pool().release_unused()
 
 
 def let(value: Column, body) -> Column:

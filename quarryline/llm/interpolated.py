@@ -33,9 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shared_folder, slices
+from .common import durable, shared_folder, slices, trim
 
-BATCH_BYTES, RUN_BATCHES = 12 << 20, 8
+BATCH_BYTES, RUN_BATCHES = 6 << 20, 8
 WORD, PAIR, SUMS = 0, 1, -1
 #: What stands for the end of a text and the start of one; no word has a space in it.
 END, START = np.uint64(xxhash.xxh64_intdigest(b"\n")), np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -106,28 +106,39 @@ class Batch:
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         flat = words.flatten()
         full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-        of = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))[full]
+        of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(words.offsets.to_numpy()))[full]
         code = flat.filter(pa.array(full)).dictionary_encode()
+        del words, flat, full
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in code.dictionary.cast(pa.binary()).to_pylist()] + [int(END)], np.uint64)
         self.words, rank = np.unique(hashes, return_inverse=True)
         n = np.bincount(of, minlength=len(texts))
+        del of
         self.lengths = n + 1  # with the end
         self.starts = np.cumsum(self.lengths) - self.lengths
         place = np.ones(self.lengths.sum(), bool)
         ends = self.starts + n
         place[ends] = False
-        self.word = np.empty(len(place), np.int64)  # of each token, its place in self.words
+        self.word = np.empty(len(place), np.int32)  # of each token, its place in self.words
         self.word[place] = rank[code.indices.to_numpy()]
         self.word[ends] = rank[-1]
         self.end = int(rank[-1])
-        before = np.roll(self.words[self.word], 1)
-        before[self.starts] = START
-        # c(start) = c(end), so a first token's context count is the end's.
-        self.context = np.roll(self.word, 1)
-        self.context[self.starts] = self.end
-        x = (before ^ (before >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + self.words[self.word]
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.pairs, self.pair = np.unique(x ^ (x >> np.uint64(32)), return_inverse=True)
+        del code, place
+        x = np.roll(self.words[self.word], 1)  # the word before
+        x[self.starts] = START
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        x += self.words[self.word]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        self.pairs, pair = np.unique(x, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+
+    @property
+    def context(self) -> np.ndarray:
+        """The place of the word before each token. c(start) = c(end), so a first token's is the end's."""
+        out = np.roll(self.word, 1)
+        out[self.starts] = self.end
+        return out
 
     def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Times that the training texts have each word, and each bigram."""
@@ -199,6 +210,7 @@ def _lists(parts: int):
             table = _opened(data)
             batch = Batch(_texts(table))
             train = ~table.column("held").to_numpy()
+            trim()
             for kind, keys, counts in zip((WORD, PAIR), (batch.words, batch.pairs), batch.counted(train), strict=True):
                 found[kind].append((keys, counts.astype(np.uint32), _cuts(keys, parts)))
         rows = []
@@ -232,6 +244,8 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     counts = np.concatenate([unpack_counts(x).astype(np.uint32) for x in pdf["counts"]])
     total, distinct = _totals(np.concatenate(keys), counts)
     kind, part = int(pdf["kind"].iloc[0]), int(pdf["part"].iloc[0])
+    del keys
+    trim()
     rows = [(r, kind, part, pack_counts(x), 0, 0) for r, x in zip(pdf["run"], np.split(total, ends[:-1]), strict=True)]
     return pd.DataFrame([*rows, (SUMS, kind, part, b"", distinct, int(counts.sum(dtype=np.int64)))], columns=["run", "kind", "part", "data", "distinct", "tokens"])
 
@@ -256,6 +270,8 @@ def _met(packs: pd.DataFrame, answers: pd.DataFrame, parts: int):
         table = _opened(data)
         batch = Batch(_texts(table))
         yield table, batch, take(WORD, batch.words), take(PAIR, batch.pairs)
+        del table, batch
+        trim()
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
