@@ -74,12 +74,21 @@ def section_split(spark, sf_dir):
     return segments.sections(rel.titled(spark, sf_dir))
 
 
-@query()
-def balanced_chunks(spark, sf_dir):
-    return segments.paragraphs(segments.sections(rel.titled(spark, sf_dir)), 400).select("doc_idx", "section_idx", "paragraph_idx", "section_title", "section_text")
+_SENT = r"list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 
 
-_SENT = r"list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+# A fold over sentences; what has been joined so far is the struct of the last sentence.
+@query(rf"""WITH {rel.TITLED}, s AS (SELECT doc_idx, unnest(range(0, len(lines))) AS i, unnest(lines) AS text FROM titled),
+n AS (SELECT doc_idx, i, 'Part ' || i AS section_title, {_SENT.replace("text,", "trim(text, ' ' || chr(9) || chr(10) || chr(13)),", 1)} AS p FROM s WHERE i % 9 NOT IN (4, 7) AND regexp_matches(text, '\S')),
+z AS (SELECT *, list_sum(list_transform(p, lambda x: length(x) + 1)) AS size FROM n WHERE len(p) > 0),
+f AS (SELECT *, list_reduce(list_transform(p, lambda x: {{'done': []::VARCHAR[], 'cur': [x], 'n': length(x) + 1, 'rest': size, 'want': greatest(1, ceil(size / 400.0))}}), lambda a, x:
+  CASE WHEN a.n + x.n > 400 OR a.n >= a.rest / greatest(1, a.want - len(a.done)) THEN {{'done': list_append(a.done, array_to_string(a.cur, ' ')), 'cur': x.cur, 'n': x.n, 'rest': a.rest - a.n, 'want': a.want}}
+  ELSE {{'done': a.done, 'cur': list_concat(a.cur, x.cur), 'n': a.n + x.n, 'rest': a.rest, 'want': a.want}} END) AS f FROM z),
+c AS (SELECT doc_idx, i, section_title, list_append(f.done, array_to_string(f.cur, ' ')) AS c FROM f),
+u AS (SELECT doc_idx, i, section_title, unnest(range(0, len(c))) AS k, unnest(c) AS section_text FROM c)
+SELECT doc_idx, CAST(i AS INTEGER) AS section_idx, CAST(k AS INTEGER) AS paragraph_idx, section_title || ' [para ' || k || ']' AS section_title, section_text FROM u""")
+def balanced_chunks(spark, sf_dir):
+    return segments.paragraphs(segments.sections(rel.titled(spark, sf_dir)), 400).select("doc_idx", "section_idx", "paragraph_idx", "section_title", "section_text")
 
 
 @query(rf"""WITH s AS (SELECT doc_id AS doc_idx, {_SENT.replace("text,", "trim(text, ' ' || chr(9) || chr(10) || chr(13)),", 1)} AS p FROM documents)
@@ -463,13 +472,50 @@ def _consistent(spark, sf_dir):
     return graph.consistency_clusters(nodes, edges)
 
 
-@query()
+# Pruning as a table of steps: for each set of sections (a mask) the one whose removal raises consistency most, if any does, and the one that adds least.
+_CONSISTENT = rel.RELATIONS + f""",
+edge AS (SELECT sample_id, i, j, greatest(0.0::DOUBLE, p_ent - p_con) AS w FROM rel WHERE greatest(0.0::DOUBLE, p_ent - p_con) >= 0.2),
+dirs AS (SELECT sample_id, i AS a, j AS b, w FROM edge UNION ALL SELECT sample_id, j, i, w FROM edge),
+path0 AS (SELECT sample_id, idx AS a, idx AS b FROM cand UNION SELECT sample_id, a, b FROM dirs), path1 AS (SELECT DISTINCT x.sample_id, x.a, y.b FROM path0 x JOIN path0 y ON x.sample_id = y.sample_id AND x.b = y.a),
+path2 AS (SELECT DISTINCT x.sample_id, x.a, y.b FROM path1 x JOIN path1 y ON x.sample_id = y.sample_id AND x.b = y.a), path3 AS (SELECT DISTINCT x.sample_id, x.a, y.b FROM path2 x JOIN path2 y ON x.sample_id = y.sample_id AND x.b = y.a),
+part AS (SELECT sample_id, comp, bit_or(1 << a) AS mask FROM (SELECT sample_id, a, min(b) AS comp FROM path3 GROUP BY ALL) GROUP BY ALL),
+mask AS (SELECT sample_id, unnest(range(1, 1 << {rel.M})) AS mask FROM q),
+own AS (SELECT m.sample_id, mask, idx, coalesce((SELECT sum(w) FROM dirs e WHERE e.sample_id = m.sample_id AND e.a = idx AND (mask & (1 << b)) <> 0), 0) AS own FROM mask m JOIN cand c ON c.sample_id = m.sample_id AND (mask & (1 << idx)) <> 0),
+raw AS (SELECT sample_id, mask, count(*) AS n, sum(own) / 2 AS total, CASE WHEN count(*) > 1 THEN sum(own) / (count(*) * (count(*) - 1)) ELSE 0 END AS raw FROM own GROUP BY ALL),
+gain AS (SELECT *, CASE WHEN n > 2 THEN 2 * (total - own) / ((n - 1) * (n - 2)) ELSE 0 END - raw AS gain FROM own JOIN raw USING (sample_id, mask) WHERE n > 3),
+step AS (SELECT sample_id, mask, arg_min(idx, (-round(gain, 11), idx)) FILTER (gain > 1e-12) AS first, arg_min(idx, (round(own, 11), idx)) AS second FROM gain GROUP BY ALL)"""
+
+
+def _pruned_sql(start: str) -> str:
+    """Steps from the masks of `start` (sample_id, comp, mask) down to three sections."""
+    return f"""(WITH RECURSIVE p AS (SELECT sample_id, comp, mask, true AS rising FROM {start} UNION ALL
+  SELECT p.sample_id, comp, p.mask & ~(1 << CASE WHEN rising AND first IS NOT NULL THEN first ELSE second END), rising AND first IS NOT NULL FROM p JOIN step ON step.sample_id = p.sample_id AND step.mask = p.mask)
+  SELECT sample_id, comp, arg_min(mask, bit_count(mask)) AS mask FROM p GROUP BY ALL)"""
+
+
+_CONSISTENT += f""",
+kept AS {_pruned_sql('part')},
+gone AS (SELECT sample_id, comp, part.mask & ~kept.mask AS mask FROM part JOIN kept USING (sample_id, comp) WHERE part.mask <> kept.mask),
+g0 AS (SELECT g.sample_id, comp, idx AS a, idx AS b FROM gone g JOIN cand c ON c.sample_id = g.sample_id AND (mask & (1 << idx)) <> 0 UNION SELECT g.sample_id, comp, a, b FROM gone g JOIN dirs e ON e.sample_id = g.sample_id AND (mask & (1 << a)) <> 0 AND (mask & (1 << b)) <> 0),
+g1 AS (SELECT DISTINCT x.sample_id, x.comp, x.a, y.b FROM g0 x JOIN g0 y ON x.sample_id = y.sample_id AND x.comp = y.comp AND x.b = y.a), g2 AS (SELECT DISTINCT x.sample_id, x.comp, x.a, y.b FROM g1 x JOIN g1 y ON x.sample_id = y.sample_id AND x.comp = y.comp AND x.b = y.a),
+g3 AS (SELECT sample_id, comp * 100 + min_b AS comp, bit_or(1 << a) AS mask FROM (SELECT sample_id, comp, a, min(b) AS min_b FROM g2 GROUP BY ALL) GROUP BY ALL),
+again AS {_pruned_sql('g3')},
+found AS (SELECT sample_id, 'kept' AS type, comp, mask FROM kept UNION ALL SELECT sample_id, 'removed', comp, mask FROM again WHERE bit_count(mask) >= 3),
+norms AS (SELECT sample_id, idx, CASE WHEN max(rerank) OVER w > min(rerank) OVER w THEN (rerank - min(rerank) OVER w) / (max(rerank) OVER w - min(rerank) OVER w) ELSE 0 END AS norm FROM cand WINDOW w AS (PARTITION BY sample_id)),
+mean AS (SELECT f.sample_id, type, f.mask, raw, avg(norm) AS mean, list(idx ORDER BY idx) AS members FROM found f JOIN raw USING (sample_id, mask) JOIN norms n ON n.sample_id = f.sample_id AND (f.mask & (1 << idx)) <> 0 GROUP BY ALL),
+scaled AS (SELECT *, CASE WHEN max(raw) OVER w > min(raw) OVER w THEN (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) ELSE 0 END AS scaled FROM mean WINDOW w AS (PARTITION BY sample_id)),
+clusters AS (SELECT *, 0.5::DOUBLE * scaled + 0.5::DOUBLE * mean AS hybrid, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY 0.5::DOUBLE * scaled + 0.5::DOUBLE * mean DESC) AS INTEGER) AS cluster_rank FROM scaled)"""
+
+
+@query(f"WITH {_CONSISTENT} SELECT sample_id, cluster_rank, type, members, round(raw, 6) AS consistency_raw, round(scaled, 6) AS consistency_norm, round(mean, 6) AS section_norm_avg, round(hybrid, 6) AS hybrid_score FROM clusters")
 def consistency_clusters(spark, sf_dir):
     out = _consistent(spark, sf_dir)
     return out.select("sample_id", "cluster_rank", "type", "members", *[r6(c).alias(c) for c in ("consistency_raw", "consistency_norm", "section_norm_avg", "hybrid_score")])
 
 
-@query()
+@query(f"""WITH {_CONSISTENT}, m AS (SELECT sample_id, cluster_rank, unnest(members) AS idx FROM clusters),
+best AS (SELECT q.sample_id, min(cluster_rank) FILTER (v.label = q.truth) AS r FROM q LEFT JOIN m USING (sample_id) LEFT JOIN cand c ON c.sample_id = m.sample_id AND c.idx = m.idx LEFT JOIN v ON v.vec_pos = c.vec_pos GROUP BY q.sample_id)
+SELECT CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (r <= k) AS BIGINT) AS hits, count(*) AS total, count(*) FILTER (r <= k) / count(*) AS recall FROM best, (SELECT unnest([1, 3, 5]) AS k) GROUP BY k""")
 def cluster_recall(spark, sf_dir):
     s, labels = rel.samples(spark, sf_dir), rel.vectors(spark, sf_dir).select("vec_pos", "label")
     each = _consistent(spark, sf_dir).select("sample_id", "cluster_rank", F.explode("members").alias("idx")).join(rel.candidates(spark, sf_dir).select("sample_id", "idx", "vec_pos"), ["sample_id", "idx"])
