@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +29,15 @@ def sections(docs: DataFrame) -> DataFrame:
     return out.filter(~is_excluded_section("section_title") & ~is_blank("section_text"))
 
 
-def sentences_of(text: Column) -> Column:
-    """An approximation: a sentence ends with . ! or ? and white space. Abbreviations are not known."""
-    return F.filter(F.split(strip(text), SENTENCE_END), lambda s: s != "")
+def sentences_of(text: Column, abbreviations: tuple[str, ...] = ()) -> Column:
+    """An approximation: a sentence ends with . ! or ? and white space, but not after one of the abbreviations, named without their full stop."""
+    not_after = "".join(rf"(?<!\b{re.escape(a)}\.)" for a in abbreviations)
+    return F.filter(F.split(strip(text), SENTENCE_END.replace(r"\s+", not_after + r"\s+")), lambda s: s != "")
 
 
-def sentences(sections_: DataFrame) -> DataFrame:
+def sentences(sections_: DataFrame, abbreviations: tuple[str, ...] = ()) -> DataFrame:
     """A row for each sentence: section columns, sentence_idx, and the title with ` [sent i]`."""
-    each = sections_.select("*", F.posexplode(sentences_of(F.col("section_text"))).alias("sentence_idx", "s"))
+    each = sections_.select("*", F.posexplode(sentences_of(F.col("section_text"), abbreviations)).alias("sentence_idx", "s"))
     return each.withColumn("section_title", F.concat("section_title", F.lit(" [sent "), F.col("sentence_idx").cast("string"), F.lit("]"))).withColumn("section_text", F.col("s")).drop("s")
 
 

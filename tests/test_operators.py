@@ -234,3 +234,114 @@ def test_shortlists(spark):
     s = spark.createDataFrame([(1, 1, 0, "t", [1.0, 0.0]), (1, 2, 0, "u", [1.0, 0.0])], "sample_id long, doc_idx long, section_idx int, source_title string, vector array<double>")
     h = spark.createDataFrame([(1, "t", [1.0, 1.0]), (1, "t", [2.0, 0.0])], "sample_id long, title string, vector array<double>")
     assert {(r.doc_idx, r.similarity) for r in search.cosine_by_title(s, h).collect()} == {(1, 1.0), (2, -1.0)}
+
+
+def test_components_by_masks_equal_those_by_joins(spark):
+    import random
+
+    from quarryline.operators import graph
+
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(s, i) for s in range(6) for i in range(60)], "sample_id long, idx int")
+    edges = spark.createDataFrame([(s, *sorted(rng.sample(range(60), 2))) for s in range(6) for _ in range(35)], "sample_id long, i int, j int")
+    by_masks, by_joins = ({(r.sample_id, r.idx): r.component for r in graph.components(nodes, edges, m).collect()} for m in (60, 63))
+    assert by_masks == by_joins and len(by_masks) == 360
+
+
+def test_rankings_of_five_scores(spark):
+    from quarryline.operators import search
+
+    rows = [(1, 10, 1, 0, 0.9, 0.1, 0.5, 0.2), (1, 10, 1, 1, 0.9, 0.3, 0.4, 0.1), (1, 20, 2, 0, 0.1, 0.2, 0.9, 0.3)]
+    d = spark.createDataFrame(rows, "sample_id long, doc_idx long, doc_rank int, section_idx int, vision double, cls_max double, maxsim double, lse double")
+    got = {}
+    for r in search.rank_variants(d).orderBy("variant", "section_rank").collect():
+        got.setdefault(r.variant, []).append((r.doc_idx, r.section_idx, r.doc_place))
+    assert got["cls_max"] == [(10, 1, 1), (20, 0, 2), (10, 0, 3)]
+    assert got["logsumexp"] == [(20, 0, 1), (10, 0, 2), (10, 1, 3)]
+    assert got["vision_maxsim"] == [(10, 0, 1), (10, 1, None), (20, 0, 2)]  # documents count once
+    assert got["vision_cls_max"] == [(10, 1, 1), (10, 0, None), (20, 0, 2)]
+
+
+def test_score_by_document_is_zero_where_there_is_none(spark):
+    from quarryline.operators import search
+
+    sections = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "sample_id long, doc_idx long")
+    found = search.score_by_document(sections, spark.createDataFrame([(1, 5, 0.7)], "sample_id long, doc_idx long, v double"), "v")
+    assert {(r.sample_id, r.doc_idx): r.v for r in found.collect()} == {(1, 5): 0.7, (1, 6): 0.0, (2, 5): 0.0}
+
+
+def test_first_tokens_are_cut_and_filled_up(spark):
+    from quarryline.functions import vectors
+
+    d = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], [True, True])], "t array<array<double>>, m array<boolean>")
+    for n, tokens, mask in ((1, [[1.0, 2.0]], [True]), (3, [[1.0, 2.0], [3.0, 4.0], [0.0, 0.0]], [True, True, False])):
+        t, m = vectors.first_tokens("t", "m", n)
+        assert tuple(d.select(t, m).first()) == (tokens, mask)
+
+
+def test_captions_stop_at_n(spark):
+    from quarryline.operators import search
+
+    d = spark.createDataFrame([(["a cat", "cat", "dog", "a dog", "sun"],)], "c array<string>")
+    assert d.select(search.without_contained(F.col("c"))).first()[0] == ["a cat", "dog", "a dog", "sun"]
+    assert d.select(search.without_contained(F.col("c"), 2)).first()[0] == ["a cat", "dog"]
+
+
+def test_many_blocks_of_queries_give_the_same_hits(spark):
+    import numpy as np
+
+    from quarryline.operators import search
+
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "vec_pos long, vector array<double>")
+    q = v.filter("vec_pos % 3 = 0").withColumnRenamed("vec_pos", "sample_id")
+    one, many = (sorted(map(tuple, search.top_k(q, v, 5, n).select("sample_id", "vec_pos", "rank").collect())) for n in (4096, 9))
+    assert one == many and len(one) == 500
+    assert search.top_k(q.limit(0), v, 5).count() == 0
+
+
+def cider_by_hand(rows, sigma=6.0):
+    """Consensus scores from the definition, row by row."""
+    import math
+    from collections import Counter
+
+    def grams(text, n):
+        w = (text or "").split()
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    out = {}
+    for key, cand, refs in rows:
+        score = []
+        for ref in refs:
+            total = 0.0
+            for n in range(1, 5):
+                df = Counter(g for _, _, rs in rows for g in set().union(*(grams(r, n) for r in rs)))
+                weigh = lambda t: {g: c * (math.log(len(rows)) - math.log(max(1, df[g]))) for g, c in grams(t, n).items()}  # noqa: B023,E731
+                c, r = weigh(cand), weigh(ref)
+                norm = math.sqrt(sum(x * x for x in c.values())) * math.sqrt(sum(x * x for x in r.values()))
+                dot = sum(min(x, r[g]) * r[g] for g, x in c.items() if g in r)
+                total += dot / norm if norm else 0.0
+            off = sum(grams(cand, 2).values()) - sum(grams(ref, 2).values())
+            score.append(total / 4 * math.exp(-off * off / (2 * sigma * sigma)))
+        out[key] = 10 * sum(score) / len(score) if score else 0.0
+    return out
+
+
+def test_cider_equals_the_definition(spark):
+    from quarryline.operators import metrics
+
+    rows = [(1, "a cat sits on a mat", ["the cat sits on the mat", "a cat on a mat"]), (2, "a dog runs", ["a dog runs fast", "the dog"]), (3, "", ["nothing here"]), (4, "a red sun", []), (5, None, ["x"]), (6, "the sky is blue", ["the sky is blue"])]
+    d = spark.createDataFrame(rows, "id long, candidate string, references array<string>")
+    for hot in (0, 3, 10_000):
+        got = {r.id: r.cider for r in metrics.cider(d, hot_grams=hot).collect()}
+        want = cider_by_hand(rows)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want), (got, want)
+    assert metrics.cider(d.limit(0)).count() == 0
+
+
+def test_sentences_do_not_end_after_abbreviations(spark):
+    from quarryline.operators import segments
+
+    d = spark.createDataFrame([("Dr. No met Mr. Bond. They left! At 5 p.m. sharp?",)], "t string")
+    assert d.select(segments.sentences_of(F.col("t"), ("Dr", "Mr", "p.m"))).first()[0] == ["Dr. No met Mr. Bond.", "They left!", "At 5 p.m. sharp?"]
+    assert d.select(segments.sentences_of(F.col("t"))).first()[0][0] == "Dr."

@@ -55,6 +55,50 @@ def test_scorers(spark):
     assert rows[0]["stage"] == "x" and rows[0]["latency_s"] > 0
 
 
+def test_encoders_and_lemmatisers(spark):
+    for registry, name in ((scorers._ENCODERS, "len"), (scorers._LEMMATISERS, "s")):
+        registry.pop(name, None)
+
+    @scorers.register_encoder("len")
+    def encoder():
+        return lambda texts: [[3.0 * len(t), 4.0 * len(t)] for t in texts]
+
+    @scorers.register_lemmatiser("s")
+    def lemmatiser():
+        return lambda texts: [[(w, w.rstrip("s"), "NOUN" if w.endswith("s") else "OTHER") for w in t.split()] for t in texts]
+
+    d = spark.createDataFrame([("two dogs",), (None,)], "t string")
+    rows = d.select(scorers.text_encoder("len")("t").alias("v"), scorers.text_encoder("len", unit=True)("t").alias("u"), scorers.lemmatised("s")("t").alias("l")).collect()
+    assert rows[0].v == [24.0, 32.0] and [round(x, 9) for x in rows[0].u] == [0.6, 0.8] and rows[0].l == "two dog"
+    assert rows[1].v == [0.0, 0.0] and rows[1].l == ""
+
+
+def test_meter_of_energy_and_memory():
+    import time
+
+    rows, calls = [], []
+
+    def watts():
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("no reading")
+        return 10.0
+
+    with scorers.stage_meter("x", rows, watts=watts, peak_gb=lambda: 1.5, poll_s=0.02):
+        time.sleep(0.3)
+    assert rows[0]["peak_vram_gb"] == 1.5 and 0.8 * 10 * 0.25 < rows[0]["energy_j"] < 1.2 * 10 * rows[0]["latency_s"]
+
+
+def test_recall_by_title_and_section_counts_every_sample(spark):
+    top = spark.createDataFrame([(1, "a", 0, 1, 1), (1, "b", 1, 2, None), (2, "x", 0, 1, 1)], "sample_id long, norm_title string, section_idx int, section_rank int, doc_place int")
+    truth = spark.createDataFrame([(1, ["b"], [("b", 1)]), (2, ["x"], []), (3, ["y"], [("y", 0)]), (4, None, None)], "sample_id long, titles array<string>, pairs array<struct<title: string, section_id: int>>")
+    got = {(r.level, r.k): (r.hits, r.total) for r in flows.evaluate(top, truth, 3).collect()}
+    assert got == {("document", 1): (1, 3), ("document", 3): (2, 3), ("section", 1): (0, 3), ("section", 3): (1, 3)}
+    placed = {(r.level, r.k): r.hits for r in flows.evaluate(top, truth, 3, doc_rank="doc_place").collect()}
+    assert placed["document", 3] == 1  # a null place does not count
+    assert {r.hits for r in flows.evaluate(top.limit(0), truth, 3).collect()} == {0}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").alias("latency_s"))
     e.write.parquet(str(tmp_path / "in"))

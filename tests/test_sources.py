@@ -108,3 +108,25 @@ def test_unreadable_images_are_blank(spark, tmp_path):
     w = spark.createDataFrame([(1, str(tmp_path / "1.jpg")), (2, "/none.jpg")], "sample_id long, path string")
     got = {r.sample_id: bytes(r.content) for r in readers.image_bytes(spark, w, str(tmp_path), b"blank").collect()}
     assert got == {1: b"img", 2: b"blank"}
+
+
+def test_image_bytes_by_name_and_by_folder(spark, tmp_path):
+    for n in ("a", "b", "c"):
+        (tmp_path / f"{n}.jpg").write_bytes(n.encode())
+    w = spark.createDataFrame([(1, f"{tmp_path}/a.jpg"), (2, f"{tmp_path}/b.jpg"), (3, f"{tmp_path}/gone.jpg")], "sample_id long, path string")
+    for listed in (10, 1):
+        got = {r.sample_id: bytes(r.content) for r in readers.image_bytes(spark, w, str(tmp_path), b"blank", listed).collect()}
+        assert got == {1: b"a", 2: b"b", 3: b"blank"}
+
+
+def test_arrays(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    np.save(tmp_path / "m.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
+    np.save(tmp_path / "v.npy", np.array([7, 8]))
+    rows = {(r.path.rsplit("/", 1)[1], r.row): list(r["values"]) for r in readers.arrays(spark, f"{tmp_path}/*.npy").collect()}
+    assert rows == {("m.npy", 0): [0.0, 1.0], ("m.npy", 1): [2.0, 3.0], ("m.npy", 2): [4.0, 5.0], ("v.npy", 0): [7.0, 8.0]}
+    np.save(tmp_path / "o.npy", np.array([{}], object))
+    with pytest.raises(Exception, match="allow_pickle"):
+        readers.arrays(spark, f"{tmp_path}/o.npy").collect()
