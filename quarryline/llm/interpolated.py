@@ -362,7 +362,8 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     packs = packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held")), batch_bytes, run_batches)
     parts = parts or parts_for(packs.agg(F.sum("bytes")).first()[0] or 0)
     lists = packs.groupBy("run").applyInPandas(_lists(parts), "run long, kind int, part int, keys binary, counts binary")
-    answers = durable(lists.groupBy("kind", "part").applyInPandas(_answers, "run long, kind int, part int, data binary, distinct long, tokens long"))
+    dealt = lists.repartition(min(20_000, 2 * parts), "kind", "part")  # tasks follow the text as parts do
+    answers = durable(dealt.groupBy("kind", "part").applyInPandas(_answers, "run long, kind int, part int, data binary, distinct long, tokens long"))
     sums = answers.filter((F.col("run") == SUMS) & (F.col("kind") == WORD)).agg(F.sum("distinct"), F.sum("tokens")).first()
     types, tokens = int(sums[0] or 0), int(sums[1] or 0)
 
