@@ -34,7 +34,7 @@ UNKNOWN_PENALTY = 10.0
 #: Chunks of more bytes are encoded one by one: array operations gain nothing there.
 LONG_CHUNK = 256
 _SPACES = re.compile(" +")
-BATCH_BYTES = 3 << 19
+BATCH_BYTES = 3 << 18
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
