@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 from bisect import bisect_right
 
 import numpy as np
@@ -107,10 +108,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(k, a, b) for k, f in _BASE.items() for a, b in f(text)]
 
 
+#: Openings of access tokens that their issuers publish; fixed values.
+ISSUED = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "AKIA", "ASIA", "AIza", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk-", "sk_live_", "rk_live_", "hf_", "npm_", "pypi-")
+
 #: Words before a value that tell what it is; fixed values.
 CUES = {
     "secret": ("token", "key", "secret", "password", "passwd", "pwd", "apikey", "auth", "bearer"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "tel."),
+    "pass": ("password", "passwd", "pwd", "passwort", "passphrase"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "telefax", "mobil", "handy", "rufnummer", "telephone"),
+    "digest": ("commit", "md5", "sha", "sha1", "sha256", "hash", "checksum", "id", "uuid", "revision"),
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
     "ip": ("ip", "host", "server", "address"),
     "email": ("mail", "email", "e-mail", "contact"),
@@ -122,9 +128,16 @@ _SHAPES = {
     "grouped": re.compile(r"[0-9]{4}(?:[ -][0-9]{4}){2,3}[ -]?[0-9]{0,4}\Z"),
     "national": re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}\Z"),
     "international": re.compile(r"\+[0-9][ ().0-9-]+[0-9]\Z"),
+    "trunk": re.compile(r"\(?0[1-9][0-9]{1,4}\)?[ /-]{1,3}[0-9]{3,8}(?:[ -][0-9]{1,4}){0,2}\Z"),
+    "pairs": re.compile(r"0[1-9](?:[ .-][0-9]{2}){4}\Z"),
     "hex": re.compile(r"[0-9a-fA-F]{24,}\Z"),
     "prefixed": re.compile(r"[A-Za-z]{2,6}[-_][A-Za-z0-9_-]{16,}\Z"),
     "mixed": re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]{16,}\Z"),
+    "short mixed": re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]{8,15}\Z"),
+    "base64": re.compile(r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])(?=.*[+/])[A-Za-z0-9+/]{24,}\Z"),
+    "issued": re.compile(f"(?:{'|'.join(ISSUED)})(?=.*[0-9])[A-Za-z0-9_-]{{16,}}\\Z"),
+    "signed": re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\Z"),
+    "groups": re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z"),
     "date": re.compile(r"(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4})\Z"),
     "decimal": re.compile(r"[0-9]{1,3}(?:[.,][0-9]+)+\Z"),
     "time": re.compile(r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\Z"),
@@ -161,7 +174,7 @@ def features(text: str, start: int, end: int, tokens: int, before: str) -> list[
     d = _digits(s)
     if "shape:quad" in out and all(int(x) <= 255 for x in s.split(".")):
         out.append("octets")
-    if 16 <= len(d) <= 19 and luhn(d):
+    if 16 <= len(d) <= 19 and len(d) + s.count(" ") + s.count("-") == len(s) and luhn(d):
         out.append("luhn")
     n = len(d)
     out.append("digits:1-6" if n <= 6 else "digits:7-9" if n <= 9 else "digits:10-11" if n <= 11 else "digits:12-15" if n <= 15 else "digits:16-19" if n <= 19 else "digits:20+")
@@ -304,8 +317,19 @@ def example(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
                 break
         return rng.choice((d, d, " ".join(d[i : i + 4] for i in range(0, n, 4)), "-".join(d[i : i + 4] for i in range(0, n, 4))))
 
+    def letters(n: int) -> str:
+        """A run of n letters and digits with a digit in it."""
+        at = rng.randrange(n)
+        return "".join(rng.choice("0123456789") if i == at else rng.choice(string.ascii_letters + string.digits) for i in range(n))
+
+    def hexadecimal(n: int) -> str:
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "7a"
+
+    def groups() -> str:
+        return "-".join(hexadecimal(n) for n in (8, 4, 4, 4, 12))
+
     def value() -> tuple[str, str, str]:
-        pick = rng.randrange(17)
+        pick = rng.randrange(28)
         if pick < 2:
             return "email", rng.choice(("", "", "email ", "contact: ")), f"{word().encode('ascii', 'ignore').decode() or 'a'}{rng.choice(('.', '_', ''))}{number(2)}@{rng.choice(('mail', 'post', 'box'))}{rng.choice('0123456789')}.example.{rng.choice(('com', 'org', 'net'))}"
         if pick < 4:
@@ -314,13 +338,30 @@ def example(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
             return "card", rng.choice(("", "", "card ", "visa: ")), card(True)
         if pick < 8:
             a, b, c = number(3), number(3), number(4)
-            return "phone", rng.choice(("", "phone ", "call ", "tel: ")), rng.choice((f"+1 ({a}) {b}-{c}", f"+{number(2)} {number(3)} {number(7)}", f"({a}) {b}-{c}", f"{a}-{b}-{c}"))
-        if pick < 11:
-            s = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((32, 40, 40, 64))))
-            s = rng.choice((s, s, s.upper(), "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789") for _ in range(24)) + "7a", f"sk-{s[:28]}9f"))
-            return "secret", rng.choice(('token = "', "TOKEN = \"", "api_key: ", "secret=", "password = '", "key = \"")), s
+            return "phone", rng.choice(("", "phone ", "call ", "tel: ")), rng.choice((f"+1 ({a}) {b}-{c}", f"+{number(2)} {number(3)} {number(7)}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"))
+        if pick < 10:
+            pairs = rng.choice(" .-").join([f"0{rng.randint(1, 9)}", *(number(2) for _ in range(4))])
+            own = f"0{rng.randint(1, 9)}{number(rng.randint(1, 3))}"
+            return "phone", rng.choice(("Telefon: ", "Tel. ", "tel: ", "Mobil ", "Fax ", "phone ")), rng.choice((pairs, f"{own} {number(rng.randint(5, 8))}", f"{own}/{number(rng.randint(5, 8))}", f"({own}) {number(4)} {number(3)}", f"{own}-{number(6)}"))
+        if pick < 13:
+            long = hexadecimal(rng.choice((32, 40, 40, 64)))
+            long = rng.choice((long, long, long.upper(), letters(rng.randint(20, 44)), letters(rng.randint(20, 44)), f"sk-{long[:28]}9f", groups()))
+            return "secret", rng.choice(('token = "', 'TOKEN = "', "api_key: ", "secret=", "password = '", 'key = "', "Bearer ", "Authorization: Bearer ", "client_secret=")), long
+        if pick < 15:
+            return "secret", rng.choice(("", "", "token: ", "key = ")), rng.choice(ISSUED) + letters(rng.randint(16, 40))
+        if pick < 16:
+            return "secret", rng.choice(("password: ", "password = '", "passwd=", "pwd: ", "Passwort: ")), letters(rng.randint(8, 15))
+        if pick < 17:
+            return "secret", rng.choice(("secret_access_key = ", 'key = "', "token: ")), rng.choice("+/").join(letters(rng.randint(7, 15)) for _ in range(rng.randint(2, 4)))
+        if pick < 18:
+            return "secret", rng.choice(("", "Bearer ", "token=")), f"eyJ{letters(rng.randint(12, 24))}.{letters(rng.randint(20, 40))}.{letters(rng.randint(20, 43))}"
         look = (number(4), f"{number(1)}.{number(1)}", f"19{number(2)}-0{rng.randint(1, 9)}-1{number(1)}", f"{rng.randint(10, 23)}:{number(2)}", card(False), f"{number(1)},{number(3)}.{number(2)}", number(rng.randint(1, 12)), f"{number(1)}.{number(1)}.{number(1)}", f"src{number(2)}", ".".join(str(rng.randint(256, 999)) for _ in range(4)), f"@{word()}", word() + number(3))
-        return "", rng.choice(("", "", "version ", "page ", "no. ")), rng.choice(look)
+        plain = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 10)))
+        joined = rng.choice("_-").join(rng.choice((plain(), plain(), f"{plain()}{number(rng.randint(1, 2))}", f"v{number(1)}")) for _ in range(rng.randint(2, 5)))
+        row = " ".join((f"0{number(1)}", *(number(2) for _ in range(rng.randint(2, 6)))))
+        image = f"data:image/png;base64,{letters(rng.randint(10, 20))}/{letters(rng.randint(10, 20))}+{letters(rng.randint(4, 9))}"
+        bare = rng.choice((hexadecimal(32), hexadecimal(40), hexadecimal(64), groups(), letters(rng.randint(8, 24)), f"0{number(2)} {number(5)}", row, row, joined, joined, joined, image, f"docs/{number(4)}/{word()}{number(1)}/{letters(12)}"))
+        return "", *rng.choice(((rng.choice(("", "", "version ", "page ", "no. ")), rng.choice(look)), (rng.choice(("", "", "", "commit ", "id: ", "md5: ", "sha256 ", "file ", "name = ")), bare), (rng.choice(("", "key ", "token ", "password ", "call ", "phone ")), rng.choice(look[:4]))))
 
     text, gold = "", []
     for _ in range(rng.randint(1, 3)):
@@ -336,7 +377,7 @@ def example(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     return text + word(), gold
 
 
-def train(sentences: int = 500, rounds: int = 4, rate: float = 0.5, seed: int = 11) -> Field:
+def train(sentences: int = 600, rounds: int = 4, rate: float = 0.5, seed: int = 11) -> Field:
     rng, field = random.Random(seed), Field()
     data = [example(rng) for _ in range(sentences)]
     memory = (np.zeros_like(field.weights), np.zeros_like(field.moves))

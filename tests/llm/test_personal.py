@@ -128,6 +128,52 @@ def test_secrets_of_any_length_are_found(field):
             assert s not in P.redacted(text, P.find(text, field)[1])
 
 
+UPPER, LOWER, DIGITS, HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+MIXED = UPPER + LOWER + DIGITS
+
+
+def drawn(rng, chars, n):
+    return "".join(rng.choice(chars) for _ in range(n))
+
+
+def forms(rng):
+    """(cue, value, kind) of values in forms that others write."""
+    d = lambda n: drawn(rng, DIGITS, n)
+    m = lambda n: drawn(rng, MIXED, n - 2) + "7a"
+    return {
+        "ghp": ("", "ghp_" + m(36), "secret"), "access key": ("", "AKIA" + drawn(rng, UPPER + DIGITS, 15) + "7", "secret"), "live key": ("key = ", "sk_live_" + m(24), "secret"),
+        "maps key": ("", "AIza" + m(35), "secret"), "bot token": ("token=", f"xoxb-{d(12)}-{d(12)}-{m(24)}", "secret"), "bearer": ("Authorization: Bearer ", m(32), "secret"),
+        "signed": ("Bearer ", f"eyJ{m(18)}.{m(40)}.{m(43)}", "secret"), "short password": ("password: ", m(12), "secret"), "client": ("client_secret=", m(32), "secret"),
+        "uuid": ("secret: ", "-".join(drawn(rng, HEX, n - 1) + "7" for n in (8, 4, 4, 4, 12)), "secret"), "mobile": ("Telefon: ", f"0171 {d(7)}", "phone"), "town": ("Tel. ", f"030/{d(7)}", "phone"),
+        "pairs": ("tel: ", " ".join(["04", *(d(2) for _ in range(4))]), "phone"), "dots": ("", f"555.{d(3)}.{d(4)}", "phone"), "national": ("call ", f"(555) {d(3)}-{d(4)}", "phone"),
+    }
+
+
+def test_other_forms_are_found(field):
+    rng, found = random.Random(21), {}
+    for _ in range(50):
+        for name, (cue, v, kind) in forms(rng).items():
+            text = f"Some words stood first, {cue}{v} and others after it."
+            at = text.index(cue + v) + len(cue)
+            found[name] = found.get(name, 0) + ((kind, at, at + len(v)) in P.find(text, field)[1])
+    assert {k: n for k, n in found.items() if n < 45} == {}
+
+
+def test_look_alikes_stay(field):
+    rng, changed = random.Random(22), {}
+    for _ in range(50):
+        d = lambda n: drawn(rng, DIGITS, n)
+        h = lambda n: drawn(rng, HEX, n)
+        w = lambda n: drawn(rng, LOWER, n)
+        for name, v in {
+            "commit": f"commit {h(40)}", "sum": f"sha256 {h(64)}", "md5": f"md5: {h(32)}", "uuid": f"id: {h(8)}-{h(4)}-{h(4)}-{h(4)}-{h(12)}", "date": f"20{d(2)}-05-1{d(1)}T1{d(1)}:30:00Z",
+            "isbn": f"ISBN 978-3-16-{d(6)}-{d(1)}", "order": f"order 0{d(3)} {d(5)}", "money": f"$1,{d(3)},{d(3)}.00", "path": f"/usr/lib/python3.1{d(1)}/{w(12)}/{w(5)}{d(1)}.py", "url": f"https://example.com/{w(10)}?id={d(5)}",
+            "name": f"{w(6)}_{w(10)}{d(2)}_{w(7)}", "kebab": f"my-{w(9)}-{w(9)}-v{d(1)}", "key": f"key {d(3)}", "words": "password: correct horse 2 battery", "model": f"phone A{d(2)} with 128GB", "row": " ".join(d(2) for _ in range(6)),
+        }.items():
+            changed[name] = changed.get(name, 0) + bool(P.find(f"Some words stood first, {v} and others after it.", field)[1])
+    assert {k: n for k, n in changed.items() if n > 2} == {}
+
+
 #: What stands in the documents, as their own makers wrote it; the ip and card patterns are those of the contract.
 PLANTED = {
     "email": r"\w+\.\d\d@mail\d\.example\.com", "phone": r"\+1 \(\d{3}\) 555-\d{4}", "secret": r'(?i)(?<=token = ")[0-9a-f]{40}(?=")',
