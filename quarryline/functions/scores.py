@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, let
 
 
 def present(score) -> Column:
@@ -51,3 +51,23 @@ def positive_logit(logits) -> Column:
     """The logit that speaks for a match: the only one, the second of two, the third of more."""
     n = F.size(col(logits))
     return F.get(col(logits), F.when(n == 1, F.lit(0)).when(n == 2, F.lit(1)).otherwise(F.lit(2)))
+
+
+def rounded(score, places: int = 6) -> Column:
+    """score at that many decimal places as SQL rounds: scaled, to the nearest whole number, ties away from zero, scaled back.
+
+    Rounding the printed decimals instead, as Spark does, takes another side where the
+    scaled value lies half-way, and loses the sign of a negative number that becomes zero.
+    """
+    scale = 10.0**places
+
+    def one(x: Column) -> Column:
+        r = F.round(F.abs(x) * scale, 0) / scale
+        return F.when((x == 0) | ~(r < float("inf")), x).when(x < 0, -r).otherwise(r)
+
+    return one(F.col(score)) if isinstance(score, str) else let(score, one)
+
+
+def rounded_each(values, places: int = 6) -> Column:
+    """An array of numbers, each rounded."""
+    return F.transform(col(values), lambda x: rounded(x, places))
