@@ -49,7 +49,7 @@ def test_fused_weights_sum_as_written(spark):
     assert (x, y) == ([0.7 * 1.0 + 0.3 * 1.0], [0.7 * 1.0 + 0.3 * 3.0])
 
 
-@pytest.mark.parametrize("name", ["description_fusion", "feature_concat", "l2_normalize"])
+@pytest.mark.parametrize("name", ["description_fusion", "feature_concat", "l2_normalize", "mean_pool"])
 def test_vectors_near_zero_and_half_way(spark, tmp_path, name):
     rng = np.random.default_rng(7)
     x = np.where(rng.random((80, 64)) < 0.3, rng.normal(0, 4e-7, (80, 64)), np.where(rng.random((80, 64)) < 0.5, rng.integers(-63, 64, (80, 64)) / 128, rng.normal(0, 0.125, (80, 64)))).astype(np.float32)
