@@ -5,8 +5,11 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from quarryline.functions import vectors
 from quarryline.operators import search
+from quarryline.plans import catalog
 
 
 def batch(pos, v):
@@ -60,3 +63,38 @@ def test_odd_vectors_are_no_hits():
     (b,) = search._hits(block, 3, True)([batch(np.arange(5), v)])
     assert list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) == [(0, 3), (0, 4)]
     assert sum(map(len, search._hits(block, 3, True)([]))) == 0
+
+
+def test_shortlists_of_all_pairs_without_sorting_them(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(50)]  # many ties
+    v = spark.createDataFrame(rows, "vec_pos long, vector array<double>").repartition(3)
+    q = spark.createDataFrame([*rows[:9], (99, [1.0, 1.0, 1.0])], "sample_id long, vector array<double>")
+    pairs = [(i, j, in_order(np.array(x), np.array(y)), (j % 11) / 20.0) for i, x in [*rows[:9], (99, [1.0, 1.0, 1.0])] for j, y in rows if i != j]
+    want = search.rerank_shortlist(spark.createDataFrame(pairs, "sample_id long, item long, first double, second double"), 7, "first", "second")
+    got = search.shortlists_of_all(q, v, 7, (F.col("item") % 11) / 20.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("sample_id", "item", "final").collect()))
+    one = search.shortlists_of_all(q.limit(1), v.filter("vec_pos = 0"), 7, F.lit(0.0))
+    assert one.count() == 0  # a query meets no vector but its own
+    plan = catalog.QUERIES["shortlist_rerank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("BroadcastNestedLoopJoin")]
+    assert "Window" not in above and "Exchange" not in above and "aggregate(" not in above
+
+
+def test_late_scores_equal_the_expressions(spark):
+    rng = np.random.default_rng(5)
+    sections = []
+    for i in range(40):
+        n = int(rng.integers(1, 6))
+        sections.append((i, rng.normal(size=(n, 4)).tolist(), [bool(x) for x in rng.random(n) < (0.0 if i % 9 == 4 else 0.7)]))
+    s = spark.createDataFrame(sections, "sec long, tokens array<array<double>>, mask array<boolean>").repartition(2)
+    q = s.filter("sec % 6 = 0").selectExpr("sec AS qry", "slice(tokens, 1, 3) AS q")
+    pairs = search.against_all(q, s, "qry", F.col("qry") != F.col("sec"))
+    want = pairs.select("qry", "sec", vectors.cls_max("q", F.get("tokens", F.lit(0))), vectors.maxsim("q", "tokens", "mask"), vectors.logsumexp("q", "tokens", "mask"))
+    for block in (2, 1024):
+        got = search.late_scores(q, s, block)
+        a, b = (sorted(map(tuple, d.collect())) for d in (got, want))
+        assert [r[:2] for r in a] == [r[:2] for r in b] and len(a) == 7 * 39
+        np.testing.assert_allclose([r[2:] for r in a], [r[2:] for r in b], rtol=1e-12, atol=1e-12)
+    assert search.late_scores(q.limit(0), s).count() == 0
+    assert "MapInArrow" in catalog.QUERIES["late_interaction"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
