@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarryline.functions import vectors
-from quarryline.operators import search
+from quarryline.operators import metrics, search
 from quarryline.plans import catalog
 
 
@@ -98,3 +98,11 @@ def test_late_scores_equal_the_expressions(spark):
         np.testing.assert_allclose([r[2:] for r in a], [r[2:] for r in b], rtol=1e-12, atol=1e-12)
     assert search.late_scores(q.limit(0), s).count() == 0
     assert "MapInArrow" in catalog.QUERIES["late_interaction"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_of_captions_are_not_exchanged_before_they_are_counted(spark):
+    rows = [(i, f"a cat {i} sat", ["a cat sat", f"cat {i}"]) for i in range(30)]
+    d = spark.createDataFrame(rows, "id long, candidate string, references array<string>")
+    plan = metrics.cider(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode(transform(sequence" not in plan
+    assert plan.count("Join LeftOuter") == 2  # counts over the rows and the row's own sum; no n-gram meets an n-gram
